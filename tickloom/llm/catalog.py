@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import quality_llr, toxicity
+from tickloom.llm import mixing, ordinal, pii, quality_llr, toxicity, url_filter
 from tickloom.llm.common import labelled_sample, table
 
 
@@ -16,9 +16,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 of high quality but toxic, 2 of high quality and not toxic."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    usable = F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)
+    graded = labelled_sample(table(spark, sf_dir, "labels"), usable, ordinal.FIT_DOCS, grade.alias("grade"))
+    return ordinal.grade_documents(table(spark, sf_dir, "documents"), graded, 3)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op7_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality_rules, op2_pii, op3_ordinal_quality, op4_mixing, op5_url_filter, op7_toxicity)
+}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}
