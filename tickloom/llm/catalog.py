@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, ordinal, pii, quality_llr, toxicity, url_filter
+from tickloom.llm import jaccard_join, mixing, ordinal, pii, quality_llr, toxicity, url_filter
 from tickloom.llm.common import labelled_sample, table
 
 
@@ -37,11 +37,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_pii, op3_ordinal_quality, op4_mixing, op5_url_filter, op7_toxicity)
+    f.__name__: f for f in (op1_quality_rules, op2_pii, op3_ordinal_quality, op4_mixing, op5_url_filter, op6_jaccard_join, op7_toxicity)
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}
