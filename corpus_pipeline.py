@@ -1,8 +1,84 @@
 """The corpus pipeline: toxicity, near copies, personal data, mixing and packing, each stage written and read again."""
 
-STAGES = []
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import jaccard_join, mixing, packing, pii, toxicity
+from tickloom.llm.common import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No stage but the last can be said in SQL as a whole; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated score stays below the threshold."""
+    model = toxicity.ToxicityModel(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, COLUMNS).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of every component; texts without words and null ids stay.
+
+    Of rows with one doc_id the least row stays.
+    """
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    others = [c for c in COLUMNS if c != "doc_id"]
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    return least.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each span of personal data replaced by its kind; n_chars follows the new text."""
+    kinds = dict(docs.select(*COLUMNS).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else pii.redact(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            columns = {c: batch.column(c) for c in COLUMNS} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in COLUMNS], COLUMNS)
+
+    spans = pii.find_pii(docs, COLUMNS).select(*COLUMNS, "spans")
+    redacted = spans.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in COLUMNS))
+    return redacted.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix takes; a source's last copy holds only the words that still fit."""
+    return mixing.mixed_rows(docs.select(*COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents in their sequences."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("PII", redact_pii),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet in the shared folder and read again."""
+    from tickloom.llm.common import shared_folder
+
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return done
+        done.write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    raise AssertionError

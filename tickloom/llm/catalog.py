@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import jaccard_join, mixing, ordinal, pii, quality_llr, toxicity, url_filter
+from tickloom.llm import html_main, jaccard_join, mixing, ordinal, packing, pii, quality_llr, tiff, toxicity, url_filter
 from tickloom.llm.common import labelled_sample, table
 
 
@@ -45,7 +45,31 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_images(table(spark, sf_dir, "documents"))
+
+
+def op9_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_pii, op3_ordinal_quality, op4_mixing, op5_url_filter, op6_jaccard_join, op7_toxicity)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_pii,
+        op3_ordinal_quality,
+        op4_mixing,
+        op5_url_filter,
+        op6_jaccard_join,
+        op7_toxicity,
+        op8_tiff,
+        op9_html_main,
+        op10_packing,
+    )
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}

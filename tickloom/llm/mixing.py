@@ -83,6 +83,26 @@ def mix(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, as often as it takes them; a copy in part holds its first words.
+
+    Each row counts on its own, also where doc_ids repeat: texts of one doc_id are told apart by their size, and rows
+    of equal doc_id, source and size share what is taken from all of them.
+    """
+    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("sum"), F.count("*").alias("n"))
+    rows = docs.withColumn("_size", size_of(F.col("text"))).alias("d")
+    joined = rows.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._size") == F.col("t.size")))
+    each = F.round(F.col("sum") / F.col("n")).cast("long")
+    whole = F.when(F.col("_size") > 0, F.floor(each / F.col("_size"))).otherwise(0).cast("int")
+    part = F.when(F.col("_size") > 0, each % F.col("_size")).otherwise(0).cast("int")
+    copies = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    every = joined.select(*(F.col(f"d.{c}").alias(c) for c in docs.columns), "_size", F.explode(copies).alias("_words"))
+    start = F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.col("_words") - 1, F.lit(r"}[^\x20\x09-\x0D]+)"))
+    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.regexp_extract_all("text", start, F.lit(1))[0])
+    cut_rows = every.withColumn("text", text)
+    return (cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows).select(*docs.columns)
+
+
 #: The same in DuckDB. Ties within a source are broken alike; equal rows are interchangeable.
 ORACLE = f"""
 WITH d AS (
