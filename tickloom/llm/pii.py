@@ -221,7 +221,7 @@ def find_pii(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *counts, pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names)
 
     schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"n_{k} long" for k in BASE] + ["base_sha256 string", "spans string"]
-    return docs.select(*keep, F.col("text")).mapInArrow(run, ", ".join(schema)) if "text" not in keep else docs.select(*keep).mapInArrow(run, ", ".join(schema))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(schema))
 
 
 def redact(text: str, spans: str) -> str:

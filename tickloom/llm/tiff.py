@@ -296,7 +296,7 @@ def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
                     media.append(encode([np.frombuffer(data, np.uint8).reshape(-1, WIDTH, 1)], how, predictor, tiled, order))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([*map(len, texts)], pa.int64()), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long", "media binary"]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long", "media binary"]))
 
 
 def text_images(docs: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def dense_features(docs: DataFrame, keep: list[str], stems: dict[bytes, float])
             columns = np.array(rows, float).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"f_{f}" for f in FEATURES)])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"f_{f} double" for f in FEATURES)]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"f_{f} double" for f in FEATURES)]))
 
 
 def in_training(doc_id: str = "doc_id"):
