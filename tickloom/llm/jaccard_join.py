@@ -8,7 +8,8 @@ where too few segments would be filled the band gets more of them, down to singl
 where D is 1, are one segment with its one-deletion neighbourhood. Sets that share a signature are verified.
 
 Within a signature's group the members are verified against a pivot first; only pairs that are still in different
-components are compared further, until none is left, so no group emits all its pairs.
+components are compared further, until none is left, so no group emits all its pairs. Outlines of BINS bytes rule out
+most false candidates before whole sets are fetched.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ FREQUENT, MOST_FREQUENT = 8, 50_000
 BROADCAST_IDS = 200_000
 #: Pivots are taken one after the other while more than so many pairs a member remain, and this often at most.
 PAIRS_A_MEMBER, ROUNDS = 4, 8
+#: Bins of a set's outline, which holds how many of its shingles fall in each, up to 255: the sum of absolute
+#: differences of two outlines is at most the number of shingles in which the sets differ.
+BINS = 128
 
 # Odd multipliers of the polynomial and the mixing steps.
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -127,6 +131,11 @@ def _print(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    counts = np.bincount((_mixed(shingles) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, print) with band and layout needs, and rows of frequent shingles (hash, n)."""
 
@@ -143,14 +152,15 @@ def describe(docs: DataFrame) -> DataFrame:
                     pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.array([*map(len, sets), *counts.tolist()], pa.int64()),
                     pa.array([*map(_print, sets), *[None] * m], pa.binary()),
+                    pa.array([*map(outline, sets), *[None] * m], pa.binary()),
                     pa.array([*[_tag(x) if x else None for x in map(_print, sets)], *[None] * m], pa.int64()),
                     pa.array([*[[64 * b + l for b, l in x] for x in needs], *[None] * m], pa.list_(pa.int32())),
                     pa.array([*[None] * n, *hashes.tolist()], pa.int64()),
                 ],
-                ["doc_id", "n", "print", "tag", "needs", "hash"],
+                ["doc_id", "n", "print", "outline", "tag", "needs", "hash"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, tag long, needs array<int>, hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, outline binary, tag long, needs array<int>, hash long")
 
 
 def _tag(print_: bytes) -> int:
@@ -186,12 +196,35 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "print binary, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 80 * union."""
-    left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("of_b"))
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and outlines allow a link."""
+    ends = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("oa", "ob"))
+            apart = np.abs(left - right).sum(axis=1)
+            near = apart <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+
+    sized = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return sized.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of node ids with 100 * intersection >= 80 * union; sets are made anew for these pairs only."""
+    likely = cut(_plausible(pairs, nodes))
+    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "print"), "id")
+    needed = cut(needed.select("id", "rep", "print"))
+    ids = needed.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    # A doc_id may come with other texts too: the print picks the node's own.
+    sets = cut(_sets(docs.select("doc_id", "text").join(ids, "doc_id")).join(needed.select("id", "print"), "print").select("id", "shingles"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct()
+    joined = likely.join(left, "a").join(right, "b")
+    return cut(joined.filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,32 +241,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabel(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members with the components that new edges (between prints) merge."""
-    if edges.limit(1).count() == 0:
-        return members
-    own = members.select("print", "comp").distinct()
-    ends = edges.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b")
-    merged = components(ends).toDF("comp", "into")
-    return cut(members.join(merged, "comp", "left").select("key", "print", "n", F.coalesce("into", "comp").alias("comp")))
-
-
-def _close() -> object:
-    """Condition on sizes na and nb that linked sets meet."""
-    return 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
-
-
-def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """print and comp of all members(key, print, n): components of the links between sets that share a key."""
+def link_sets(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and label of all linked nodes: components of the links between nodes that share a key of members(key, id)."""
     by_key = Window.partitionBy("key")
-    # Each set against one pivot: among the first sets of its keys the one that leads most of them.
-    led = members.withColumn("lead", F.min(F.struct("print", "n")).over(by_key)).filter(F.col("lead.print") != F.col("print"))
-    led = led.groupBy(F.col("print").alias("a"), F.col("n").alias("na"), F.col("lead.print").alias("b"), F.col("lead.n").alias("nb")).count().filter(_close())
-    first = led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    members = _relabel(members.withColumn("comp", F.col("print")), cut(verified(first, sets)))
+    # Each node against one pivot: among the first nodes of its keys the one that leads most of them.
+    led = members.withColumn("lead", F.min("id").over(by_key)).filter("lead <> id").groupBy("id", "lead").count()
+    first = led.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
+    edges = verified(first, nodes, docs)
+    labels = components(edges)
     for pivot in range(1, ROUNDS + 1):
-        mixed = members.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high").drop("low", "high")
-        ranked = cut(mixed.withColumn("rank", F.row_number().over(by_key.orderBy("print"))))
+        own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
+        mixed = own.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high")
+        ranked = cut(mixed.select("key", "id", "comp", F.row_number().over(by_key.orderBy("id")).alias("rank")))
         later = ranked.filter(F.col("rank") >= pivot)
         each = later.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("same"))
         left = each.agg(F.sum("g").alias("members"), F.sum((F.col("g") * F.col("g") - F.col("same")) / 2).alias("pairs")).head()
@@ -241,13 +260,16 @@ def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
             break
         last = left["pairs"] <= PAIRS_A_MEMBER * left["members"] or pivot == ROUNDS
         a = later if last else later.filter(F.col("rank") == pivot)
-        a = a.select("key", F.col("print").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        b = later.select("key", F.col("print").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
-        pairs = a.join(b, "key").filter((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & _close()).select("a", "b").distinct()
-        members = _relabel(members, cut(verified(pairs, sets)))
+        a = a.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
+        b = later.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
+        pairs = a.join(b, "key").filter("ra < rb AND ca <> cb").select("a", "b").distinct()
+        more = verified(pairs, nodes, docs)
+        if more.limit(1).count():
+            edges = edges.union(more)
+            labels = components(edges)
         if last:
             break
-    return members.select("print", "comp").distinct()
+    return labels
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -259,7 +281,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the least. Empty tables give empty results; other columns are not read. Sets are compared as 64-bit hashes.
     """
     described = cut(describe(docs))
-    rows = described.filter("hash is null").select("doc_id", "n", "print", "tag", "needs")
+    rows = described.filter("hash is null").select("doc_id", "n", "print", "outline", "tag", "needs")
     found = rows.select(F.explode("needs").alias("need")).groupBy(F.expr("need div 64").alias("band")).agg(F.max(F.col("need") % 64).alias("layout")).collect()
     layouts = {r["band"]: r["layout"] for r in found}
     often = described.filter("hash is not null").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toPandas()
@@ -269,18 +291,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     by_key = Window.partitionBy("key")
     shared = index_rows(docs, layouts, frequent).withColumns({"low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)}).filter("low <> high")
-    shared = cut(shared.groupBy("key", "tag").agg(F.lit(1).alias("one")).select("key", "tag"))
-    # Where two prints begin alike both become candidates; verification tells them apart.
-    nodes = cut(rows.filter("n > 0").groupBy("print", "tag", "n").agg(F.min("doc_id").alias("rep")))
-    candidates = cut(nodes.join(shared.select("tag").distinct(), "tag"))
-    ids = candidates.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if candidates.count() <= BROADCAST_IDS else ids
-    sets = cut(_sets(docs.select("doc_id", "text").join(ids, "doc_id")))
-    members = cut(shared.join(candidates.select("tag", "print", "n"), "tag").select("key", "print", "n"))
-    linked = link_sets(members, sets)
-    labelled = nodes.join(linked, "print", "left").withColumn("comp", F.coalesce("comp", "print"))
+    shared = cut(shared.select("key", "tag").distinct())
+    found = rows.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("outline").alias("outline"))
+    nodes = cut(found.withColumn("id", F.monotonically_increasing_id()))
+    # Where two prints begin alike, both nodes take part; verification tells them apart.
+    members = cut(shared.join(nodes.select("tag", "id"), "tag").select("key", "id"))
+    labels = link_sets(members, nodes, docs)
+    labelled = nodes.select("print", "rep", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_print = labelled.join(least, "comp").select("print", "component_id")
-    joined = rows.join(of_print, "print", "left")
+    joined = rows.select("doc_id", "n", "print").join(of_print, "print", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
