@@ -5,10 +5,10 @@ same number of segments; two sets that differ in at most D shingles agree in all
 is a segment's subset of a set. Costs decide which signatures are indexed: those that hold frequent shingles are skipped
 as long as D + 1 others remain, in one global order for all sets, so that linked sets always share an indexed one;
 where too few segments would be filled the band gets more of them, down to single shingles; sets of 4 to 7 shingles,
-where D is 1, are one segment with its one-deletion neighbourhood. Sets that share a signature are verified.
+where D is 1, are one segment with its one-deletion neighbourhood: a link joins a whole set to another's deletion. Sets that share a signature are verified.
 
-Within a signature's group the members are verified against a pivot first; only pairs that are still in different
-components are compared further, until none is left, so no group emits all its pairs. Outlines of BINS bytes rule out
+Within a signature's group the members are verified against a pivot first; only pairs that are then still in different
+components are compared, in the first group that both are in. Outlines of BINS numbers rule out
 most false candidates before whole sets are fetched.
 """
 
@@ -32,11 +32,13 @@ LAYOUTS = (1.5, 2.5, 4.0, 0)
 FREQUENT, MOST_FREQUENT = 8, 50_000
 #: Candidate ids up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: Pivots are taken one after the other while more than so many pairs a member remain, and this often at most.
-PAIRS_A_MEMBER, ROUNDS = 4, 8
+#: Pivots that each group with several components is compared with before its other members are.
+PIVOTS = 2
+#: Nodes in at most so many groups meet another only in the first group they share; others may meet again.
+LISTED = 256
 #: Bins of a set's outline, which holds how many of its shingles fall in each, up to 255: the sum of absolute
 #: differences of two outlines is at most the number of shingles in which the sets differ.
-BINS = 128
+BINS = 64
 
 # Odd multipliers of the polynomial and the mixing steps.
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -131,9 +133,9 @@ def _print(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def outline(shingles: np.ndarray) -> bytes:
+def outline(shingles: np.ndarray) -> list[int]:
     counts = np.bincount((_mixed(shingles) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.minimum(counts, 255).tolist()
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.array([*map(len, sets), *counts.tolist()], pa.int64()),
                     pa.array([*map(_print, sets), *[None] * m], pa.binary()),
-                    pa.array([*map(outline, sets), *[None] * m], pa.binary()),
+                    pa.array([*map(outline, sets), *[None] * m], pa.list_(pa.int32())),
                     pa.array([*[_tag(x) if x else None for x in map(_print, sets)], *[None] * m], pa.int64()),
                     pa.array([*[[64 * b + l for b, l in x] for x in needs], *[None] * m], pa.list_(pa.int32())),
                     pa.array([*[None] * n, *hashes.tolist()], pa.int64()),
@@ -160,7 +162,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "print", "outline", "tag", "needs", "hash"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, outline binary, tag long, needs array<int>, hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, outline array<int>, tag long, needs array<int>, hash long")
 
 
 def _tag(print_: bytes) -> int:
@@ -168,19 +170,23 @@ def _tag(print_: bytes) -> int:
 
 
 def index_rows(docs: DataFrame, layouts: dict[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key and tag (the print's first 8 bytes) of every indexed signature of every document."""
+    """key, tag (the print's first 8 bytes) and role of every indexed signature of every document.
+
+    Roles: 0 a deletion, 1 a whole set of a one-deletion band, 2 any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, tags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, tags, roles = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
             for text in _binary(batch):
                 shingles = shingle_set(text)
                 for band, d in bands(len(shingles)):
                     keys.append(signatures(shingles, band, d, layouts.get(band, len(LAYOUTS) - 1), frequent))
                     tags.append(np.full(len(keys[-1]), _tag(_print(shingles)), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(tags))], ["key", "tag"])
+                    roles.append(np.full(len(keys[-1]), 2, np.int8) if band != 2 else (np.arange(len(keys[-1])) == 0).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(roles))], ["key", "tag", "role"])
 
-    return docs.select("text").mapInArrow(run, "key long, tag long")
+    return docs.select("text").mapInArrow(run, "key long, tag long, role tinyint")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -196,24 +202,21 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "print binary, shingles array<long>")
 
 
+def _may_link():
+    """Condition on sizes na, nb and outlines oa, ob that all linked sets meet."""
+    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (apart <= F.floor((F.col("na") + F.col("nb")) / 9))
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and outlines allow a link."""
     ends = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
+    return pairs.join(ends("a"), "a").join(ends("b"), "b").filter(_may_link()).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("oa", "ob"))
-            apart = np.abs(left - right).sum(axis=1)
-            near = apart <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
-
-    sized = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    return sized.mapInArrow(run, "a long, b long")
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids with 100 * intersection >= 80 * union; sets are made anew for these pairs only."""
-    likely = cut(_plausible(pairs, nodes))
+    likely = cut(likely)
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "print"), "id")
     needed = cut(needed.select("id", "rep", "print"))
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
@@ -241,35 +244,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_sets(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and label of all linked nodes: components of the links between nodes that share a key of members(key, id)."""
+def link_sets(members: DataFrame, deleted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and label of all linked nodes: components of the links among the pairs of deleted(a, b) and between nodes that share a key of members(key, id)."""
     by_key = Window.partitionBy("key")
     # Each node against one pivot: among the first nodes of its keys the one that leads most of them.
     led = members.withColumn("lead", F.min("id").over(by_key)).filter("lead <> id").groupBy("id", "lead").count()
     first = led.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
-    edges = verified(first, nodes, docs)
+    edges = verified(_plausible(first.union(deleted).distinct(), nodes), nodes, docs)
     labels = components(edges)
-    for pivot in range(1, ROUNDS + 1):
+    for pivot in range(1, PIVOTS + 2):
         own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
-        mixed = own.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high")
-        ranked = cut(mixed.select("key", "id", "comp", F.row_number().over(by_key.orderBy("id")).alias("rank")))
-        later = ranked.filter(F.col("rank") >= pivot)
-        each = later.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = each.agg(F.sum("g").alias("members"), F.sum((F.col("g") * F.col("g") - F.col("same")) / 2).alias("pairs")).head()
-        if not left["pairs"]:
-            break
-        last = left["pairs"] <= PAIRS_A_MEMBER * left["members"] or pivot == ROUNDS
-        a = later if last else later.filter(F.col("rank") == pivot)
-        a = a.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        b = later.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
-        pairs = a.join(b, "key").filter("ra < rb AND ca <> cb").select("a", "b").distinct()
-        more = verified(pairs, nodes, docs)
-        if more.limit(1).count():
-            edges = edges.union(more)
-            labels = components(edges)
-        if last:
+        own = own.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high")
+        mixed = cut(own.select("key", "id", "comp", F.row_number().over(by_key.orderBy("id")).alias("rank")))
+        if pivot > PIVOTS:
             break
-    return labels
+        led = mixed.withColumn("lead", F.min(F.when(F.col("rank") == pivot, F.struct("id", "comp"))).over(by_key))
+        met = led.filter((F.col("rank") > pivot) & (F.col("comp") != F.col("lead.comp"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+        edges = cut(edges.union(verified(_plausible(met, nodes), nodes, docs)))
+        labels = components(edges)
+    lists = mixed.groupBy("id").agg(F.count("*").alias("groups"), F.sort_array(F.collect_list("key")).alias("keys"))
+    lists = lists.select("id", F.when(F.col("groups") <= LISTED, F.col("keys")).alias("keys")).join(nodes.select("id", "n", "outline"), "id")
+    rows = cut(mixed.drop("rank").join(lists, "id"))
+    ends = lambda x: rows.select("key", *(F.col(c).alias(f"{p}{x}") for c, p in (("id", ""), ("comp", "c"), ("n", "n"), ("outline", "o"), ("keys", "k"))))
+    first_met = F.coalesce(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"), F.lit(True))
+    left, right = ends("a"), ends("b").withColumnRenamed("key", "key_b")
+    pairs = left.join(right, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & _may_link() & first_met).select("a", "b").distinct()
+    more = verified(pairs, nodes, docs)
+    return components(edges.union(more)) if more.limit(1).count() else labels
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -291,12 +292,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     by_key = Window.partitionBy("key")
     shared = index_rows(docs, layouts, frequent).withColumns({"low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)}).filter("low <> high")
-    shared = cut(shared.select("key", "tag").distinct())
+    shared = cut(shared.select("key", "tag", "role").distinct())
     found = rows.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("outline").alias("outline"))
     nodes = cut(found.withColumn("id", F.monotonically_increasing_id()))
     # Where two prints begin alike, both nodes take part; verification tells them apart.
-    members = cut(shared.join(nodes.select("tag", "id"), "tag").select("key", "id"))
-    labels = link_sets(members, nodes, docs)
+    members = cut(shared.join(nodes.select("tag", "id"), "tag").select("key", "id", "role"))
+    wholes = members.filter("role = 1").select("key", F.col("id").alias("a"))
+    deleted = wholes.join(members.filter("role = 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b")
+    labels = link_sets(members.filter("role = 2").select("key", "id"), deleted, nodes, docs)
     labelled = nodes.select("print", "rep", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_print = labelled.join(least, "comp").select("print", "component_id")
