@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder and without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df without its lineage: written once as Parquet in the shared folder and read back.
+
+    checkpoint() would compute df twice, once to count and once to write. The files stay, as reliable checkpoints do,
+    until discard() or until the shared folder is cleared.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    read = df.sparkSession.read.schema(df.schema).parquet(folder)
+    read._cut_folder = folder
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files behind frames that cut() returned and that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def labelled_sample(labels: DataFrame, usable: Column, bound: int, *more: Column) -> DataFrame:

@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, discard
 
 WORDS = 5
 #: Segments for each difference that a band allows, from cheap to safe; 0 stands for one shingle a segment.
@@ -216,18 +216,20 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids with 100 * intersection >= 80 * union; sets are made anew for these pairs only."""
-    likely = cut(likely)
+    seen = Observation()
+    likely = cut(likely.observe(seen, F.count(F.lit(1)).alias("pairs")))
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "print"), "id")
-    needed = cut(needed.select("id", "rep", "print"))
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if 2 * seen.get.get("pairs", 0) <= BROADCAST_IDS else ids
     # A doc_id may come with other texts too: the print picks the node's own.
     sets = cut(_sets(docs.select("doc_id", "text").join(ids, "doc_id")).join(needed.select("id", "print"), "print").select("id", "shingles"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     joined = likely.join(left, "a").join(right, "b")
-    return cut(joined.filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct())
+    links = cut(joined.filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct())
+    discard(likely, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,30 +240,47 @@ def components(edges: DataFrame) -> DataFrame:
         near = ways.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = cut(lower.join(jump, "label").select("node", "was", F.least("label", "far").alias("label")))
-        labels = new.select("node", "label")
-        if not new.filter("label <> was").limit(1).count():
+        new = lower.join(jump, "label").select("node", "was", F.least("label", "far").alias("label"))
+        seen = Observation()
+        before, labels = labels, cut(new.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("moved")).select("node", "label"))
+        discard(before)
+        if not seen.get.get("moved", 0):
+            discard(ways)
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links(a, b): components of the components that they connect."""
+    if links.isEmpty():
+        return labels
+    known = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))
+    between = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    higher = components(between.filter("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    # A node that had no link before is its own component.
+    nodes = labels.union(higher.join(labels.select("label").distinct(), "label", "left_anti").select("label", "label"))
+    return cut(nodes.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
 def link_sets(members: DataFrame, deleted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and label of all linked nodes: components of the links among the pairs of deleted(a, b) and between nodes that share a key of members(key, id)."""
     by_key = Window.partitionBy("key")
     # Each node against one pivot: among the first nodes of its keys the one that leads most of them.
     led = members.withColumn("lead", F.min("id").over(by_key)).filter("lead <> id").groupBy("id", "lead").count()
     first = led.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
-    edges = verified(_plausible(first.union(deleted).distinct(), nodes), nodes, docs)
-    labels = components(edges)
+    labels = components(verified(_plausible(first.union(deleted).distinct(), nodes), nodes, docs))
     for pivot in range(1, PIVOTS + 2):
         own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
         own = own.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high")
         mixed = cut(own.select("key", "id", "comp", F.row_number().over(by_key.orderBy("id")).alias("rank")))
+        if mixed.isEmpty():
+            return labels
         if pivot > PIVOTS:
             break
         led = mixed.withColumn("lead", F.min(F.when(F.col("rank") == pivot, F.struct("id", "comp"))).over(by_key))
         met = led.filter((F.col("rank") > pivot) & (F.col("comp") != F.col("lead.comp"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-        edges = cut(edges.union(verified(_plausible(met, nodes), nodes, docs)))
-        labels = components(edges)
+        labels = merged(labels, verified(_plausible(met, nodes), nodes, docs))
+        # Groups of one component need no look again.
+        members = mixed.select("key", "id")
     lists = mixed.groupBy("id").agg(F.count("*").alias("groups"), F.sort_array(F.collect_list("key")).alias("keys"))
     lists = lists.select("id", F.when(F.col("groups") <= LISTED, F.col("keys")).alias("keys")).join(nodes.select("id", "n", "outline"), "id")
     rows = cut(mixed.drop("rank").join(lists, "id"))
@@ -269,8 +288,7 @@ def link_sets(members: DataFrame, deleted: DataFrame, nodes: DataFrame, docs: Da
     first_met = F.coalesce(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"), F.lit(True))
     left, right = ends("a"), ends("b").withColumnRenamed("key", "key_b")
     pairs = left.join(right, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & _may_link() & first_met).select("a", "b").distinct()
-    more = verified(pairs, nodes, docs)
-    return components(edges.union(more)) if more.limit(1).count() else labels
+    return merged(labels, verified(pairs, nodes, docs))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
