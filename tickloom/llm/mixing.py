@@ -97,8 +97,9 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     part = F.when(F.col("_size") > 0, each % F.col("_size")).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     every = joined.select(*(F.col(f"d.{c}").alias(c) for c in docs.columns), "_size", F.explode(copies).alias("_words"))
-    start = F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.col("_words") - 1, F.lit(r"}[^\x20\x09-\x0D]+)"))
-    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.regexp_extract_all("text", start, F.lit(1))[0])
+    # Words with the white space before each: no pattern recurses, however long the text is.
+    words = F.regexp_extract_all(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words")), ""))
     cut_rows = every.withColumn("text", text)
     return (cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows).select(*docs.columns)
 
