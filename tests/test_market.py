@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import tickloom.plans.market  # noqa: F401
+import tickloom.plans.research  # noqa: F401
 from tickloom.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
