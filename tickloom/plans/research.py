@@ -73,7 +73,7 @@ def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {v.TRADES}, s AS (SELECT seq, sum(price * volume) OVER a AS pa, sum(volume) OVER a AS va, sum(price * volume) OVER b AS pb, sum(volume) OVER b AS vb FROM trades
  WINDOW a AS ({_U} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS ({_U} RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000 PRECEDING))
- SELECT seq, round((pa / va - pb / vb) / 3600, 6) AS slope FROM s""")
+ SELECT seq, CASE WHEN round((pa / va - pb / vb) / 3600, 6) = 0 THEN 0.0::DOUBLE ELSE round((pa / va - pb / vb) / 3600, 6) END AS slope FROM s""")
 def vwap_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change a second of the session VWAP, before now against an hour ago."""
     at = lambda us: Window.partitionBy("day").orderBy("us").rangeBetween(Window.unboundedPreceding, -us)
