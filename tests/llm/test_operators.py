@@ -157,6 +157,14 @@ def test_main_text(spark):
     assert html_main.main_text(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_article_lines_and_cards_do_not_hide_the_body(spark):
+    page = "<article><h1>Head {0}</h1><p>All our readers get this offer.</p><p>The long story number {0} of the day.</p></article><div>Else {0}</div>"
+    card = "<article><p>Read on</p></article><p>The body of this page lies outside, and is longer than its card.</p>"
+    rows = [(i, f"http://a.org/x/{i}", page.format(i)) for i in range(3)] + [(7, "http://d.org/", card)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Head {i}\nThe long story number {i} of the day." for i in range(3)}, 7: "Read on\nThe body of this page lies outside, and is longer than its card."}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):

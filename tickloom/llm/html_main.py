@@ -1,8 +1,9 @@
 """HTML main text by nearest-URL page differencing.
 
 Pages of a host are ordered by URL path; each is paired with the neighbour whose path it shares more of. The text lines
-of a pair are aligned by their longest common subsequence and shared lines are deleted. Lines inside an article or main
-element are protected, as copies of an article share them; lines of menus, forms and other boilerplate elements always go.
+of a pair are aligned by their longest common subsequence and shared lines are deleted, inside articles too. Tags are a
+further filter: lines of menus, forms and other boilerplate elements always go, and where at least half of the text that
+is left lies inside article or main elements, so do the lines outside them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import cut
 from tickloom.llm.url_filter import url_parts
 
-#: A pair that shares at least this share of the page's free characters is of copies, whose lines are not boilerplate.
+#: A pair that shares at least this share of the page's characters is of copies, whose lines are not boilerplate.
 COPIES = 0.8
 
 # Elements by how they are read, and the words of class, id and role that mark boilerplate.
@@ -134,15 +135,17 @@ def _hash(line: str) -> int:
 def main_lines(html: str, other: list[int] | None) -> list[str]:
     """Main text of a page, given the line hashes of its neighbour."""
     found = lines(html)
-    protected = any(zone == "main" for zone, _ in found)
     gone = shared_lines([_hash(line) for _, line in found], other) if other else set()
-    free = sum(len(line) for zone, line in found if zone == "free")
-    same = sum(len(line) for i, (zone, line) in enumerate(found) if zone == "free" and i in gone)
+    free = sum(len(line) for zone, line in found if zone != "dropped")
+    same = sum(len(line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i in gone)
     if same >= COPIES * free:
         gone = set()
-    if protected:  # what lies outside the article is not its text
-        return [line for zone, line in found if zone == "main"]
-    return [line for i, (zone, line) in enumerate(found) if zone == "free" and i not in gone]
+    kept = [(zone, line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i not in gone]
+    inside = [line for zone, line in kept if zone == "main"]
+    # What lies outside the article is not its text, unless it is more: then the article is but a card on the page.
+    if 2 * sum(map(len, inside)) >= sum(len(line) for _, line in kept):
+        return inside
+    return [line for _, line in kept]
 
 
 def _described(pages: DataFrame) -> DataFrame:
