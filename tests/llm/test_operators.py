@@ -165,6 +165,26 @@ def test_differencing_decides_article_lines_and_cards_do_not_hide_the_body(spark
     assert got == {**{i: f"Head {i}\nThe long story number {i} of the day." for i in range(3)}, 7: "Read on\nThe body of this page lies outside, and is longer than its card."}
 
 
+def test_copies_are_passed_over_and_short_pages_lose_their_menus(spark):
+    menu = "<div>Menu of all our pages</div><p>Notice to each and every reader here</p>"
+    story = "".join(f"<p>Paragraph {i} of the copied story on the host, word for word.</p>" for i in range(9))
+    rows = [(i, f"http://a.org/a/{i:03}", menu + story + f"<p>Note {i}</p>") for i in range(40)]  # a group of near copies
+    rows += [(i, f"http://a.org/b/{i}", menu + f"<p>Only {i}</p>") for i in (50, 51, 52)]  # short pages, mostly menus
+    half = "".join(f"<p>Paragraph {i} that two pages of this host really share.</p>" for i in range(7))
+    rows += [(i, f"http://c.org/{i}", menu + half + "".join(f"<p>Own line {j} of the page that has number {i}</p>" for j in range(4))) for i in (60, 61)]
+    rows += [(62, "http://c.org/7", menu + "<p>Quite another page</p>")]
+    for parts in (1, 7):  # ranges that cut the group are connected
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_main.main_text(pages).collect()}
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert all(got[i].endswith(f"Paragraph 8 of the copied story on the host, word for word.\nNote {i}") and got[i].startswith("Paragraph 0") for i in range(40))
+        assert [got[i] for i in (50, 51, 52)] == ["Only 50", "Only 51", "Only 52"]
+        assert all(got[i].startswith("Paragraph 0 that two") and "Menu" not in got[i] for i in (60, 61)) and got[62] == "Quite another page"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):

@@ -1,6 +1,7 @@
 """HTML main text by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path; each is paired with the neighbour whose path it shares more of. The text lines
+Pages of a host are ordered by URL path; each is paired with the nearest page, of those that are not its copies, whose
+path it shares more of. The text lines
 of a pair are aligned by their longest common subsequence and shared lines are deleted, inside articles too. Tags are a
 further filter: lines of menus, forms and other boilerplate elements always go, and where at least half of the text that
 is left lies inside article or main elements, so do the lines outside them.
@@ -14,13 +15,13 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut
 from tickloom.llm.url_filter import url_parts
 
-#: A pair that shares at least this share of the page's characters is of copies, whose lines are not boilerplate.
+#: A pair that shares at least this share of the characters of both is of copies, whose lines are not boilerplate.
 COPIES = 0.8
 
 # Elements by how they are read, and the words of class, id and role that mark boilerplate.
@@ -132,14 +133,30 @@ def _hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def main_lines(html: str, other: list[int] | None) -> list[str]:
-    """Main text of a page, given the line hashes of its neighbour."""
+def _content(hashes: list[int], sizes: list[int]) -> dict[int, int]:
+    """Length by hash of the distinct lines that no tag drops."""
+    return {h: n for h, n in zip(hashes, sizes, strict=True) if n}
+
+
+def are_copies(a: dict[int, int], b: dict[int, int]) -> bool:
+    """Whether the shared lines hold at least COPIES of the characters of both pages' lines together."""
+    same = sum(n for h, n in a.items() if h in b)
+    return same >= COPIES * (sum(a.values()) + sum(b.values()) - same)
+
+
+def main_lines(html: str, other: list[int] | None, third: list[int] | None = None) -> list[str]:
+    """Main text of a page, given the line hashes of two neighbours that are not its copies.
+
+    Where the nearer one shares half of the page's text, the pair alone cannot tell a partial copy from boilerplate:
+    then the other one decides, and lines that only the pair shares stay.
+    """
     found = lines(html)
-    gone = shared_lines([_hash(line) for _, line in found], other) if other else set()
-    free = sum(len(line) for zone, line in found if zone != "dropped")
+    own = [_hash(line) for _, line in found]
+    gone = shared_lines(own, other) if other else set()
+    text = sum(len(line) for zone, line in found if zone != "dropped")
     same = sum(len(line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i in gone)
-    if same >= COPIES * free:
-        gone = set()
+    if third and 2 * same >= text:
+        gone &= shared_lines(own, third)
     kept = [(zone, line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i not in gone]
     inside = [line for zone, line in kept if zone == "main"]
     # What lies outside the article is not its text, unless it is more: then the article is but a card on the page.
@@ -149,41 +166,119 @@ def main_lines(html: str, other: list[int] | None) -> list[str]:
 
 
 def _described(pages: DataFrame) -> DataFrame:
-    """page_id and hashes of all lines."""
+    """page_id, host, path, and hashes and sizes of all lines; the size of a dropped line is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [[_hash(line) for _, line in lines(h or "")] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "host", "path", "hashes"])
+            found = [lines(h or "") for h in batch.column("html").to_pylist()]
+            hashes = pa.array([[_hash(line) for _, line in x] for x in found], pa.list_(pa.int64()))
+            sizes = pa.array([[0 if zone == "dropped" else len(line) for zone, line in x] for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), hashes, sizes], ["page_id", "host", "path", "hashes", "sizes"])
 
     host, path = url_parts(F.col("url"))
     kind = pages.select("page_id").dtypes[0][1]
-    return pages.select("page_id", host.alias("host"), path.alias("path"), "html").mapInArrow(run, f"page_id {kind}, host string, path string, hashes array<long>")
+    return pages.select("page_id", host.alias("host"), path.alias("path"), "html").mapInArrow(run, f"page_id {kind}, host string, path string, hashes array<long>, sizes array<int>")
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """page_id and mate of pages(page_id, host, path): the one before or after in its host that shares more of the path.
+class _Walk:
+    """Pages in one direction of the order: the nearest ones so far that are not copies of the next.
 
-    Pages are dealt by ranges of (host, path), so that a large host lies in many tasks; the first and last page of each
-    range, a row per task, connect the ranges.
+    Of each run of copies of its first page the first and the last are kept, so that a group of copies is passed in two
+    looks. ``ahead`` has the pages kept before the walk began, in its order.
     """
-    order = [F.col("host"), F.col("path"), F.col("page_id")]
-    rows = cut(pages.filter("host <> '' AND page_id IS NOT NULL").select("host", "path", "page_id").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    one = F.struct("host", "path", "page_id")
-    within = Window.partitionBy("part").orderBy(*order)
-    placed = rows.withColumns({"before": F.lag(one).over(within), "after": F.lead(one).over(within)})
-    by_part = Window.orderBy("part")
-    ends = rows.groupBy("part").agg(F.min(one).alias("first"), F.max(one).alias("last"))
-    ends = ends.select("part", F.lag("last").over(by_part).alias("ahead"), F.lead("first").over(by_part).alias("behind"))
-    joined = placed.join(F.broadcast(ends), "part").withColumns({"before": F.coalesce("before", "ahead"), "after": F.coalesce("after", "behind")})
 
-    def shared(x: str):
-        n = F.least(F.length("path"), F.length(f"{x}.path"), F.lit(255))
-        same = F.size(F.filter(F.sequence(F.lit(0), n), lambda i: F.substr("path", F.lit(1), i) == F.substr(F.col(f"{x}.path"), F.lit(1), i)))
-        return F.when(F.col(f"{x}.host") == F.col("host"), same).otherwise(0)
+    def __init__(self, ahead: list[dict] = ()):
+        self.runs: list[list[dict]] = []
+        for page in ahead:
+            self.add(page)
+
+    def add(self, page: dict) -> None:
+        if self.runs and self.runs[-1][0]["host"] != page["host"]:
+            self.runs = []
+        if self.runs and are_copies(self.runs[-1][0]["content"], page["content"]):
+            self.runs[-1][1] = page
+        else:
+            self.runs.append([page, page])
+
+    def nearest(self, page: dict) -> list[dict]:
+        """At most two pages, the nearest first, that are no copies of the page or each other."""
+        found: list[dict] = []
+        if self.runs and self.runs[-1][0]["host"] == page["host"]:
+            for x in (x for first, last in reversed(self.runs) for x in (last, first)):
+                if not any(are_copies(x["content"], y["content"]) for y in (page, *found)):
+                    found.append(x)
+                    if len(found) == 2:
+                        break
+        return found
 
-    scored = joined.withColumns({"b": F.coalesce(shared("before"), F.lit(0)), "a": F.coalesce(shared("after"), F.lit(0))})
-    return scored.select("page_id", F.when((F.col("b") >= F.col("a")) & (F.col("b") > 0), F.col("before.page_id")).when(F.col("a") > 0, F.col("after.page_id")).alias("mate")).filter("mate IS NOT NULL")
+    def kept(self) -> list[dict]:
+        """Of the last three runs the first and last pages: first ones in a row are no copies of each other."""
+        return [page for run in self.runs[-3:] for page in run]
+
+
+def _pages(batch: pa.Table) -> list[dict]:
+    rows = sorted(batch.to_pylist(), key=lambda r: ((r["host"]).encode(), r["path"].encode("utf-8", "surrogatepass"), r["page_id"]))
+    for r in rows:
+        r["content"] = _content(r["hashes"], r["sizes"])
+    return [r for r in rows if r["content"]]
+
+
+def _alike(a: str, b: str) -> int:
+    """1 more than the length of the common start of two paths, to 255 characters."""
+    n = min(len(a), len(b), 255)
+    return next((i for i in range(n) if a[i] != b[i]), n) + 1
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """page_id, other and third of pages(page_id, host, path, hashes, sizes): lines of the nearest pages of its host that are no copies of it.
+
+    They are looked for on both sides of the order by path; other is the one that shares more of the path, and third is
+    no copy of other. Pages are dealt by ranges of (host, path), so that a large host lies in many tasks; at most six
+    pages of each end of a range connect the ranges. Pages without text neither need nor help others.
+    """
+    kinds = dict(pages.dtypes)
+    columns = ["host", "path", "page_id", "hashes", "sizes"]
+    rows = cut(pages.filter("host <> '' AND page_id IS NOT NULL AND path IS NOT NULL").select(*columns).repartitionByRange("host", "path", "page_id").withColumn("part", F.spark_partition_id()))
+    schema = pa.schema([("part", pa.int32()), ("side", pa.int32()), ("at", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+
+    def ends(key: tuple, batch: pa.Table) -> pa.Table:
+        found = _pages(batch)
+        out = []
+        for side, order in enumerate((found, found[::-1])):
+            walk = _Walk()
+            for page in order:
+                walk.add(page)
+            out += [{"part": key[0].as_py(), "side": side, "at": at} | {c: page[c] for c in ("host", "path", "hashes", "sizes")} for at, page in enumerate(walk.kept())]
+        return pa.Table.from_pylist(out, schema)
+
+    told = rows.groupBy("part").applyInArrow(ends, "part int, side int, at int, host string, path string, hashes array<long>, sizes array<int>").collect()
+    edge = sorted((r.asDict() for r in told), key=lambda r: (r["part"], r["at"]))
+    for r in edge:
+        r["content"] = _content(r["hashes"], r["sizes"])
+    before = [r for r in edge if r["side"] == 0]
+    after = sorted((r for r in edge if r["side"] == 1), key=lambda r: (-r["part"], r["at"]))
+
+    def run(key: tuple, batch: pa.Table) -> pa.Table:
+        found, part = _pages(batch), key[0].as_py()
+        sides = []
+        for order, known in ((found, [r for r in before if r["part"] < part]), (found[::-1], [r for r in after if r["part"] > part])):
+            walk, near = _Walk(known), []
+            for page in order:
+                near.append(walk.nearest(page))
+                walk.add(page)
+            sides.append(near)
+        out: list[tuple] = []
+        for page, b, a in zip(found, sides[0], sides[1][::-1], strict=True):
+            if not b or (a and _alike(page["path"], a[0]["path"]) > _alike(page["path"], b[0]["path"])):
+                b, a = a, b
+            if b:
+                third = next((x["hashes"] for x in a + b[1:] if not are_copies(x["content"], b[0]["content"])), None)
+                out.append((page["page_id"], b[0]["hashes"], third))
+        ids, others, thirds = zip(*out, strict=True) if out else ((), (), ())
+        lists = pa.list_(pa.int64())
+        return pa.Table.from_arrays([pa.array(ids, batch.schema.field("page_id").type), pa.array(others, lists), pa.array(thirds, lists)], ["page_id", "other", "third"])
+
+    return rows.groupBy("part").applyInArrow(run, f"page_id {kinds['page_id']}, other array<long>, third array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -194,14 +289,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     extracted. An empty table gives an empty result; other columns are not read.
     """
     described = cut(_described(pages))
-    single = described.groupBy("page_id").agg(F.min(F.struct("host", "path", "hashes")).alias("x")).select("page_id", "x.host", "x.path", "x.hashes")
-    other = neighbours(single).join(single.select(F.col("page_id").alias("mate"), F.col("hashes").alias("other")), "mate").select("page_id", "other")
+    single = described.groupBy("page_id").agg(F.min(F.struct("host", "path", "hashes", "sizes")).alias("x")).select("page_id", "x.*")
+    near = neighbours(single)
     kind = pages.select("page_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(main_lines(h or "", o)) for h, o in zip(batch.column("html").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            texts = ["\n".join(main_lines(h or "", o, t)) for h, o, t in zip(*(batch.column(c).to_pylist() for c in ("html", "other", "third")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.select("page_id", "url", "html").join(other, "page_id", "left")
+    joined = pages.select("page_id", "url", "html").join(near, "page_id", "left")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
