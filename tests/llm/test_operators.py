@@ -185,6 +185,20 @@ def test_copies_are_passed_over_and_short_pages_lose_their_menus(spark):
         assert all(got[i].startswith("Paragraph 0 that two") and "Menu" not in got[i] for i in (60, 61)) and got[62] == "Quite another page"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div class='sidebar'", "form id=search", "div class='a' role=navigation"])
+def test_marks_do_not_swallow_the_article(wrapper):
+    page = f"<body><{wrapper}><article><h1>T</h1><section id='related-work'><h2 id='search'>R</h2><p>Body</p></section><div class='share-price'>9</div><div class='share-buttons social'>Post</div><div class='cookie-notice'>C</div></article><div class=ad>Buy</div></{wrapper.split()[0]}></body>"
+    found = html_main.lines(page)
+    assert [x for zone, x in found if zone == "main"] == ["T", "R", "Body", "9"]
+    assert [x for zone, x in found if zone == "dropped"] == ["Post", "C", "Buy"]
+
+
+def test_a_mark_without_its_end_drops_nothing():
+    assert html_main.lines("<div class=ad>a<div>b</div><p>c") == [("free", "a"), ("free", "b"), ("free", "c")]
+    assert html_main.lines("<p>a<nav>b<nav>c</nav></nav>d<footer>e") == [("free", "a"), ("dropped", "b"), ("dropped", "c"), ("free", "d"), ("dropped", "e")]
+    assert html_main.lines("<article class=comment>a</article><article>b</article>") == [("dropped", "a"), ("main", "b")]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):

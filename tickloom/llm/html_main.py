@@ -10,6 +10,7 @@ is left lies inside article or main elements, so do the lines outside them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,66 +40,92 @@ MARKS = frozenset(
     "breadcrumbs pagination pager menu nav navbar navigation navigationbar footer masthead toolbar login search complementary contentinfo".split()
 )
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*+>?|/(?P<end>[A-Za-z][A-Za-z0-9:-]*+)[^>]*+>?|(?P<start>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<open>[A-Za-z][A-Za-z0-9:-]*+)(?P<loose>[^>]*+)>?)", re.DOTALL)
-_MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[A-Za-z]+")
+_MARKED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_RAW_ENDS = {name: re.compile(f"</{name}", re.IGNORECASE) for name in RAW}
+#: Elements that no mark and no form may take along.
+HELD = frozenset(("article", "main", "h1"))
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 
 
-def _is_marked(attributes: str, in_main: bool) -> bool:
+def _is_marked(name: str, attributes: str, in_main: bool) -> bool:
+    """Whether a token of class, id or role is a mark, or only marks joined by hyphens; an article's ids name its parts."""
     for value in _MARKED.finditer(attributes):
-        words = {w.lower() for w in _WORDS.findall(value.group(1) or value.group(2) or value.group(3) or "")}
-        if words & MARKS or (not in_main and "header" in words):
-            return True
+        if in_main and name in TITLED and value.group(1).lower() == "id":
+            continue
+        for token in (value.group(2) or value.group(3) or value.group(4) or "").lower().split():
+            words = [w for w in re.split(r"[-_]+|[0-9]+", token) if w]
+            if (words and MARKS.issuperset(words)) or (not in_main and token == "header"):
+                return True
     return re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None
 
 
+def _tags(html: str) -> tuple[list[tuple[int, int, str, str, str]], dict[int, int]]:
+    """All tags as (start, end, started name, ended name, attributes), raw contents passed over, and the tag that ends each element that has one."""
+    tags: list[tuple[int, int, str, str, str]] = []
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(html, at):
+        name, end = (m.group("start") or m.group("open") or "").lower(), (m.group("end") or "").lower()
+        attributes = (m.group("rest") or m.group("loose") or "") if name else ""
+        tags.append((m.start(), m.end(), name, end, attributes))
+        at = m.end()
+        if name in RAW:
+            if not attributes.endswith("/"):
+                close = _RAW_ENDS[name].search(html, at)
+                tags[-1] = (m.start(), close.start() if close else len(html), name, end, attributes)
+                at = tags[-1][1]
+        elif name and name not in VOID:
+            waiting.setdefault(name, []).append(len(tags) - 1)
+        elif end and waiting.get(end):
+            ends[waiting[end].pop()] = len(tags) - 1
+    return tags, ends
+
+
 def lines(html: str) -> list[tuple[str, str]]:
     """(zone, line) of all text blocks in page order; zones: main, free and dropped."""
     out: list[tuple[str, str]] = []
-    low = html.lower()
     held: list[str] = []
-    inside, skipped, depth, at = 0, "", 0, 0
+    tags, ends = _tags(html)
+    holders = [i for i, tag in enumerate(tags) if tag[2] in HELD]
+    inside, skipped, at = 0, -1, 0  # skipped: the tag up to which all is dropped
 
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(("dropped" if skipped else "main" if inside else "free", text))
+            out.append(("dropped" if skipped >= 0 else "main" if inside else "free", text))
 
-    while at < len(html):
-        m = _TAG.search(html, at)
-        held.append(html[at : m.start()] if m else html[at:])
-        if not m:
-            break
-        at = m.end()
-        name = (m.group("start") or m.group("open") or "").lower()
-        end = (m.group("end") or "").lower()
+    def holds(i: int, last: int) -> bool:
+        k = bisect_right(holders, i)
+        return k < len(holders) and holders[k] < last
+
+    for i, (start, stop, name, end, attributes) in enumerate(tags):
+        held.append(html[at:start])
+        at = stop
         if name:
-            attributes = m.group("rest") or m.group("loose") or ""
             if name in BLOCKS:
                 flush()
-            if name in RAW:
-                if not attributes.endswith("/"):
-                    close = low.find(f"</{name}", at)
-                    at = len(html) if close < 0 else close
-            elif skipped:
-                depth += name == skipped
-            elif name not in VOID and ((name in DROPPED and not (name == "header" and inside)) or (name not in ("html", "body") and attributes and _is_marked(attributes, inside > 0))):
-                # Without its end it would swallow the page; only a footer may run to the end.
-                if name == "footer" or low.find(f"</{name}", at) >= 0:
-                    flush()
-                    skipped, depth = name, 1
+            if name in RAW or skipped >= 0 or name in VOID:
+                continue
+            # Without its end it would swallow the page; only a footer may run to the end.
+            last = ends.get(i, len(tags) if name == "footer" else -1)
+            by_name = name in DROPPED and not (name == "header" and inside) and not (name == "form" and holds(i, last))
+            marked = name not in ("html", "body", "h1") and attributes and _is_marked(name, attributes, inside > 0)
+            if last >= 0 and (by_name or (marked and not holds(i, last))):
+                flush()
+                skipped = last
             elif name in MAIN:
                 inside += 1
         elif end:
             if end in BLOCKS:
                 flush()
-            if skipped and end == skipped:
-                depth -= 1
-                if not depth:
-                    flush()
-                    skipped = ""
-            elif not skipped and end in MAIN:
+            if i == skipped:
+                flush()
+                skipped = -1
+            elif skipped < 0 and end in MAIN:
                 inside = max(0, inside - 1)
+    held.append(html[at:])
     flush()
     return out
 
