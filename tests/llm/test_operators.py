@@ -67,6 +67,32 @@ def test_pii_base_spans():
     assert pii.redact("to a@b.org!", "email:3:10") == "to <email>!"
 
 
+IBANS = "DE89370400440532013000 GB29NWBK60161331926819 FR1420041010050500013M02606 IT60X0542811101000000123456 NO9386011117947 BE68539007547034 ES9121000418450200051332 CH9300762011623852957 NL91ABNA0417164300".split()
+
+
+@pytest.mark.parametrize("iban", IBANS)
+def test_pii_ibans_of_all_lengths(iban):
+    spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    for written in (iban, spaced):
+        for text in (f"iban {written}.", f"RE12 {written} EUR PAID now", f"{written} {IBANS[0]}"):
+            base = pii.base_spans(text)
+            found = [(text[s:e], pii.votes(text, k, s, e)[0]) for k, s, e in pii.candidates(text, base) if k == "iban"]
+            assert base or found[0] == (written, 1)
+            assert not text.endswith(IBANS[0]) or (IBANS[0], 1) in found
+
+
+def test_pii_ibans_are_found_and_redacted(spark):
+    rows = [(i, f"Please pay to my account: IBAN {x} today") for i, x in enumerate(IBANS)] + [(20 + i, f"order no AB12 XYZ9 {i}000 ABCD in 2020") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, ["doc_id"]).collect()}
+    assert all(IBANS[i] not in pii.redact(rows[i][1], got[i]) and got[i] for i in range(len(IBANS)))
+
+
+@pytest.mark.parametrize("text", ["MT84MALT01 1", "VG96VPVG00A1B2C3D4E5F6G7", "\u00e9Mr. Smith", "a [at] b.org", "(212) 555-0123"])
+def test_pii_gate_accepts_what_patterns_match(text):
+    assert not any(p.search(text) for p in pii.CANDIDATES.values()) or pii.candidates(text, [])
+
+
 def test_pii_every_row(docs):
     got = pii.find_pii(docs, ["doc_id"]).collect()
     assert len(got) == docs.count()

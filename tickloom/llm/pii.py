@@ -9,6 +9,7 @@ Patterns are counted in Spark: only their counts, bounded by the number of patte
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -32,12 +33,20 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Candidate patterns, gazetteers and cue words.
 CANDIDATES = {
-    "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b", re.ASCII),
+    "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII),
     "local_phone": re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "masked_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT|chez|arroba)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(](?:dot|DOT|punkt|punto|point)[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "person": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b", re.ASCII),
 }
+#: Whatever a candidate pattern matches holds one of these.
+GATE = re.compile(r"[0-9]{3}|[A-Z]{2}[0-9]{2}|[\[(](?:at|AT|chez|arroba)[\])]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\b", re.ASCII)
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 DOMAINS = frozenset("com org net edu gov de fr es uk eu io info".split())
 GIVEN_NAMES = frozenset("anna maria john james mary peter paul thomas michael david sarah laura julia hans klaus jean pierre marie luc jose juan carmen pedro lucia".split())
 CUES = re.compile(r"(?:phone|tel|call|mobile|fax|contact|mail|e-mail|email|write|reach|ssn|social|iban|account|konto|compte|cuenta|name|signed|dear|telefon|telefono)\W{0,3}(?:\w+\W{1,2})?$", re.IGNORECASE)
@@ -114,11 +123,38 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return form, gazetteer, cue, edges, variety
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Spans like an IBAN, without words after it that look like its groups; other lengths than the country's only beside those of the right one."""
+    right, wrong, at = [], [], 0
+    while m := CANDIDATES["iban"].search(text, at):
+        start, end = m.span()
+        length, end_of_length = IBAN_LENGTHS.get(text[start : start + 2]), 0
+        for i in range(start, end):
+            if text[i] != " ":
+                end_of_length += 1
+                if end_of_length == length and (i + 1 == end or text[i + 1] == " "):
+                    right.append((start, i + 1))
+                    break
+        else:
+            wrong.append((start, end))
+            at = start + 1
+            continue
+        at = right[-1][1]
+    starts = [s for s, _ in right]
+
+    def free(start: int, end: int) -> bool:
+        i = bisect_left(starts, end)
+        return not i or right[i - 1][1] <= start
+
+    return right + [span for span in wrong if free(*span)]
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the looser patterns that touch no span in ``taken`` nor an earlier candidate, in order of start."""
-    if not taken and not re.search(r"[0-9]{3}|[\[(](?:at|AT|chez|arroba)[\])]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\b", text):
+    if not GATE.search(text):
         return []
-    found = sorted((m.start(), -m.end(), kind) for kind, pattern in CANDIDATES.items() for m in pattern.finditer(text))
+    matches = ((kind, m.span()) for kind, pattern in CANDIDATES.items() if kind != "iban" for m in pattern.finditer(text))
+    found = sorted((start, -end, kind) for kind, (start, end) in (*matches, *(("iban", x) for x in _ibans(text))))
     busy = sorted((s, e) for _, s, e in taken)
     out, i, free = [], 0, 0
     for start, end, kind in found:
