@@ -24,16 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of every component; texts without words and null ids stay.
-
-    Of rows with one doc_id the least row stays.
-    """
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    others = [c for c in COLUMNS if c != "doc_id"]
-    least = rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
-    return least.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
+    """One document of every component, that with the least doc_id; texts without words stay."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

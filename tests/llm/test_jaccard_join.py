@@ -80,3 +80,22 @@ def test_a_crowded_signature_group_loses_no_link(spark):
         text[rng.randrange(len(text))] = f"own{i}"
         rows.append((i, " ".join(text), 0, ""))
     assert found(spark, rows) == brute(rows)
+
+
+def test_ids_do_not_decide_which_texts_are_the_same(spark):
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words), " ".join(["x", "y", *words[2:]]), " ".join(["x", "y", *words[2:98], "p", "q"])]
+    chain.append(" ".join(["x", "y", "z", "u", *words[4:98], "p", "q"]))
+    schema = "doc_id long, text string"
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2])]
+    assert brute([(i, t) for i, t in zip((1, 2, 3), chain)])[2][2] == 1
+    far = " ".join(["a", "b", "c", "d", "e", "f", *words[6:94], "g", "h", "i", "j", "k", "l"])
+    bridge = " ".join(["a", "b", "c", "d", "e", "f", *words[6:]])
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(1, " ".join(words)), (None, bridge), (3, far)], schema)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (3, 1)}
+    assert jaccard_join.jaccard_components(spark.createDataFrame(rows, schema)).select("component_id").distinct().count() == 1
+    other = " ".join(f"v{i}" for i in range(50))
+    lone = " ".join(f"u{i}" for i in range(50))
+    rows = [(1, " ".join(words)), (None, bridge), (3, far), (3, other), (3, ""), (None, ""), (None, None), (None, lone), (None, lone), (4, None), (4, None)]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, " ".join(words)), (3, other), (3, ""), (None, ""), (None, None), (None, lone), (4, None)], key=str)

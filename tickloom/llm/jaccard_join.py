@@ -221,8 +221,10 @@ def verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "print"), "id")
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if 2 * seen.get.get("pairs", 0) <= BROADCAST_IDS else ids
-    # A doc_id may come with other texts too: the print picks the node's own.
-    sets = cut(_sets(docs.select("doc_id", "text").join(ids, "doc_id")).join(needed.select("id", "print"), "print").select("id", "shingles"))
+    # A doc_id may come with other texts too: the print picks the node's own. Nodes without any id are found by print alone.
+    with_id = _sets(docs.select("doc_id", "text").join(ids, "doc_id")).join(needed.filter("rep IS NOT NULL").select("id", "print"), "print")
+    without = _sets(docs.filter("doc_id IS NULL").select("text")).join(needed.filter("rep IS NULL").select("id", "print"), "print").dropDuplicates(["id"])
+    sets = cut(with_id.select("id", "shingles").union(without.select("id", "shingles")))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -291,14 +293,8 @@ def link_sets(members: DataFrame, deleted: DataFrame, nodes: DataFrame, docs: Da
     return merged(labels, verified(pairs, nodes, docs))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
-
-    Two rows link when 100 * intersection >= 80 * union of their sets; component_id is the least doc_id that links
-    reach. Null texts and texts without words have no shingles and are their own component; fewer than five words are
-    one shingle. Equal sets are one node however many rows have them; repeated rows stay rows. A null doc_id is never
-    the least. Empty tables give empty results; other columns are not read. Sets are compared as 64-bit hashes.
-    """
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, print) of docs, and print, rep (the least doc_id) and comp (the component) of every set."""
     described = cut(describe(docs))
     rows = described.filter("hash is null").select("doc_id", "n", "print", "outline", "tag", "needs")
     found = rows.select(F.explode("needs").alias("need")).groupBy(F.expr("need div 64").alias("band")).agg(F.max(F.col("need") % 64).alias("layout")).collect()
@@ -319,7 +315,51 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     deleted = wholes.join(members.filter("role = 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b")
     labels = link_sets(members.filter("role = 2").select("key", "id"), deleted, nodes, docs)
     labelled = nodes.select("print", "rep", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
+    return rows.select("doc_id", "n", "print"), labelled.select("print", "rep", "comp")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
+
+    Two rows link when 100 * intersection >= 80 * union of their sets; component_id is the least doc_id that links
+    reach. Null texts and texts without words have no shingles and are their own component; fewer than five words are
+    one shingle. Equal sets are one node however many rows have them; repeated rows stay rows. A null doc_id is never
+    the least. Empty tables give empty results; other columns are not read. Sets are compared as 64-bit hashes.
+    """
+    rows, labelled = _labelled(docs)
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_print = labelled.join(least, "comp").select("print", "component_id")
-    joined = rows.select("doc_id", "n", "print").join(of_print, "print", "left")
+    joined = rows.join(of_print, "print", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_print(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array([_print(shingle_set(t)) for t in _binary(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "print"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", print binary")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of docs(doc_id, text, ...): of the set with the least doc_id, or without any, the least row.
+
+    Texts decide which rows are the same: rows of one doc_id with unlike texts are judged apart, and a null doc_id is as
+    any other. Texts without words stay, one row a doc_id, and all rows without an id.
+    """
+    rows, labelled = _labelled(docs.select("doc_id", "text"))
+    best = labelled.groupBy("comp").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "print"))).alias("best"), F.min("print").alias("least"))
+    kept = cut(best.select(F.col("best.rep").alias("rep"), F.coalesce("best.print", "least").alias("print")))
+    # Only where an id has several sets, or none is given, are the prints of the rows made again.
+    of_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("print").alias("m"), F.count("*").alias("n"))
+    mixed = cut(of_id.filter("low <> high OR (m > 0 AND m < n)").select("doc_id"))
+    plain_ids = kept.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).union(rows.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id"))
+    columns, others = docs.columns, [c for c in docs.columns if c != "doc_id"]
+    plain = docs.join(plain_ids.join(mixed, "doc_id", "left_anti").distinct(), "doc_id", "left_semi")
+    plain = plain.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*").select(*columns)
+    hard = _with_print(docs.join(mixed, "doc_id", "left_semi").select(*columns).union(docs.filter("doc_id IS NULL")))
+    worded = hard.join(kept, "print").filter("doc_id <=> rep").groupBy("print").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    empty = hard.filter("print IS NULL")
+    of_empty = empty.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*").select(*columns)
+    return plain.union(worded).union(of_empty).union(empty.filter("doc_id IS NULL").select(*columns))
