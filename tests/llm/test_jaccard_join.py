@@ -99,3 +99,11 @@ def test_ids_do_not_decide_which_texts_are_the_same(spark):
     rows = [(1, " ".join(words)), (None, bridge), (3, far), (3, other), (3, ""), (None, ""), (None, None), (None, lone), (None, lone), (4, None), (4, None)]
     kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(kept, key=str) == sorted([(1, " ".join(words)), (3, other), (3, ""), (None, ""), (None, None), (None, lone), (4, None)], key=str)
+
+
+def test_equal_texts_are_indexed_once_a_task(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(i, one) for i in range(500)] + [(501, two)], "doc_id long, text string").repartition(2)
+    none = (jaccard_join.np.empty(0, jaccard_join.np.uint64), jaccard_join.np.empty(0, jaccard_join.np.int64))
+    counts = [r["count"] for r in jaccard_join.index_rows(docs, {}, none).groupBy("key", "tag").count().collect()]
+    assert counts and max(counts) <= 2

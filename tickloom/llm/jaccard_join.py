@@ -170,19 +170,27 @@ def _tag(print_: bytes) -> int:
 
 
 def index_rows(docs: DataFrame, layouts: dict[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, tag (the print's first 8 bytes) and role of every indexed signature of every document.
+    """key, tag (the print's first 8 bytes) and role of every indexed signature, once for each distinct set of a task.
+
+    So the rows that leave a task are combined before the shuffle: a set that makes up a large part of the table has
+    at most one row a task and key.
 
     Roles: 0 a deletion, 1 a whole set of a one-deletion band, 2 any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             keys, tags, roles = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
             for text in _binary(batch):
                 shingles = shingle_set(text)
+                of_set = _print(shingles)
+                if of_set is None or of_set in seen:
+                    continue
+                seen.add(of_set)
                 for band, d in bands(len(shingles)):
                     keys.append(signatures(shingles, band, d, layouts.get(band, len(LAYOUTS) - 1), frequent))
-                    tags.append(np.full(len(keys[-1]), _tag(_print(shingles)), np.int64))
+                    tags.append(np.full(len(keys[-1]), _tag(of_set), np.int64))
                     roles.append(np.full(len(keys[-1]), 2, np.int8) if band != 2 else (np.arange(len(keys[-1])) == 0).astype(np.int8))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(roles))], ["key", "tag", "role"])
 
