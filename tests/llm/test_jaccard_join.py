@@ -105,5 +105,5 @@ def test_equal_texts_are_indexed_once_a_task(spark):
     one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     docs = spark.createDataFrame([(i, one) for i in range(500)] + [(501, two)], "doc_id long, text string").repartition(2)
     none = (jaccard_join.np.empty(0, jaccard_join.np.uint64), jaccard_join.np.empty(0, jaccard_join.np.int64))
-    counts = [r["count"] for r in jaccard_join.index_rows(docs, {}, none).groupBy("key", "tag").count().collect()]
+    counts = [r["count"] for r in jaccard_join.index_rows(docs, none).groupBy("key", "tag").count().collect()]
     assert counts and max(counts) <= 2

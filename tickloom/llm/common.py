@@ -38,8 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes the files behind frames that cut() returned and that nothing reads any more."""
+    """Deletes the files behind frames that cut() returned and that nothing reads any more; other frames have none."""
     for df in frames:
+        if not hasattr(df, "_cut_folder"):
+            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

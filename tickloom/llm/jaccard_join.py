@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join by a partitioned universe and the pigeonhole principle, with exact verification.
 
 A document's set holds the distinct 5-word shingles of its text. Sets of one size band hash their shingles into the
-same number of segments; two sets that differ in at most D shingles agree in all but D of their segments. A signature
-is a segment's subset of a set. Costs decide which signatures are indexed: those that hold frequent shingles are skipped
-as long as D + 1 others remain, in one global order for all sets, so that linked sets always share an indexed one;
-where too few segments would be filled the band gets more of them, down to single shingles; sets of 4 to 7 shingles,
-where D is 1, are one segment with its one-deletion neighbourhood: a link joins a whole set to another's deletion. Sets that share a signature are verified.
-
-Within a signature's group the members are verified against a pivot first; only pairs that are then still in different
-components are compared, in the first group that both are in. Outlines of BINS numbers rule out
-most false candidates before whole sets are fetched.
+same segments. A signature is a segment's subset of a set. Two sets that differ in at most D shingles differ in at
+most D segments, so of the first D + 1 signatures of each, in one global order, one is shared. The order is by cost:
+signatures of frequent shingles come last, whose frequency is counted over all documents. A set that fills D segments
+or fewer is also indexed by single shingles: if two linked sets share no segment, all that either fills are among the
+D that differ, so both are. Sets of 4 to 7 shingles, where D is 1, are one segment with its one-deletion
+neighbourhood: a link joins a whole set to another's deletion.
+
+Sets that share a signature are candidates. First each is compared with a pivot of its groups, until pivots find few
+links; then the members of groups that still span several components are compared in blocks. Parity sketches rule out
+nearly all false candidates before whole sets are read: bit i of a sketch tells whether an odd number of shingles
+falls on i, so that the bits in which two sketches differ are at most the shingles in which the sets do.
 """
 
 from __future__ import annotations
@@ -26,19 +28,21 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import cut, discard
 
 WORDS = 5
-#: Segments for each difference that a band allows, from cheap to safe; 0 stands for one shingle a segment.
-LAYOUTS = (1.5, 2.5, 4.0, 0)
-#: A shingle counts as frequent from so many documents of an Arrow batch; the most frequent ones, so many at most, are told to all tasks.
-FREQUENT, MOST_FREQUENT = 8, 50_000
-#: Candidate ids up to this number are broadcast; beyond it they are joined by a shuffle.
+#: Segments for each difference that a band allows.
+SEGMENTS = 1.5
+#: Rows of an Arrow batch that are worked on at once.
+SLICE = 1000
+#: A shingle counts as frequent from so many documents of a task; the most frequent ones, so many at most, are told to
+#: all tasks. A task forgets shingles met once when it holds over COUNTED. Costs decide the order of signatures only.
+FREQUENT, MOST_FREQUENT, COUNTED = 3, 50_000, 4_000_000
+#: Ids up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: Pivots that each group with several components is compared with before its other members are.
-PIVOTS = 2
-#: Nodes in at most so many groups meet another only in the first group they share; others may meet again.
-LISTED = 256
-#: Bins of a set's outline, which holds how many of its shingles fall in each, up to 255: the sum of absolute
-#: differences of two outlines is at most the number of shingles in which the sets differ.
-BINS = 64
+#: Pivots are tried anew as long as one comparison in so many finds a link.
+WORTH = 20
+#: Members of a group that are compared at once: larger groups are split into blocks of about this size.
+BLOCK = 512
+#: Bits of the sketch that goes with every candidate; the other sketch has 2 to 4 bits a shingle.
+BITS = 1024
 
 # Odd multipliers of the polynomial and the mixing steps.
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -85,26 +89,12 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def segments(band: int, layout: int) -> int:
+def segments(band: int) -> int:
     top = 2 << band
-    return int(LAYOUTS[layout] * (most_different(top, 5 * top // 4) + 1))
+    return int(SEGMENTS * (most_different(top, 5 * top // 4) + 1))
 
 
-def segment_of(shingles: np.ndarray, band: int, layout: int) -> np.ndarray:
-    return (_mixed(shingles + np.uint64(band + 1)) >> np.uint64(33)).astype(np.int64) % segments(band, layout)
-
-
-def first_layout(shingles: np.ndarray, band: int, d: int) -> int:
-    """The cheapest layout in which the set fills more than d segments; one-deletion bands need none."""
-    if band == 2:
-        return 0
-    for layout, each in enumerate(LAYOUTS):
-        if not each or len(np.unique(segment_of(shingles, band, layout))) > d:
-            return layout
-    raise AssertionError
-
-
-def signatures(shingles: np.ndarray, band: int, d: int, layout: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def signatures(shingles: np.ndarray, band: int, d: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set's indexed signatures in a band."""
     salt = np.uint64(((band + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
     mixed = _mixed(shingles)
@@ -114,63 +104,89 @@ def signatures(shingles: np.ndarray, band: int, d: int, layout: int, frequent: t
     hashes, counts = frequent
     at = np.minimum(np.searchsorted(hashes, shingles), max(0, len(hashes) - 1))
     costs = np.where(hashes[at] == shingles, counts[at], 0) if len(hashes) else np.zeros(len(shingles), np.int64)
-    if LAYOUTS[layout]:
-        own = segment_of(shingles, band, layout)
-        order = np.argsort(own, kind="stable")
-        filled, starts = np.unique(own[order], return_index=True)
-        keys = _mixed(np.add.reduceat(mixed[order], starts) + filled.astype(np.uint64) * _P[1] + salt)
-        costs = np.minimum.reduceat(costs[order], starts)
-    else:
-        keys = _mixed(mixed + salt)
-    return keys[np.lexsort((keys, costs))[: d + 1]]
-
-
-def _binary(batch: pa.RecordBatch) -> list[bytes | None]:
-    return pc.cast(batch.column("text"), pa.binary()).to_pylist()
+    own = (_mixed(shingles + np.uint64(band + 1)) >> np.uint64(33)).astype(np.int64) % segments(band)
+    order = np.argsort(own, kind="stable")
+    filled, starts = np.unique(own[order], return_index=True)
+    keys = _mixed(np.add.reduceat(mixed[order], starts) + filled.astype(np.uint64) * _P[1] + salt)
+    cheapest = np.minimum.reduceat(costs[order], starts)
+    first = keys[np.lexsort((keys, cheapest))[: d + 1]]
+    if len(filled) > d:
+        return first
+    keys = _mixed(mixed + salt)
+    return np.concatenate([first, keys[np.lexsort((keys, costs))[: d + 1]]])
 
 
 def _print(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def outline(shingles: np.ndarray) -> list[int]:
-    counts = np.bincount((_mixed(shingles) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
-    return np.minimum(counts, 255).tolist()
+def _tag(print_: bytes) -> int:
+    return int.from_bytes(print_[:8], "little", signed=True)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, print) with band and layout needs, and rows of frequent shingles (hash, n)."""
+def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the shingles on each of ``bits`` places (a multiple of 64), as words of 64."""
+    place = (_mixed(shingles) >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) % 2 == 1).view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in _binary(batch)]
-            needs = [[(b, first_layout(s, b, d)) for b, d in bands(len(s))] for s in sets]
-            hashes, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            often = counts >= FREQUENT
-            hashes, counts = hashes[often].astype(np.int64), counts[often]
-            n, m = len(sets), len(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.array([*map(len, sets), *counts.tolist()], pa.int64()),
-                    pa.array([*map(_print, sets), *[None] * m], pa.binary()),
-                    pa.array([*map(outline, sets), *[None] * m], pa.list_(pa.int32())),
-                    pa.array([*[_tag(x) if x else None for x in map(_print, sets)], *[None] * m], pa.int64()),
-                    pa.array([*[[64 * b + l for b, l in x] for x in needs], *[None] * m], pa.list_(pa.int32())),
-                    pa.array([*[None] * n, *hashes.tolist()], pa.int64()),
-                ],
-                ["doc_id", "n", "print", "outline", "tag", "needs", "hash"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, outline array<int>, tag long, needs array<int>, hash long")
 
+def own_bits(n: int) -> int:
+    """Bits of the larger sketch of a set of n shingles: 4 times the least size of its band."""
+    return max(64, 4 << (n.bit_length() - 1))
 
-def _tag(print_: bytes) -> int:
-    return int.from_bytes(print_[:8], "little", signed=True)
 
+def apart(a: bytes, b: bytes) -> int:
+    """A number of shingles in which the sets of two larger sketches differ at least; the longer one is folded."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches, each with its texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            yield part, pc.cast(part.column("text"), pa.binary()).to_pylist()
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """Rows of documents (doc_id, n, print, tag: the print's first 8 bytes), and rows of frequent shingles (n, hash)."""
+    names = ["doc_id", "n", "print", "tag", "hash"]
+
+    def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        return distinct, np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
 
-def index_rows(docs: DataFrame, layouts: dict[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, tag (the print's first 8 bytes) and role of every indexed signature, once for each distinct set of a task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for part, texts in _texts(batches):
+            sets = [shingle_set(t) for t in texts]
+            prints = [_print(s) for s in sets]
+            new = [known]
+            for of_set, shingles in zip(prints, sets, strict=True):
+                if of_set is not None and of_set not in seen:
+                    seen.add(of_set)
+                    new.append(shingles)
+            known, counts = summed(new, [counts, *(np.ones(len(s), np.int64) for s in new[1:])])
+            if len(known) > COUNTED:
+                known, counts = known[counts > 1], counts[counts > 1]
+            tags = pa.array([x and _tag(x) for x in prints], pa.int64())
+            columns = [part.column("doc_id").cast(pa.int64()), pa.array([*map(len, sets)], pa.int64()), pa.array(prints, pa.binary()), tags]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int64())], names)
+        often = counts >= FREQUENT
+        m = int(often.sum())
+        columns = [pa.nulls(m, pa.int64()), pa.array(counts[often]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(known[often].astype(np.int64))], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, tag long, hash long")
+
+
+def index_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, tag and role of every indexed signature, once for each distinct set of a task.
 
     So the rows that leave a task are combined before the shuffle: a set that makes up a large part of the table has
     at most one row a task and key.
@@ -180,65 +196,99 @@ def index_rows(docs: DataFrame, layouts: dict[int, int], frequent: tuple[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for _, texts in _texts(batches):
             keys, tags, roles = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
-            for text in _binary(batch):
+            for text in texts:
                 shingles = shingle_set(text)
                 of_set = _print(shingles)
                 if of_set is None or of_set in seen:
                     continue
                 seen.add(of_set)
                 for band, d in bands(len(shingles)):
-                    keys.append(signatures(shingles, band, d, layouts.get(band, len(LAYOUTS) - 1), frequent))
-                    tags.append(np.full(len(keys[-1]), _tag(of_set), np.int64))
-                    roles.append(np.full(len(keys[-1]), 2, np.int8) if band != 2 else (np.arange(len(keys[-1])) == 0).astype(np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(roles))], ["key", "tag", "role"])
+                    keys.append(signatures(shingles, band, d, frequent))
+                    n = len(keys[-1])
+                    tags.append(np.full(n, _tag(of_set), np.int64))
+                    roles.append(np.full(n, 2, np.int8) if band != 2 else (np.arange(n) == 0).astype(np.int8))
+            columns = [np.concatenate(keys).astype(np.int64), np.concatenate(tags), np.concatenate(roles)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "tag", "role"])
 
     return docs.select("text").mapInArrow(run, "key long, tag long, role tinyint")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """print and shingles of every row of docs(text)."""
+def _described_sets(docs: DataFrame, names: str) -> DataFrame:
+    """``names`` of docs with, of each text: print, n, small and large (its sketches) and shingles, where there are any."""
+    kept = [name.split()[0] for name in names.split(", ") if name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in _binary(batch)]
-            starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        for part, texts in _texts(batches):
+            sets = [shingle_set(t) for t in texts]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            sets = [sets[i] for i in full]
+            columns = [part.column(name).take(pa.array(full, pa.int64())) for name in kept]
+            starts = np.concatenate([[0], np.cumsum([*map(len, sets)])]).astype(np.int32)
             values = np.concatenate([*sets, np.empty(0, np.uint64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([*map(_print, sets)], pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(values))], ["print", "shingles"])
+            columns += [pa.array([*map(_print, sets)], pa.binary()), pa.array([*map(len, sets)], pa.int64())]
+            columns += [pa.array([sketch(s, BITS).tobytes() for s in sets], pa.binary())]
+            columns += [pa.array([sketch(s, own_bits(len(s))).tobytes() for s in sets], pa.binary())]
+            columns += [pa.ListArray.from_arrays(pa.array(starts), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "print", "n", "small", "large", "shingles"])
+
+    made = "print binary, n long, small binary, large binary, shingles array<long>"
+    return docs.select(*kept, "text").mapInArrow(run, f"{names}, {made}" if names else made)
 
-    return docs.select("text").mapInArrow(run, "print binary, shingles array<long>")
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get.get("rows", 0)
 
 
-def _may_link():
-    """Condition on sizes na, nb and outlines oa, ob that all linked sets meet."""
-    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    return (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (apart <= F.floor((F.col("na") + F.col("nb")) / 9))
+def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, n, small, large and shingles of the nodes(id, print, rep), a row each.
 
+    A doc_id may come with other texts too: the print picks the node's own. Nodes without any id are found by print.
+    """
+    count = nodes.count()
+    ids = nodes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    found = _described_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id"), "doc_id long")
+    own = nodes.select("id", F.col("rep").alias("doc_id"), "print")
+    sets = found.join(F.broadcast(own) if count <= BROADCAST_IDS else own, ["doc_id", "print"]).drop("doc_id", "print")
+    without = nodes.filter("rep IS NULL").select("id", "print")
+    if not without.isEmpty():
+        sets = sets.union(_described_sets(docs.filter("doc_id IS NULL"), "").join(without, "print").drop("print").select(*sets.columns))
+    made, rows = _counted(sets.select("id", "n", "small", "large", "shingles"))
+    if rows == count:
+        return made
+    once = cut(made.dropDuplicates(["id"]))  # rows that repeat, id and text
+    discard(made)
+    return once
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and larger sketches allow a link."""
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and outlines allow a link."""
-    ends = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
-    return pairs.join(ends("a"), "a").join(ends("b"), "b").filter(_may_link()).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
+            sketches = zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)
+            near = pa.array(np.fromiter((apart(*x) for x in sketches), np.int64, batch.num_rows) <= bound)
+            yield batch.select(["a", "b"]).filter(near)
 
+    ends = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"o{x}"))
+    near = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return near.mapInArrow(run, "a long, b long")
 
-def verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of node ids with 100 * intersection >= 80 * union; sets are made anew for these pairs only."""
-    seen = Observation()
-    likely = cut(likely.observe(seen, F.count(F.lit(1)).alias("pairs")))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "print"), "id")
-    ids = needed.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if 2 * seen.get.get("pairs", 0) <= BROADCAST_IDS else ids
-    # A doc_id may come with other texts too: the print picks the node's own. Nodes without any id are found by print alone.
-    with_id = _sets(docs.select("doc_id", "text").join(ids, "doc_id")).join(needed.filter("rep IS NOT NULL").select("id", "print"), "print")
-    without = _sets(docs.filter("doc_id IS NULL").select("text")).join(needed.filter("rep IS NULL").select("id", "print"), "print").dropDuplicates(["id"])
-    sets = cut(with_id.select("id", "shingles").union(without.select("id", "shingles")))
+
+def verified(likely: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """Of the pairs (a, b) of node ids those with 100 * intersection >= 80 * union, and their number."""
+    likely, count = _counted(_plausible(likely, sets))
+    if not count:
+        return likely, 0
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     joined = likely.join(left, "a").join(right, "b")
-    links = cut(joined.filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct())
-    discard(likely, sets)
+    links = _counted(joined.filter(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"))
+    discard(likely)
     return links
 
 
@@ -252,76 +302,149 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = lower.join(jump, "label").select("node", "was", F.least("label", "far").alias("label"))
         seen = Observation()
-        before, labels = labels, cut(new.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("moved")).select("node", "label"))
+        moved = F.count_if(F.col("label") != F.col("was")).alias("moved")
+        before, labels = labels, cut(new.observe(seen, moved).select("node", "label"))
         discard(before)
         if not seen.get.get("moved", 0):
             discard(ways)
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after more links(a, b): components of the components that they connect."""
-    if links.isEmpty():
+def merged(labels: DataFrame, links: DataFrame, count: int) -> DataFrame:
+    """labels after count more links(a, b): components of the components that they connect. Files that are done with go."""
+    if not count:
+        discard(links)
         return labels
     known = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))
-    between = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    higher = components(between.filter("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    between = links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    connected = components(between)
+    higher = connected.select(F.col("node").alias("label"), F.col("label").alias("top"))
     # A node that had no link before is its own component.
     nodes = labels.union(higher.join(labels.select("label").distinct(), "label", "left_anti").select("label", "label"))
-    return cut(nodes.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    out = cut(nodes.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    discard(labels, links, connected)
+    return out
 
 
-def link_sets(members: DataFrame, deleted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and label of all linked nodes: components of the links among the pairs of deleted(a, b) and between nodes that share a key of members(key, id)."""
-    by_key = Window.partitionBy("key")
-    # Each node against one pivot: among the first nodes of its keys the one that leads most of them.
-    led = members.withColumn("lead", F.min("id").over(by_key)).filter("lead <> id").groupBy("id", "lead").count()
-    first = led.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
-    labels = components(verified(_plausible(first.union(deleted).distinct(), nodes), nodes, docs))
-    for pivot in range(1, PIVOTS + 2):
-        own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
-        own = own.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)}).filter("low <> high")
-        mixed = cut(own.select("key", "id", "comp", F.row_number().over(by_key.orderBy("id")).alias("rank")))
-        if mixed.isEmpty():
-            return labels
-        if pivot > PIVOTS:
-            break
-        led = mixed.withColumn("lead", F.min(F.when(F.col("rank") == pivot, F.struct("id", "comp"))).over(by_key))
-        met = led.filter((F.col("rank") > pivot) & (F.col("comp") != F.col("lead.comp"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-        labels = merged(labels, verified(_plausible(met, nodes), nodes, docs))
+def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, comp and size (of the group) of the members(key, id) whose group still spans several components."""
+    own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
+    groups = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    return cut(own.join(groups.filter("low <> high").select("key", "size"), "key"))
+
+
+def _led(mixed: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b), one for each node a at most: of its groups' pivots the one in another component that leads most.
+
+    A group's pivot is its member with the least hash, another one for every ``number``.
+    """
+    pivots = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "comp")).alias("lead"))
+    other = mixed.join(pivots, "key").filter(F.col("comp") != F.col("lead.comp"))
+    often = other.groupBy("id", F.col("lead.id").alias("lead")).count()
+    return often.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
+
+
+def _near_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a group and whose sizes and small sketches allow a link.
+
+    Groups over BLOCK are dealt into blocks by hash and a task gets two blocks, so that no task holds a whole large
+    group, and only pairs that pass leave a task.
+    """
+    deal = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = mixed.join(sets.select("id", "n", "small"), "id").withColumn("own", F.pmod(F.xxhash64("id"), deal).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), deal - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "small")
+
+    def near(rows: dict[str, np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+        """ends: where each row's group ends. Each row is compared with the one s places on, for all s."""
+        alive, found = np.arange(len(ends)), []
+        s = 0
+        while len(alive):
+            s += 1
+            alive = alive[ends[alive] > alive + s]
+            for x in np.array_split(alive, len(alive) // 100_000 + 1):
+                y = x + s
+                n, m = rows["n"][x], rows["n"][y]
+                # Two rows of one block meet in the pair of this block with itself only.
+                meet = (rows["i"][x] == rows["j"][x]) | (rows["own"][x] != rows["own"][y])
+                meet &= (rows["comp"][x] != rows["comp"][y]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+                x, y, bound = x[meet], y[meet], ((n + m) // 9)[meet]
+                close = np.bitwise_count(rows["small"][x] ^ rows["small"][y]).sum(1) <= bound
+                if close.any():
+                    found.append(np.sort(np.stack([rows["id"][x[close]], rows["id"][y[close]]], 1), 1))
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp", "n")}
+            words = b"".join(batch.column("small").to_pylist())
+            rows["small"] = np.frombuffer(words, np.uint64).reshape(-1, BITS // 64)
+            if rest is not None:
+                rows = {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
+            size = len(rows["key"])
+            if not size:
+                continue
+            new = np.any([rows[c][1:] != rows[c][:-1] for c in ("key", "i", "j")], 0)
+            starts = np.concatenate([[0], np.nonzero(new)[0] + 1])
+            last = starts[-1]  # the last group may go on in the next batch
+            ends = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
+            yield near({c: v[:last] for c, v in rows.items()}, ends[:last])
+            rest = {c: v[last:] for c, v in rows.items()}
+        if rest is not None:
+            yield near(rest, np.full(len(rest["key"]), len(rest["key"])))
+
+    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return pairs.distinct()
+
+
+def link_sets(members: DataFrame, deleted: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and label of all linked nodes: components of the links among deleted(a, b) and nodes that share a key of members(key, id)."""
+    labels = sets.sparkSession.createDataFrame([], "node long, label long")
+    labels = merged(labels, *verified(deleted, sets))
+    mixed, number = _spanning(members, labels), 0
+    while not mixed.isEmpty():
+        pairs, tried = _counted(_led(mixed, number))
+        links, found = verified(pairs, sets)
+        discard(pairs)
+        labels = merged(labels, links, found)
         # Groups of one component need no look again.
-        members = mixed.select("key", "id")
-    lists = mixed.groupBy("id").agg(F.count("*").alias("groups"), F.sort_array(F.collect_list("key")).alias("keys"))
-    lists = lists.select("id", F.when(F.col("groups") <= LISTED, F.col("keys")).alias("keys")).join(nodes.select("id", "n", "outline"), "id")
-    rows = cut(mixed.drop("rank").join(lists, "id"))
-    ends = lambda x: rows.select("key", *(F.col(c).alias(f"{p}{x}") for c, p in (("id", ""), ("comp", "c"), ("n", "n"), ("outline", "o"), ("keys", "k"))))
-    first_met = F.coalesce(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"), F.lit(True))
-    left, right = ends("a"), ends("b").withColumnRenamed("key", "key_b")
-    pairs = left.join(right, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & _may_link() & first_met).select("a", "b").distinct()
-    return merged(labels, verified(pairs, nodes, docs))
+        before, mixed = mixed, _spanning(mixed.select("key", "id"), labels) if found else mixed
+        if found:
+            discard(before)
+        if found * WORTH < tried:
+            labels = merged(labels, *verified(_near_in_blocks(mixed, sets), sets))
+            break
+        number += 1
+    discard(mixed)
+    return labels
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, print) of docs, and print, rep (the least doc_id) and comp (the component) of every set."""
     described = cut(describe(docs))
-    rows = described.filter("hash is null").select("doc_id", "n", "print", "outline", "tag", "needs")
-    found = rows.select(F.explode("needs").alias("need")).groupBy(F.expr("need div 64").alias("band")).agg(F.max(F.col("need") % 64).alias("layout")).collect()
-    layouts = {r["band"]: r["layout"] for r in found}
+    rows = described.filter("hash is null").select("doc_id", "n", "print", "tag")
     often = described.filter("hash is not null").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toPandas()
     hashes = often["hash"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(hashes)
     frequent = (hashes[order], often["n"].to_numpy(np.int64)[order])
 
     by_key = Window.partitionBy("key")
-    shared = index_rows(docs, layouts, frequent).withColumns({"low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)}).filter("low <> high")
-    shared = cut(shared.select("key", "tag", "role").distinct())
-    found = rows.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("outline").alias("outline"))
+    index = index_rows(docs, frequent).withColumns({"low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)})
+    shared = cut(index.filter("low <> high").select("key", "tag", "role").distinct())
+    found = rows.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tag").alias("tag"))
     nodes = cut(found.withColumn("id", F.monotonically_increasing_id()))
     # Where two prints begin alike, both nodes take part; verification tells them apart.
     members = cut(shared.join(nodes.select("tag", "id"), "tag").select("key", "id", "role"))
+    discard(shared)
+    candidates = cut(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "print", "rep"))
+    sets = candidate_sets(docs, candidates)
     wholes = members.filter("role = 1").select("key", F.col("id").alias("a"))
-    deleted = wholes.join(members.filter("role = 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b")
-    labels = link_sets(members.filter("role = 2").select("key", "id"), deleted, nodes, docs)
+    deleted = wholes.join(members.filter("role = 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
+    labels = link_sets(members.filter("role = 2").select("key", "id"), deleted, sets)
+    discard(members, candidates, sets)
     labelled = nodes.select("print", "rep", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
     return rows.select("doc_id", "n", "print"), labelled.select("print", "rep", "comp")
 
@@ -343,9 +466,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _with_print(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = pa.array([_print(shingle_set(t)) for t in _binary(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "print"])
+        for part, texts in _texts(batches):
+            prints = pa.array([_print(shingle_set(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, prints], [*part.schema.names, "print"])
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", print binary")
 
@@ -359,15 +482,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, labelled = _labelled(docs.select("doc_id", "text"))
     best = labelled.groupBy("comp").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "print"))).alias("best"), F.min("print").alias("least"))
     kept = cut(best.select(F.col("best.rep").alias("rep"), F.coalesce("best.print", "least").alias("print")))
-    # Only where an id has several sets, or none is given, are the prints of the rows made again.
-    of_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("print").alias("m"), F.count("*").alias("n"))
-    mixed = cut(of_id.filter("low <> high OR (m > 0 AND m < n)").select("doc_id"))
-    plain_ids = kept.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).union(rows.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id"))
+    # Only where an id comes more than once, or not at all, are rows compared and their prints made again.
+    again = cut(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    ids = kept.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).union(rows.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id"))
+    single = docs.join(ids.join(again, "doc_id", "left_anti").distinct(), "doc_id", "left_semi")
     columns, others = docs.columns, [c for c in docs.columns if c != "doc_id"]
-    plain = docs.join(plain_ids.join(mixed, "doc_id", "left_anti").distinct(), "doc_id", "left_semi")
-    plain = plain.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*").select(*columns)
-    hard = _with_print(docs.join(mixed, "doc_id", "left_semi").select(*columns).union(docs.filter("doc_id IS NULL")))
+    hard = _with_print(docs.join(again, "doc_id", "left_semi").select(*columns).union(docs.filter("doc_id IS NULL")))
     worded = hard.join(kept, "print").filter("doc_id <=> rep").groupBy("print").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
     empty = hard.filter("print IS NULL")
     of_empty = empty.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*").select(*columns)
-    return plain.union(worded).union(of_empty).union(empty.filter("doc_id IS NULL").select(*columns))
+    return single.select(*columns).union(worded).union(of_empty).union(empty.filter("doc_id IS NULL").select(*columns))
