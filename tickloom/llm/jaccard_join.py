@@ -33,7 +33,7 @@ SEGMENTS = 1.5
 #: Rows of an Arrow batch that are worked on at once.
 SLICE = 1000
 #: A shingle counts as frequent from so many documents of a task; the most frequent ones, so many at most, are told to
-#: all tasks. A task forgets shingles met once when it holds over COUNTED. Costs decide the order of signatures only.
+#: all tasks. A task that has met over COUNTED shingles forgets those met once. Costs decide the order of signatures only.
 FREQUENT, MOST_FREQUENT, COUNTED = 3, 50_000, 4_000_000
 #: Ids up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -156,27 +156,28 @@ def describe(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, print, tag: the print's first 8 bytes), and rows of frequent shingles (n, hash)."""
     names = ["doc_id", "n", "print", "tag", "hash"]
 
-    def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        return distinct, np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
+    def summed(known: np.ndarray, counts: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        distinct, which = np.unique(np.concatenate([known, *new]), return_inverse=True)
+        weights = np.concatenate([counts, np.ones(len(which) - len(known), np.int64)])
+        return distinct, np.bincount(which, weights, len(distinct)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        known, counts, new = np.empty(0, np.uint64), np.empty(0, np.int64), []
         for part, texts in _texts(batches):
             sets = [shingle_set(t) for t in texts]
             prints = [_print(s) for s in sets]
-            new = [known]
             for of_set, shingles in zip(prints, sets, strict=True):
                 if of_set is not None and of_set not in seen:
                     seen.add(of_set)
                     new.append(shingles)
-            known, counts = summed(new, [counts, *(np.ones(len(s), np.int64) for s in new[1:])])
-            if len(known) > COUNTED:
-                known, counts = known[counts > 1], counts[counts > 1]
+            if sum(map(len, new)) > COUNTED:
+                known, counts = summed(known, counts, new)
+                known, counts, new = known[counts > 1], counts[counts > 1], []
             tags = pa.array([x and _tag(x) for x in prints], pa.int64())
             columns = [part.column("doc_id").cast(pa.int64()), pa.array([*map(len, sets)], pa.int64()), pa.array(prints, pa.binary()), tags]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int64())], names)
+        known, counts = summed(known, counts, new)
         often = counts >= FREQUENT
         m = int(often.sum())
         columns = [pa.nulls(m, pa.int64()), pa.array(counts[often]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
@@ -283,6 +284,8 @@ def verified(likely: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
     likely, count = _counted(_plausible(likely, sets))
     if not count:
         return likely, 0
+    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.join(F.broadcast(needed) if 2 * count <= BROADCAST_IDS else needed, "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))

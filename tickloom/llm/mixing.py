@@ -1,8 +1,8 @@
 """Mixing sources to target weights with DataFrame operations only.
 
-Documents get hash-random keys. The keys' leading bits cut each source into ranges, so that prefix sums of sizes run
-over many tasks: within a range by a window, across ranges on one row per range. A source's budget then cuts its
-sorted documents exactly, after as many whole epochs as fit.
+Documents get hash-random keys. The keys' leading digits cut each source into 65,536 ranges; prefix sums of sizes run
+across ranges on one row per range, and by key within the one range that a source's budget cuts. What a document gives
+then follows from its source's budget and its own key: all copies below the cut, some words at it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from tickloom.llm.common import cut
 WEIGHTS = (5, 2, 1)
 #: All targets together, as a share of all sizes, and the most of a source that its target may be.
 TOTAL, EPOCHS = 1.5, 2
-#: Key ranges of a source: the most rows that one task sees of the sums across ranges, and 1 / RANGES of a source is the most that one sees of its documents.
-RANGES = 4096
+#: Sources up to this number are broadcast, a row of a few numbers each; beyond it documents are joined by a shuffle.
+SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -54,7 +54,39 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, key and range of every document; texts are read once and go no further."""
     key = random_key(F.col("doc_id"))
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("key"))
-    return slim.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % RANGES)
+    return slim.withColumn("range", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
+
+
+def budgets(slim: DataFrame) -> DataFrame:
+    """One row for each source: source, source_size, target, epochs, rest, cut_key and before.
+
+    A source gives ``epochs`` whole copies of its documents, one more of those whose key is below cut_key, and of those
+    with cut_key, before which there are ``before`` words, what is left of the ``rest`` words. Only the range that
+    holds the cut is sorted by document. cut_key is null where the source has no words.
+    """
+    ranges = slim.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    targets = cut(targets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).alias("r")
+    starts = starts.join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).filter("start <= rest AND rest < start + range_size")
+    starts = starts.select("r.source", "range", "start", "rest").alias("s")
+    inside = slim.alias("d").join(starts, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
+    of_key = inside.groupBy("d.source", "start", "rest", "key").agg(F.sum("size").alias("key_size"))
+    lower = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = of_key.withColumn("before", F.col("start") + F.coalesce(F.sum("key_size").over(lower), F.lit(0)))
+    cuts = of_key.filter("before <= rest AND rest < before + key_size").select("source", F.col("key").alias("cut_key"), "before").alias("c")
+    joined = targets.alias("t").join(cuts, F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    return cut(joined.select("t.*", "cut_key", "before"))
+
+
+def _with_budget(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with their source's budget; rows move only if there are more than SOURCES sources."""
+    sources = sources.withColumnRenamed("source", "_source")
+    joined = F.broadcast(sources) if sources.count() <= SOURCES else sources
+    return rows.join(joined, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -66,42 +98,45 @@ def mix(docs: DataFrame) -> DataFrame:
     only, which changes no result. Empty tables give empty results; other columns are not read.
     """
     slim = cut(sized(docs))
-    ranges = slim.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(sources)
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    starts = starts.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    starts = starts.select("r.source", "range", "range_start", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = slim.withColumn("upto", F.sum("size").over(within)).alias("d")
-    placed = placed.join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size") - (F.col("range_start") + F.col("upto") - F.col("size"))
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = _with_budget(slim, budgets(slim))
+    others = rows.filter("NOT key <=> cut_key").withColumn("more", F.when(F.col("key") < F.col("cut_key"), F.col("size")).otherwise(0))
+    tied = Window.partitionBy("source").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("rest") - F.col("before") - (F.sum("size").over(tied) - F.col("size"))
+    at_cut = rows.filter("key = cut_key").withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    columns = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken")]
+    return others.select(*columns).union(at_cut.select(*columns))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them; a copy in part holds its first words.
 
-    Each row counts on its own, also where doc_ids repeat: texts of one doc_id are told apart by their size, and rows
-    of equal doc_id, source and size share what is taken from all of them.
+    What a row gives follows from its source's budget and its key alone, so texts are not shuffled; only the rows of
+    the key at which a source is cut are ordered, equal ones by their text. Rows without words give none; every row
+    counts on its own, also where doc_ids repeat. Empty tables give empty results; columns keep their names and order.
     """
-    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("sum"), F.count("*").alias("n"))
-    rows = docs.withColumn("_size", size_of(F.col("text"))).alias("d")
-    joined = rows.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._size") == F.col("t.size")))
-    each = F.round(F.col("sum") / F.col("n")).cast("long")
-    whole = F.when(F.col("_size") > 0, F.floor(each / F.col("_size"))).otherwise(0).cast("int")
-    part = F.when(F.col("_size") > 0, each % F.col("_size")).otherwise(0).cast("int")
-    copies = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    every = joined.select(*(F.col(f"d.{c}").alias(c) for c in docs.columns), "_size", F.explode(copies).alias("_words"))
+    slim = cut(sized(docs))
+    sources = budgets(slim)
+    kept = [F.col(c) for c in docs.columns]
+    worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = worded.select(F.struct(*kept).alias("row"), "source", random_key(F.col("doc_id")).alias("key"))
+    rows = _with_budget(rows, sources)
+    copies = F.col("epochs") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)
+    whole = rows.filter("NOT key <=> cut_key").select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("whole"))
+    at_cut = rows.filter("key = cut_key").withColumn("size", size_of(F.col("row.text")))
+    tied = Window.partitionBy("source").orderBy("row.doc_id", "size", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("rest") - F.col("before") - (F.sum("size").over(tied) - F.col("size"))
+    at_cut = at_cut.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    more = F.when(F.col("more") > 0, F.array("more")).otherwise(F.array().cast("array<bigint>"))
+    counts = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), more)
+    part = at_cut.select("row", "size", F.explode(counts).alias("words"))
     # Words with the white space before each: no pattern recurses, however long the text is.
-    words = F.regexp_extract_all(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words")), ""))
-    cut_rows = every.withColumn("text", text)
-    return (cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows).select(*docs.columns)
+    pieces = F.regexp_extract_all(F.rtrim("row.text", F.lit(" \t\n\x0b\x0c\r")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    part = part.withColumn("text", F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(first))
+    part = part.select("row.*", F.col("text").alias("_text")).withColumn("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select("row.*").union(part.select(*docs.columns))
 
 
 #: The same in DuckDB. Ties within a source are broken alike; equal rows are interchangeable.
