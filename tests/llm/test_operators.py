@@ -88,9 +88,69 @@ def test_pii_ibans_are_found_and_redacted(spark):
     assert all(IBANS[i] not in pii.redact(rows[i][1], got[i]) and got[i] for i in range(len(IBANS)))
 
 
-@pytest.mark.parametrize("text", ["MT84MALT01 1", "VG96VPVG00A1B2C3D4E5F6G7", "\u00e9Mr. Smith", "a [at] b.org", "(212) 555-0123"])
+@pytest.mark.parametrize("text", ["MT84MALT01 1", "VG96VPVG00A1B2C3D4E5F6G7", "\u00e9Mr. Smith", "a [at] b.org", "(212) 555-0123", "token = abcdefgh", "AKIA" + "0A1B" * 4])
 def test_pii_gate_accepts_what_patterns_match(text):
-    assert not any(p.search(text) for p in pii.CANDIDATES.values()) or pii.candidates(text, [])
+    patterns = [*pii.CANDIDATES.values(), pii.SHOWN, pii.ASSIGNED]
+    assert not any(p.search(text) for p in patterns) or pii.candidates(text, [])
+
+
+def brute_estimate(kinds, patterns, counts):
+    """The same model by plain loops over single spans."""
+    p = [1.0 if k in pii.BASE else 1 / (1 + np.exp(-1.5 * sum(v))) for k, v in zip(kinds, patterns, strict=True)]
+    clip = lambda x, low, high: min(max(x, low), high)
+    for _ in range(pii.EM_STEPS):
+        right = {}
+        for j in range(len(pii.LABELERS)):
+            for c in (1, -1):
+                of_class = [n * (q if c == 1 else 1 - q) for n, q in zip(counts, p, strict=True)]
+                spoken = sum(w for w, v in zip(of_class, patterns, strict=True) if v[j])
+                agreed = sum(w for w, v in zip(of_class, patterns, strict=True) if v[j] == c)
+                right[j, c] = clip((agreed + 8) / (spoken + 10), 0.55, 0.98)
+        new = []
+        for k, v in zip(kinds, patterns, strict=True):
+            own = [(n, q) for kk, n, q in zip(kinds, counts, p, strict=True) if kk == k]
+            prior = clip((sum(n * q for n, q in own) + 2) / (sum(n for n, _ in own) + 4), 0.1, 0.9)
+            yes, no = prior, 1 - prior
+            for j, vote in enumerate(v):
+                if vote:
+                    yes *= right[j, 1] if vote == 1 else 1 - right[j, 1]
+                    no *= right[j, -1] if vote == -1 else 1 - right[j, -1]
+            new.append(1.0 if k in pii.BASE else yes / (yes + no))
+        p = new
+    return p
+
+
+MIXES = {
+    "mostly base": {"email,0,1,0,0,0": 9000, "phone,1,0,1,0,0": 40, "card,1,0,0,0,0": 900, "person,0,-1,0,0,0": 5, "iban,1,0,1,0,0": 3, "iban,-1,0,-1,0,0": 4},
+    "mostly added": {"email,0,1,0,0,0": 2, "person,0,1,1,0,0": 300, "person,0,-1,0,0,0": 500, "iban,1,0,1,0,0": 90, "iban,-1,0,-1,-1,0": 70, "secret,1,0,1,0,0": 200, "secret,1,0,-1,0,0": 50},
+}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_pii_reliabilities_do_not_depend_on_the_mix(mix):
+    kinds, patterns = [s.split(",")[0] for s in MIXES[mix]], np.array([[*map(float, s.split(",")[1:])] for s in MIXES[mix]])
+    counts = np.array([*MIXES[mix].values()], float)
+    got = dict(zip(MIXES[mix], pii.estimate(kinds, patterns, counts), strict=True))
+    assert np.allclose([*got.values()], brute_estimate(kinds, patterns.tolist(), counts))
+    assert got["email,0,1,0,0,0"] > 0.9 and got["iban,1,0,1,0,0"] > 0.9
+    assert all(v < 0.5 for s, v in got.items() if s.startswith(("iban,-1", "person,0,-1")))
+
+
+def test_pii_planted_spans_are_added_and_clean_texts_left_alone(spark):
+    rng = random.Random(4)
+    filler = lambda: " ".join(rng.choice("over the river and into small towns they walk".split()) for _ in range(30))
+    planted, clean = [], []
+    for i in range(60):
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        digest = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        value = [f'token = "{secret}"', f"call me at ({rng.randrange(212, 989)}) 555-{rng.randrange(1000, 9999)}", f"write to ana.{i} [at] mail{i}.org", f"signed Dr. Maria {rng.choice(['Holm', 'Keller'])}"]
+        planted.append((i, f"{filler()} {value[i % 4]} {filler()}", value[i % 4].split(" ", 3)[-1].strip('"')))
+        clean.append((100 + i, f"{filler()} " + [f"commit {digest}", f"page no {rng.randrange(100, 999)}", "token rings and password habits", f"version {i}.2"][i % 4] + f" {filler()}"))
+    docs = spark.createDataFrame([r[:2] for r in planted] + clean + [(999, "a@b.org and c@d.com")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, ["doc_id"]).collect()}
+    assert sum(bool(got[i]) for i, *_ in planted) >= 0.95 * len(planted)
+    assert sum(bool(got[i]) for i, _ in clean) <= 0.05 * len(clean)
+    assert all(v[-6:] not in pii.redact(t, got[i]) for i, t, v in planted if i % 4 == 0)
 
 
 def test_pii_every_row(docs):

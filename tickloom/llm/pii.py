@@ -1,14 +1,17 @@
-"""Personal data by weak supervision.
+"""Personal data and secrets by weak supervision.
 
 Regular expressions find base spans, which stay, and looser candidates. Labelers of three sorts (form, gazetteer,
-context) vote on every candidate. Expectation maximisation over the vote patterns of the whole corpus estimates how
-reliable each labeler is; a logistic span classifier trained on the resulting probabilities decides the candidates.
-Patterns are counted in Spark: only their counts, bounded by the number of patterns, reach the driver.
+context) vote on every span. Expectation maximisation over the vote patterns of the whole corpus estimates how often
+each labeler is right when it speaks: base spans are known to be personal, every kind has a prior of its own, and no
+labeler is taken to be worse than chance, so that the two classes can't change places. A logistic span classifier over
+hashed shapes, words before and votes is trained on the resulting probabilities and decides the candidates. Patterns
+are counted in Spark: their counts, bounded by the number of patterns, and a bounded sample of spans reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
@@ -18,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import cut, discard
+
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "local_phone", "masked_email", "national_id", "person")
+ADDED = ("iban", "local_phone", "masked_email", "national_id", "person", "secret")
 #: Probability from which the classifier adds a candidate.
 THRESHOLD = 0.9
-EM_STEPS, FIT_STEPS = 50, 400
+EM_STEPS, FIT_STEPS = 50, 300
+#: Spans of each kind that the classifier is trained on at most, those with the least hash, and places of its features.
+FIT_SPANS, PLACES = 2000, 4096
 
 # The contract's base patterns, in forms that take linear time.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,7 +46,11 @@ CANDIDATES = {
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "person": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b", re.ASCII),
 }
-#: Whatever a candidate pattern matches holds one of these.
+_SECRET_WORDS = "api_key api-key apikey access_key access-key secret token passwd password pwd bearer credential".split()
+#: What follows such a word, and secrets that show their form.
+ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]key|secret|token|passwd|password|pwd|bearer|credential)s?[\"']?(?: ?(?::=|=>|==|[:=]) ?| )[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,512}={0,2})", re.IGNORECASE | re.ASCII)
+SHOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,512}\.[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,512}|[0-9a-f]{32,128}|[0-9A-F]{32,128})\b|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", re.ASCII)
+#: Whatever another candidate pattern matches holds one of these.
 GATE = re.compile(r"[0-9]{3}|[A-Z]{2}[0-9]{2}|[\[(](?:at|AT|chez|arroba)[\])]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\b", re.ASCII)
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
@@ -47,10 +58,22 @@ IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
     "HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
     "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 ).split()}
-DOMAINS = frozenset("com org net edu gov de fr es uk eu io info".split())
-GIVEN_NAMES = frozenset("anna maria john james mary peter paul thomas michael david sarah laura julia hans klaus jean pierre marie luc jose juan carmen pedro lucia".split())
+DOMAINS = frozenset(
+    "app ar at au be biz br ca cat ch cl cloud cn co com cz de dev dk edu ee es eu fi fr gov gr hk hu id ie il in info int io ir is it jp ke kr lt lu lv mail me mil mx "
+    "my name net ng nl no nz online org pe ph pl pro pt ro rs ru se sg shop si site sk th tr tv tw ua uk us vn xyz za".split()
+)
+GIVEN_NAMES = frozenset(
+    "adam alan albert alejandro alex alice amanda amy ana andrea andreas andrew angela anna anne antonio barbara ben bernd brian carla carlos carmen caroline charles "
+    "christian christine claire claudia daniel david diego dirk donald elena elizabeth emily emma eric eva felix fernando francis francisco frank frederic george gerhard "
+    "hans heike helen henry ines isabel isabelle ivan jack jacques james jane javier jean jennifer jessica joachim john jorge jose joseph juan julia julie karen karl "
+    "katharina kevin klaus laura laurent linda lisa louis lucia luis luc manuel marc margaret maria marie mark markus martin mary matthias michael michel miguel monika "
+    "nancy nathalie nicolas olga pablo patricia patrick paul pedro peter petra philippe pierre rafael raul richard robert rosa ruth sabine samuel sandra sarah simon "
+    "sofia sophie stefan stephanie steven susan sylvie thomas tim ursula victor walter werner william wolfgang".split()
+)
 CUES = re.compile(r"(?:phone|tel|call|mobile|fax|contact|mail|e-mail|email|write|reach|ssn|social|iban|account|konto|compte|cuenta|name|signed|dear|telefon|telefono)\W{0,3}(?:\w+\W{1,2})?$", re.IGNORECASE)
 FALSE_CUES = re.compile(r"(?:order|invoice|isbn|version|page|item|total|serial|model|section|no|nr)\W{0,3}$", re.IGNORECASE)
+SECRET_CUES = re.compile(r"(?:api[_-]?key|access[_-]key|secret|token|passwd|password|pwd|bearer|credential)s?\W{0,6}$", re.IGNORECASE | re.ASCII)
+NO_SECRET_CUES = re.compile(r"(?:sha-?[0-9]{0,3}|md5|commit|checksum|digest|hash|uuid|etag|revision)\W{0,6}$", re.IGNORECASE | re.ASCII)
 #: Characters read before a candidate for cues.
 CONTEXT = 40
 LABELERS = ("form", "gazetteer", "cue", "edges", "variety")
@@ -100,7 +123,7 @@ def _iban_ok(value: str) -> bool:
 
 
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
-    """Each labeler's vote on a span: 1 personal, -1 not, 0 no opinion."""
+    """Each labeler's vote on a span: 1 personal, -1 not, 0 no opinion; edges and variety only speak against."""
     value, before = text[start:end], text[max(0, start - CONTEXT) : start]
     digits = [c for c in value if c.isdigit()]
     form, gazetteer = 0, 0
@@ -114,12 +137,19 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if re.split(r"[^A-Za-z]+", value.lower().rstrip(")] "))[-1] in DOMAINS else -1
     elif kind == "person":
         gazetteer = 1 if any(w.lower() in GIVEN_NAMES for w in value.split()) else -1
+    elif kind == "secret":
+        letters = any(c.isalpha() for c in value)
+        form = 1 if value.startswith("-----") or (len(value) >= 16 and letters and digits) else -1
+        gazetteer = 1 if re.match(r"AKIA|gh[pousr]_|eyJ|-----BEGIN", value) else 0
+        cue = 1 if SECRET_CUES.search(before) else -1 if NO_SECRET_CUES.search(before) else 0
+        edges = -1 if any(c.isalnum() or c in "_/" for c in text[start - 1 : start] + text[end : end + 1]) else 0
+        return form, gazetteer, cue, edges, 0 if len(set(value)) >= 8 else -1
     elif kind in BASE:
         form = 1
     cue = 1 if CUES.search(before) else -1 if FALSE_CUES.search(before) else 0
     outside = text[start - 1 : start] + text[end : end + 1]
-    edges = -1 if any(c.isalnum() or c in "_/=-" for c in outside) else 1
-    variety = 0 if kind == "person" or len(digits) < 4 else 1 if len(set(digits)) > 2 else -1
+    edges = -1 if any(c.isalnum() or c in "_/=-" for c in outside) else 0
+    variety = -1 if kind != "person" and len(digits) > 3 and len(set(digits)) < 3 else 0
     return form, gazetteer, cue, edges, variety
 
 
@@ -151,10 +181,14 @@ def _ibans(text: str) -> list[tuple[int, int]]:
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the looser patterns that touch no span in ``taken`` nor an earlier candidate, in order of start."""
-    if not GATE.search(text):
-        return []
-    matches = ((kind, m.span()) for kind, pattern in CANDIDATES.items() if kind != "iban" for m in pattern.finditer(text))
-    found = sorted((start, -end, kind) for kind, (start, end) in (*matches, *(("iban", x) for x in _ibans(text))))
+    matches = [("secret", m.span()) for m in SHOWN.finditer(text)]
+    low = text.lower()
+    if any(word in low for word in _SECRET_WORDS):
+        matches += [("secret", m.span("value")) for m in ASSIGNED.finditer(text)]
+    if GATE.search(text):
+        matches += [(kind, m.span()) for kind, pattern in CANDIDATES.items() if kind != "iban" for m in pattern.finditer(text)]
+        matches += [("iban", x) for x in _ibans(text)]
+    found = sorted((start, -end, kind) for kind, (start, end) in matches)
     busy = sorted((s, e) for _, s, e in taken)
     out, i, free = [], 0, 0
     for start, end, kind in found:
@@ -168,64 +202,95 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def _signature(text: str, kind: str, start: int, end: int) -> str:
-    return ",".join([kind, *map(str, votes(text, kind, start, end)), str(min(4, (end - start) // 8))])
+    return ",".join([kind, *map(str, votes(text, kind, start, end))])
+
+
+def _shape(value: str) -> str:
+    """Characters by class, runs of a class cut at four."""
+    classes = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:64])
+    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", classes)
+
+
+def features(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Places of a span's features: kind, votes, length, three-character pieces of its shape, and the two words before."""
+    shape = f"<{_shape(text[start:end])}>"
+    words = re.findall(r"\w+", text[max(0, start - CONTEXT) : start].lower())[-2:]
+    named = [f"k{kind}", f"n{min(8, (end - start) // 4)}"]
+    named += [f"v{kind}{j}{v}" for j, v in enumerate(votes(text, kind, start, end)) if v]
+    named += [f"s{kind}{x}" for x in {shape[i : i + 3] for i in range(len(shape) - 2)}]
+    named += [f"w{i}{w}" for i, w in enumerate(reversed(words))]
+    return sorted({zlib.crc32(x.encode("utf-8", "replace")) % PLACES for x in named})
 
 
-def pattern_counts(docs: DataFrame) -> dict[str, int]:
-    """How many base spans and candidates of all whole texts have each signature: kind, votes and length class."""
+def spans_of(docs: DataFrame) -> DataFrame:
+    """kind, signature, places (of features) and hash of every base span and candidate of all whole texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     for span in base + candidates(text, base):
-                        key = _signature(text, *span)
-                        seen[key] = seen.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["signature", "n"])
+                        around = text[max(0, span[1] - CONTEXT) : span[2] + CONTEXT]
+                        of_span = zlib.crc32(around.encode("utf-8", "replace"))
+                        for column, x in zip(out, (span[0], _signature(text, *span), features(text, *span), of_span), strict=True):
+                            column.append(x)
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["kind", "signature", "places", "hash"])
+
+    return docs.select("text").mapInArrow(run, "kind string, signature string, places array<int>, hash long")
 
-    rows = docs.select("text").mapInArrow(count, "signature string, n long").groupBy("signature").agg(F.sum("n").alias("n")).collect()
-    return {r["signature"]: r["n"] for r in sorted(rows)}
 
+def estimate(kinds: list[str], patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Probability that each vote pattern is personal data, by expectation maximisation over labeler reliabilities.
 
-def estimate(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Probability that each vote pattern is personal data, by expectation maximisation over labeler reliabilities."""
-    p = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
+    A labeler's votes count by how often they are right in either class; silence says nothing. Base kinds stay at 1.
+    """
+    known = np.array([k in BASE for k in kinds])
+    p = np.where(known, 1.0, 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1))))
+    names, which = np.unique(kinds, return_inverse=True)
     for _ in range(EM_STEPS):
-        prior = np.clip((counts * p).sum() / counts.sum(), 0.01, 0.99)
-        log_odds = np.full(len(p), np.log(prior / (1 - prior)))
+        prior = (np.bincount(which, counts * p, len(names)) + 2) / (np.bincount(which, counts, len(names)) + 4)
+        prior = np.clip(prior, 0.1, 0.9)[which]
+        log_odds = np.log(prior / (1 - prior))
         for j in range(patterns.shape[1]):
-            for v in (-1, 0, 1):
-                here = patterns[:, j] == v
-                yes = ((counts * p)[here].sum() + 1 + (v == 1)) / ((counts * p).sum() + 4)
-                no = ((counts * (1 - p))[here].sum() + 1 + (v == -1)) / ((counts * (1 - p)).sum() + 4)
-                log_odds[here] += np.log(yes / no)
-        p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+            speaks = patterns[:, j] != 0
+            right = lambda weight, v: np.clip((weight[patterns[:, j] == v].sum() + 8) / (weight[speaks].sum() + 10), 0.55, 0.98)  # noqa: B023, E731
+            yes, no = right(counts * p, 1), right(counts * (1 - p), -1)
+            log_odds += np.where(patterns[:, j] == 1, np.log(yes / (1 - no)), np.where(speaks, np.log((1 - yes) / no), 0))
+        p = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
     return p
 
 
-def _inputs(signatures: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [s.split(",") for s in signatures]
-    patterns = np.array([[int(v) for v in p[1:-1]] for p in parts], float).reshape(-1, len(LABELERS))
-    kinds = np.array([[p[0] == k for k in (*BASE, *ADDED)] for p in parts], float).reshape(-1, len(BASE) + len(ADDED))
-    sizes = np.array([[p[-1] == str(i) for i in range(5)] for p in parts], float).reshape(-1, 5)
-    return patterns, np.hstack([patterns == 1, patterns == -1, kinds, sizes, np.ones((len(parts), 1))])
-
-
-def train(counts: dict[str, int]) -> dict[str, float]:
-    """The span classifier's probability by signature; logistic regression on the estimated probabilities."""
-    if not counts:
-        return {}
-    signatures = list(counts)
-    n = np.array([counts[s] for s in signatures], float)
-    patterns, x = _inputs(signatures)
-    target, weight = estimate(patterns, n), np.sqrt(n) / np.sqrt(n).sum()
-    w = np.zeros(x.shape[1])
+def fit(places: list[list[int]], target: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on spans' places, by full steps scaled to each weight."""
+    row, column = np.repeat(np.arange(len(places)), [*map(len, places)]), np.concatenate([*places, []]).astype(np.int64)
+    w, total = np.zeros(PLACES), np.full(PLACES, 1e-8)
     for _ in range(FIT_STEPS):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 * (x.T @ (weight * (p - target)) + 1e-4 * w)
-    return dict(zip(signatures, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
+        p = 1 / (1 + np.exp(-np.bincount(row, w[column], len(places))))
+        step = np.bincount(column, (p - target)[row], PLACES) / len(places) + 1e-5 * w
+        total += step * step
+        w -= 0.3 * step / np.sqrt(total)
+    return w
+
+
+def train(docs: DataFrame) -> np.ndarray:
+    """The span classifier's weights; zeros where there is no span."""
+    spans = cut(spans_of(docs))
+    counted = sorted(map(tuple, spans.groupBy("signature").count().collect()))
+    if not counted:
+        discard(spans)
+        return np.zeros(PLACES)
+    signatures, counts = [s.split(",") for s, _ in counted], np.array([n for _, n in counted], float)
+    patterns = np.array([[*map(int, s[1:])] for s in signatures], float)
+    p = dict(zip((s for s, _ in counted), estimate([s[0] for s in signatures], patterns, counts), strict=True))
+    rows = []
+    for kind in sorted({s[0] for s in signatures}):
+        of_kind = spans.filter(F.col("kind") == kind).orderBy("hash", "signature", F.col("places").cast("string")).limit(FIT_SPANS)
+        rows += of_kind.select("places", "signature").collect()
+    discard(spans)
+    return fit([r["places"] for r in rows], np.array([p[r["signature"]] for r in rows]))
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:
@@ -238,9 +303,10 @@ def find_pii(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
 
     Spans are kind:start:end in code points, by kind in the order of BASE and ADDED, then by start. Null and empty
     texts have none, and the hash of nothing. Repeated rows get equal results. An empty table, or one without any
-    span, gives no model and adds nothing. Base spans are never dropped; added spans overlap neither them nor each other.
+    span, adds nothing. Base spans are never dropped; added spans overlap neither them nor each other.
     """
-    model = train(pattern_counts(docs))
+    weights = train(docs)
+    odds = np.log(threshold / (1 - threshold))
     kinds = dict(docs.select(*keep).dtypes)
     names = [*keep, *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
@@ -249,7 +315,7 @@ def find_pii(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
             numbers, hashes, spans = [], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = [c for c in candidates(text or "", base) if model.get(_signature(text, *c), 0.0) >= threshold]
+                more = [c for c in candidates(text or "", base) if weights[features(text, *c)].sum() >= odds]
                 numbers.append([sum(k == b for k, _, _ in base) for b in BASE])
                 hashes.append(sha256(_written(base).encode()).hexdigest())
                 spans.append(_written(base + more))
