@@ -91,6 +91,8 @@ def train(docs: DataFrame, graded: DataFrame, levels: int) -> tuple[np.ndarray,
             yield pd.DataFrame({"k": np.arange(len(w) + len(thetas)), "x": np.concatenate([w, thetas])})
 
     found = docs.select("doc_id", "text").join(F.broadcast(graded.select("doc_id", F.col("grade").cast("int"))), "doc_id")
+    # One text for each doc_id, so that rows that repeat can't outgrow the bound.
+    found = found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     kind = docs.select("doc_id").dtypes[0][1]
     sample = found.mapInArrow(vectors, f"doc_id {kind}, grade int, at array<int>, value array<float>")
     params = sample.repartition(1).sortWithinPartitions("doc_id", "grade", "at").mapInPandas(fit_all, "k int, x double").toPandas().sort_values("k")["x"].to_numpy()

@@ -26,6 +26,8 @@ from tickloom.llm.common import labelled_sample
 
 #: The trees and the calibration are fitted on at most so many labelled documents.
 FIT_DOCS = 20_000
+#: Rows of an Arrow batch that are worked on at once.
+SLICE = 1000
 TREES, DEPTH, SEED = 20, 3, 7
 THRESHOLD = 0.7
 #: Share of the trees' own probability in a score: it orders texts within one step of the calibration.
@@ -128,7 +130,7 @@ def dense_features(docs: DataFrame, keep: list[str], stems: dict[bytes, float])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows = [features(t or b"", lexicon) for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
             columns = np.array(rows, float).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"f_{f}" for f in FEATURES)])
@@ -148,6 +150,8 @@ class ToxicityModel:
         usable = F.col("toxic").isin(0, 1) & in_training()
         sample = labelled_sample(labels, usable, fit_docs, F.col("toxic"))
         found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+        # One text for each doc_id, so that rows that repeat can't outgrow the bound.
+        found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(6))  # 0, 1: stems; 2, 3, 4: trees; 5: calibration
         self.stems = learnt_stems(found.filter(fold < 2))
         rows = self._vectors(dense_features(found.filter(fold >= 2), ["doc_id", "toxic"], self.stems)).withColumn("label", F.col("toxic").cast("double"))
