@@ -107,3 +107,33 @@ def test_equal_texts_are_indexed_once_a_task(spark):
     none = (jaccard_join.np.empty(0, jaccard_join.np.uint64), jaccard_join.np.empty(0, jaccard_join.np.int64))
     counts = [r["count"] for r in jaccard_join.index_rows(docs, none).groupBy("key", "tag").count().collect()]
     assert counts and max(counts) <= 2
+
+
+@pytest.mark.parametrize("one_each", [True, False])
+def test_blocks_find_what_all_pairs_do(spark, monkeypatch, one_each):
+    """Groups of up to 70 members in blocks of about 8, against all pairs of each group."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(7)
+    sets = []
+    for i in range(70):
+        words = [f"w{j}" for j in range(60)]
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            words[rng.randrange(60)] = f"x{i}-{rng.randrange(99)}"
+        sets.append(jaccard_join.shingle_set(" ".join(words).encode()))
+    schema = "id long, n long, small binary"
+    described = spark.createDataFrame([(i, len(s), bytearray(jaccard_join.sketch(s, jaccard_join.BITS).tobytes())) for i, s in enumerate(sets)], schema)
+    groups = [sorted(rng.sample(range(70), k)) for k in (70, 40, 9, 3, 2, 2)]
+    mixed = [(key, i, i % 20, len(g)) for key, g in enumerate(groups) for i in g]
+    got = {tuple(r) for r in jaccard_join._near_in_blocks(spark.createDataFrame(mixed, "key long, id long, comp long, size long"), described, one_each).collect()}
+    bits = [jaccard_join.sketch(s, jaccard_join.BITS) for s in sets]
+    want = {}
+    for g in groups:
+        for a in g:
+            for b in g:
+                if a < b and a % 20 != b % 20 and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])):
+                    apart = int(jaccard_join.np.bitwise_count(bits[a] ^ bits[b]).sum())
+                    if apart <= (len(sets[a]) + len(sets[b])) // 9:
+                        pair = min(a % 20, b % 20), max(a % 20, b % 20)
+                        want.setdefault(pair, []).append((apart, a, b))
+    assert want and any(len(v) > 1 for v in want.values())
+    assert got == ({min(v)[1:] for v in want.values()} if one_each else {x[1:] for v in want.values() for x in v})

@@ -9,7 +9,8 @@ D that differ, so both are. Sets of 4 to 7 shingles, where D is 1, are one segme
 neighbourhood: a link joins a whole set to another's deletion.
 
 Sets that share a signature are candidates. First each is compared with a pivot of its groups, until pivots find few
-links; then the members of groups that still span several components are compared in blocks. Parity sketches rule out
+links; then the members of groups that still span several components are compared in blocks, first for one link of
+any two components, then for all that are left. Parity sketches rule out
 nearly all false candidates before whole sets are read: bit i of a sketch tells whether an odd number of shingles
 falls on i, so that the bits in which two sketches differ are at most the shingles in which the sets do.
 """
@@ -41,6 +42,8 @@ BROADCAST_IDS = 200_000
 WORTH = 20
 #: Members of a group that are compared at once: larger groups are split into blocks of about this size.
 BLOCK = 512
+#: Keys told of each member of groups, by which two members know whether they also meet elsewhere.
+LISTED = 8
 #: Bits of the sketch that goes with every candidate; the other sketch has 2 to 4 bits a shingle.
 BITS = 1024
 
@@ -348,20 +351,23 @@ def _led(mixed: DataFrame, number: int) -> DataFrame:
     return often.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("id").alias("a"), "b")
 
 
-def _near_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def _near_in_blocks(mixed: DataFrame, sets: DataFrame, one_each: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a group and whose sizes and small sketches allow a link.
 
-    Groups over BLOCK are dealt into blocks by hash and a task gets two blocks, so that no task holds a whole large
-    group, and only pairs that pass leave a task.
+    With ``one_each`` only the likeliest pair of any two components, since one link joins them. Groups over BLOCK are
+    dealt into blocks by hash and a task gets two blocks, so that no task holds a whole large group, and only pairs
+    that pass leave a task: each from the first of the groups that both are known to share.
     """
+    keys = mixed.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LISTED).alias("keys"))
     deal = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = mixed.join(sets.select("id", "n", "small"), "id").withColumn("own", F.pmod(F.xxhash64("id"), deal).cast("int"))
+    rows = mixed.join(sets.select("id", "n", "small"), "id").join(keys, "id").withColumn("own", F.pmod(F.xxhash64("id"), deal).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), deal - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "small")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "small", "keys")
+    last_key = np.iinfo(np.int64).max
 
     def near(rows: dict[str, np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
         """ends: where each row's group ends. Each row is compared with the one s places on, for all s."""
-        alive, found = np.arange(len(ends)), []
+        alive, found = np.arange(len(ends)), [np.empty((0, 5), np.int64)]
         s = 0
         while len(alive):
             s += 1
@@ -373,11 +379,19 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
                 meet = (rows["i"][x] == rows["j"][x]) | (rows["own"][x] != rows["own"][y])
                 meet &= (rows["comp"][x] != rows["comp"][y]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
                 x, y, bound = x[meet], y[meet], ((n + m) // 9)[meet]
-                close = np.bitwise_count(rows["small"][x] ^ rows["small"][y]).sum(1) <= bound
-                if close.any():
-                    found.append(np.sort(np.stack([rows["id"][x[close]], rows["id"][y[close]]], 1), 1))
-        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                apart = np.bitwise_count(rows["small"][x] ^ rows["small"][y]).sum(1, dtype=np.int64)
+                x, y, apart = (v[apart <= bound] for v in (x, y, apart))
+                if not len(x):
+                    continue
+                kx, ky = rows["keys"][x], rows["keys"][y]
+                first = np.where((kx[:, :, None] == ky[:, None, :]).any(2), kx, last_key).min(1)
+                x, y, apart = (v[first >= rows["key"][x]] for v in (x, y, apart))
+                ids, comps = (np.sort(np.stack([rows[c][x], rows[c][y]], 1), 1) for c in ("id", "comp"))
+                found.append(np.column_stack([comps, apart, ids]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if one_each:
+            pairs = pairs[np.unique(pairs[:, :2], axis=0, return_index=True)[1]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], ["low", "high", "apart", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -385,6 +399,10 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
             rows = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp", "n")}
             words = b"".join(batch.column("small").to_pylist())
             rows["small"] = np.frombuffer(words, np.uint64).reshape(-1, BITS // 64)
+            listed = batch.column("keys")
+            rows["keys"] = np.full((batch.num_rows, LISTED), last_key)
+            sizes = pc.list_value_length(listed).to_numpy()
+            rows["keys"][np.arange(LISTED) < sizes[:, None]] = listed.flatten().to_numpy()
             if rest is not None:
                 rows = {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
             size = len(rows["key"])
@@ -399,8 +417,11 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         if rest is not None:
             yield near(rest, np.full(len(rest["key"]), len(rest["key"])))
 
-    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-    return pairs.distinct()
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(run, "low long, high long, apart long, a long, b long")
+    if one_each:
+        return pairs.groupBy("low", "high").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
+    return pairs.select("a", "b").distinct()
 
 
 def link_sets(members: DataFrame, deleted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -418,7 +439,12 @@ def link_sets(members: DataFrame, deleted: DataFrame, sets: DataFrame) -> DataFr
         if found:
             discard(before)
         if found * WORTH < tried:
-            labels = merged(labels, *verified(_near_in_blocks(mixed, sets), sets))
+            for one_each in (True, False):
+                links, found = verified(_near_in_blocks(mixed, sets, one_each), sets)
+                labels = merged(labels, links, found)
+                if one_each and found:
+                    before, mixed = mixed, _spanning(mixed.select("key", "id"), labels)
+                    discard(before)
             break
         number += 1
     discard(mixed)
