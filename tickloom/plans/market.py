@@ -268,10 +268,17 @@ def smart_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take.groupBy("venue").agg(F.sum("take").alias("filled"), F.round(F.sum(F.col("take") * F.col("price")) / F.sum("take"), 4).alias("raw_vwap"), F.round(F.sum(F.col("take") * (F.col("price") + F.col("fee"))) / F.sum("take"), 4).alias("effective_vwap"))
 
 
-@query(f"WITH {v.LADDER} SELECT level_id, CAST(sum(qty) OVER w AS BIGINT) AS depth, round(sum(qty * price) OVER w / sum(qty) OVER w, 4) AS vwap FROM ladder WINDOW w AS (PARTITION BY venue ORDER BY price, level_id)")
+@query(f"""
+WITH {v.LADDER}
+SELECT level_id, CAST(sum(qty) OVER w AS BIGINT) AS depth,
+  round(CAST(sum(qty * CAST(round(price * 100) AS BIGINT)) OVER w AS DOUBLE) / (100 * sum(qty) OVER w), 9) AS vwap
+FROM ladder WINDOW w AS (PARTITION BY venue ORDER BY price, level_id)""")
 def ladder_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and average price down to each level; amounts add up as whole cents."""
     w = Window.partitionBy("venue").orderBy("price", "level_id").rowsBetween(Window.unboundedPreceding, 0)
-    return v.ladder(spark, sf_dir).select("level_id", F.sum("qty").over(w).alias("depth"), F.round(F.sum(F.col("qty") * F.col("price")).over(w) / F.sum("qty").over(w), 4).alias("vwap"))
+    amount = F.sum(F.col("qty") * F.round(F.col("price") * 100).cast("long")).over(w)
+    depth = F.sum("qty").over(w)
+    return v.ladder(spark, sf_dir).select("level_id", depth.alias("depth"), F.round(amount / (100 * depth), 9).alias("vwap"))
 
 
 @query(f"WITH {v.TICKS} SELECT CASE WHEN m < 570 THEN 'pre' WHEN m < 720 THEN 'morning' WHEN m < 960 THEN 'afternoon' ELSE 'post' END AS part, CASE WHEN price >= 0 AND price < 10 THEN 'low' WHEN price >= 10 AND price < 50 THEN 'mid' WHEN price IS NOT NULL THEN 'high' END AS bucket, count(*) AS n FROM (SELECT *, us // 60000000 % 1440 AS m FROM ticks) GROUP BY ALL")
@@ -372,10 +379,17 @@ def left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(l, o.o_orderkey == l.l_orderkey, "left").select("o_orderkey", F.coalesce("m", F.lit(0)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""
+WITH urgent AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+  high AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderpriority = '2-HIGH')
+SELECT custkey, 'urgent' AS only_in FROM urgent ANTI JOIN high USING (custkey)
+UNION ALL SELECT custkey, 'high' AS only_in FROM high ANTI JOIN urgent USING (custkey)""")
 def key_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    """Keys that only one of two tables has, in both directions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("custkey"), "o_orderpriority")
+    urgent, high = (orders.filter(F.col("o_orderpriority") == x).select("custkey").distinct() for x in ("1-URGENT", "2-HIGH"))
+    one_way = lambda left, right, name: left.join(right, "custkey", "left_anti").withColumn("only_in", F.lit(name))
+    return one_way(urgent, high, "urgent").union(one_way(high, urgent, "high"))
 
 
 @query(f"WITH {v.TICKS} SELECT user, arg_max(seq, (us, seq)) AS seq, arg_max(price, (us, seq)) AS price FROM ticks GROUP BY user")

@@ -182,18 +182,31 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(ends[0], "gate").join(ends[1], "gate").select("gate", F.round(F.col("top") / F.col("won"), 6).alias("top_share"), F.round(F.col("bottom") / F.col("lost"), 6).alias("bottom_share"))
 
 
-@query("""WITH x AS (SELECT CAST(l_discount AS DOUBLE) * 10 AS p, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem), r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM x)
- SELECT round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc, round(avg(power(p - y, 2)), 6) AS brier,
- round(-avg(CASE WHEN y = 1 THEN ln(greatest(least(p, 0.999), 0.001)) ELSE ln(1 - greatest(least(p, 0.999), 0.001)) END), 6) AS logloss FROM r""")
+@query("""
+WITH x AS (
+  SELECT CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(l_returnflag = 'R' AS BIGINT) AS y FROM lineitem
+), r AS (
+  SELECT *, d / 10.0::DOUBLE AS p, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS k FROM x
+)
+SELECT round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc,
+  round(sum((d - 10 * y) * (d - 10 * y))::DOUBLE / (100 * count(*)), 9) AS brier,
+  round(-avg(CASE WHEN y = 1 THEN ln(greatest(least(p, 0.999), 0.001)) ELSE ln(1 - greatest(least(p, 0.999), 0.001)) END), 6) AS logloss
+FROM r""")
 def auc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area under the curve, Brier score and log loss of a score, from counts by distinct score."""
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_discount").cast("double") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("long").alias("y"))
-    c = x.groupBy("p").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("p")) - F.col("neg")
-    q = F.greatest(F.least("p", F.lit(0.999)), F.lit(0.001))
-    s = c.withColumns({"area": F.col("pos") * (below + F.col("neg") / 2), "square": F.col("pos") * F.pow(F.col("p") - 1, 2) + F.col("neg") * F.pow("p", F.lit(2)), "log": -F.col("pos") * F.ln(q) - F.col("neg") * F.ln(1 - q)})
+    """Area under the curve, Brier score and log loss of a score, from counts by distinct score; squares add up as integers."""
+    cents = F.round(F.col("l_discount") * 100).cast("long").alias("d")
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(cents, (F.col("l_returnflag") == "R").cast("long").alias("y"))
+    c = x.groupBy("d").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
+    below = F.sum("neg").over(Window.orderBy("d")) - F.col("neg")
+    q = F.greatest(F.least(F.col("d") / 10, F.lit(0.999)), F.lit(0.001))
+    s = c.withColumns({
+        "area": F.col("pos") * (below + F.col("neg") / 2),
+        "square": F.col("pos") * (F.col("d") - 10) * (F.col("d") - 10) + F.col("neg") * F.col("d") * F.col("d"),
+        "log": -F.col("pos") * F.ln(q) - F.col("neg") * F.ln(1 - q),
+    })
     n = F.sum("pos") + F.sum("neg")
-    return s.agg(F.round(F.sum("area") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"), F.round(F.sum("square") / n, 6).alias("brier"), F.round(F.sum("log") / n, 6).alias("logloss"))
+    auc = F.sum("area") / (F.sum("pos") * F.sum("neg"))
+    return s.agg(F.round(auc, 6).alias("auc"), F.round(F.sum("square") / (100 * n), 9).alias("brier"), F.round(F.sum("log") / n, 6).alias("logloss"))
 
 
 def _draw_sql(*parts: str) -> str:
