@@ -141,7 +141,15 @@ def _compressed(data: bytes, how: int) -> bytes:
     return zlib.compress(data, 3) if how in (DEFLATE, OLD_DEFLATE) else data
 
 
+#: Bytes that one stored byte can stand for at most, by compression.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Samples of a page at most: what a binary value can hold.
+MOST_SAMPLES = 2**31 - 1
+
+
 def _expanded(data: bytes, how: int, size: int) -> bytes:
+    if not size:
+        return b""
     if how == PACKBITS:
         return unpack_bits(data, size)
     if how == LZW:
@@ -211,8 +219,21 @@ def _page(data: bytes, f: dict[str, list[int]]) -> tuple:
     high = f["tile_height"][0] if tiled else min(f.get("rows", [height])[0], max(height, 1))
     wide = f["tile_width"][0] if tiled else width
     across = -(-width // wide) if wide else 1
+    stored = list(zip(f["tile_offsets" if tiled else "offsets"], f["tile_counts" if tiled else "counts"], strict=True))
+    # Nothing is allocated before the stored bytes are known to be enough for what the directory claims.
+    if height * width * samples:
+        if not high or not wide or len(stored) < -(-height // high) * across:
+            raise ValueError("strips or tiles are missing")
+        last = height - (-(-height // high) - 1) * high
+        claimed = [(high if tiled or i // across < -(-height // high) - 1 else last) * wide * samples for i in range(-(-height // high) * across)]
+        if height * width * samples > MOST_SAMPLES or max(claimed) > MOST_SAMPLES:
+            raise ValueError("the page is larger than a value can be")
+        if any(size > EXPANDS.get(how, 1) * n for size, (_, n) in zip(claimed, stored, strict=False)):
+            raise ValueError("the page claims more samples than its strips or tiles can hold")
+    else:
+        stored = []
     pixels = np.zeros((height, width, samples), np.uint8)
-    for i, (at, n) in enumerate(zip(f["tile_offsets" if tiled else "offsets"], f["tile_counts" if tiled else "counts"], strict=True)):
+    for i, (at, n) in enumerate(stored[: -(-height // max(1, high)) * across]):
         y, x = i // across * high, i % across * wide
         lines = high if tiled else min(high, height - y)
         if at + n > len(data):
