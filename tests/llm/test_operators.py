@@ -317,3 +317,40 @@ def test_fast_and_plain_tokenizers_agree():
     rng = random.Random(2)
     for text in [*plain, *("".join(rng.choices(plain, k=40)) for _ in range(300)), "it's  we'LL\n\n x\t", "<|endoftext|>"]:
         assert packing.token_ids(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("how", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_tiff_directories_that_claim_too_much_give_an_error_row(how, tiled):
+    """Every size field of a good file is set to hostile values; nothing large is allocated and nothing raises."""
+    page = np.arange(40 * 64, dtype=np.uint8).reshape(40, 64, 1)
+    good = tiff.encode([page], compression=how, tiled=tiled, band=16)
+    assert [r[7] for r in tiff.decode(good)] == [page.tobytes()]
+    (at,) = np.frombuffer(good[4:8], "<u4")
+    (n,) = np.frombuffer(good[at : at + 2], "<u2")
+    for i in range(n):
+        entry = at + 2 + 12 * i
+        if np.frombuffer(good[entry + 4 : entry + 8], "<u4")[0] == 1 and np.frombuffer(good[entry + 2 : entry + 4], "<u2")[0] == 4:
+            for value in (0, 1, 4194304, 2**32 - 1):
+                bad = good[: entry + 8] + np.uint32(value).tobytes() + good[entry + 12 :]
+                assert all((r[7] is None) == (r[8] is not None) for r in tiff.decode(bad))
+    huge = bytearray(good)
+    for i in range(n):
+        entry = at + 2 + 12 * i
+        if np.frombuffer(good[entry : entry + 2], "<u2")[0] in (256, 257):
+            huge[entry + 8 : entry + 12] = np.uint32(4194304).tobytes()
+    assert tiff.decode(bytes(huge))[0][8]
+
+
+def test_long_alignments_by_halves_are_as_long(monkeypatch):
+    rng = random.Random(8)
+    cases = [tuple([rng.randrange(4) for _ in range(rng.randrange(40))] for _ in range(2)) for _ in range(100)]
+    whole = [html_main.shared_lines(a, b) for a, b in cases]
+    monkeypatch.setattr(html_main, "LCS_CELLS", 0)
+    for (a, b), want in zip(cases, whole, strict=True):
+        got = html_main.shared_lines(a, b)
+        places = iter(b)
+        assert len(got) == len(want) and all(a[i] in places for i in sorted(got))
+    many = [rng.randrange(2) for _ in range(20_000)]
+    assert len(html_main.shared_lines([7] * 20_000, [7] * 60_000)) == 20_000
+    assert len(html_main.shared_lines([2, *many, 3], [4, *many[1:], 5])) >= 19_999

@@ -24,6 +24,8 @@ from tickloom.llm.url_filter import url_parts
 
 #: A pair that shares at least this share of the characters of both is of copies, whose lines are not boilerplate.
 COPIES = 0.8
+#: Above so many cells the rows of an alignment aren't kept, and it is found by halves.
+LCS_CELLS = 50_000_000
 
 # Elements by how they are read, and the words of class, id and role that mark boilerplate.
 RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video".split())
@@ -130,11 +132,54 @@ def lines(html: str) -> list[tuple[str, str]]:
     return out
 
 
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of the longest common subsequence of b and each start of a, in memory linear in a."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    lengths = [0]
+    for bit in reversed(f"{row:0{len(a)}b}" if a else ""):
+        lengths.append(lengths[-1] + (bit == "0"))
+    return lengths
+
+
+def _by_halves(a: list[int], b: list[int]) -> set[int]:
+    """Positions of a in a longest common subsequence, by halving b so that no table of rows is kept."""
+    found: set[int] = set()
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        a0, a1, b0, b1 = work.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if b1 - b0 == 1:
+            at = next((i for i in range(a0, a1) if a[i] == b[b0]), None)
+            if at is not None:
+                found.add(at)
+            continue
+        half = (b0 + b1) // 2
+        left, right = _lengths(a[a0:a1], b[b0:half]), _lengths(a[a0:a1][::-1], b[half:b1][::-1])
+        total = [x + y for x, y in zip(left, reversed(right), strict=True)]
+        split = a0 + total.index(max(total))
+        work += [(a0, split, b0, half), (split, a1, half, b1)]
+    return found
+
+
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
     """Positions of a in a longest common subsequence of both, by bit-parallel rows over the lines they have in common."""
-    common = set(a) & set(b)
-    at = [i for i, x in enumerate(a) if x in common]
-    right = [x for x in b if x in common]
+    # Equal starts and ends belong to a longest common subsequence and need no rows.
+    most = min(len(a), len(b))
+    head = next((i for i in range(most) if a[i] != b[i]), most)
+    tail = next((i for i in range(most - head) if a[-1 - i] != b[-1 - i]), most - head)
+    same = {*range(head), *range(len(a) - tail, len(a))}
+    common = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    at = [i for i in range(head, len(a) - tail) if a[i] in common]
+    right = [x for x in b[head : len(b) - tail] if x in common]
+    if at and len(at) * len(right) > LCS_CELLS:
+        return same | {at[i] for i in _by_halves([a[i] for i in at], right)}
     where: dict[int, int] = {}
     for j, i in enumerate(at):
         where[a[i]] = where.get(a[i], 0) | 1 << j
@@ -153,7 +198,7 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
         else:
             r, c = r - 1, c - 1
             found.add(at[c])
-    return found
+    return found | same
 
 
 def _hash(line: str) -> int:
@@ -251,8 +296,8 @@ def _pages(batch: pa.Table) -> list[dict]:
 
 
 def _alike(a: str, b: str) -> int:
-    """1 more than the length of the common start of two paths, to 255 characters."""
-    n = min(len(a), len(b), 255)
+    """1 more than the length of the common start of two paths."""
+    n = min(len(a), len(b))
     return next((i for i in range(n) if a[i] != b[i]), n) + 1
 
 
