@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, discard
 from tickloom.llm.url_filter import url_parts
 
 #: A pair that shares at least this share of the characters of both is of copies, whose lines are not boilerplate.
@@ -363,6 +363,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     described = cut(_described(pages))
     single = described.groupBy("page_id").agg(F.min(F.struct("host", "path", "hashes", "sizes")).alias("x")).select("page_id", "x.*")
     near = neighbours(single)
+    discard(described)  # neighbours() has written what it needs of it
     kind = pages.select("page_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
