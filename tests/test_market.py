@@ -7,6 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+import tickloom.plans.features  # noqa: F401
 import tickloom.plans.market  # noqa: F401
 import tickloom.plans.research  # noqa: F401
 from tickloom.catalog import ORACLES, QUERIES

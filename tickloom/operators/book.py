@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def book_state(updates: DataFrame, on: list[str], depths: int = 3) -> DataFrame:
+def book_state(updates: DataFrame, on: list[str], depths: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The book after every update: price and size of each slot, null where it was removed or never set.
 
+    ``keep`` names further columns of the updates to return.
+
     A removal is a struct of nulls, not a null, so that carrying the last state forward doesn't skip it.
     """
     order = Window.partitionBy(*on).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -19,7 +21,7 @@ def book_state(updates: DataFrame, on: list[str], depths: int = 3) -> DataFrame:
         for d in range(1, depths + 1):
             last = F.last(F.when((F.col("side") == side) & (F.col("depth") == d), slot), ignorenulls=True).over(order)
             columns += [last["px"].alias(f"{name}_px{d}"), last["sz"].alias(f"{name}_sz{d}")]
-    return updates.select(*on, "us", "seq", *columns)
+    return updates.select(*on, "us", "seq", *(keep or []), *columns)
 
 
 def sweep(levels: DataFrame, on: list[str], quantity: int) -> DataFrame:

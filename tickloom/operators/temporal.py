@@ -31,6 +31,18 @@ def leading(on: list[str], seconds: float) -> WindowSpec:
     return Window.partitionBy(*on).orderBy("us").rangeBetween(0, int(seconds * 1e6) - 1)
 
 
+def smoothed(value: Column, place: Column, order: WindowSpec, alpha: float, seed: int = 1) -> Column:
+    """Exponential average along ``order``, where ``place`` counts a key's rows from 0, seeded with the mean of the first
+    ``seed`` values; meaningless before them.
+
+    A running sum of values weighted by powers of 1 / (1 - alpha), so that no list is built. Weights stay within
+    doubles for some thousands of rows a key, a day of one-minute bars and more.
+    """
+    keep, age = 1 - alpha, F.greatest(place - (seed - 1), F.lit(0))
+    term = F.when(place < 0, F.lit(0.0)).when(place < seed, value / seed).otherwise(alpha * value * F.pow(F.lit(keep), -age))
+    return F.pow(F.lit(keep), age) * F.sum(term).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def sum_of_inner_changes(change: Column, frame: WindowSpec) -> Column:
     """Sum of a change against the row before, without the first one of the frame, which crosses its edge."""
     return F.sum(change).over(frame) - F.coalesce(F.first(change).over(frame), F.lit(0.0))

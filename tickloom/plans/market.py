@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog import ORACLES, QUERIES
 from tickloom.functions.exprs import at_least, edge_bucket, rank_bin, safe_div, session_bucket
 from tickloom.operators.book import book_state, sweep
-from tickloom.operators.temporal import asof, greedy_spacing, leading, sum_of_inner_changes, trailing
+from tickloom.operators.temporal import asof, greedy_spacing, leading, smoothed, sum_of_inner_changes, trailing
 from tickloom.plans import views as v
 
 
@@ -43,12 +43,28 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.trades(spark, sf_dir).withColumns({"vwap": F.sum(F.col("price") * F.col("volume")).over(so_far()) / F.sum("volume").over(so_far()), "sigma": F.when(F.count("price").over(r) >= 10, F.stddev_samp("price").over(r))})
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First touches of the bands at 1 and 2 deviations: the side differs from the row before, over all days."""
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with the side on which they touch or pass the bands at 1 and 2 deviations; null inside."""
     rows = banded(spark, sf_dir).filter("sigma > 0").withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
-    side = F.when(F.col("price") >= F.col("vwap") + F.col("band") * F.col("sigma"), "upper").when(F.col("price") <= F.col("vwap") - F.col("band") * F.col("sigma"), "lower")
-    rows = rows.withColumn("side", side).withColumn("was", F.lag("side").over(Window.partitionBy("band").orderBy("us", "seq")))
-    return rows.filter(F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("was")))
+    high, low = F.col("vwap") + F.col("band") * F.col("sigma"), F.col("vwap") - F.col("band") * F.col("sigma")
+    return rows.withColumn("side", F.when(F.col("price") >= high, "upper").when(F.col("price") <= low, "lower"))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First touches of the bands: the side differs from the row before, over all days.
+
+    Rows are compared within their day. Only a day's first row of a band needs the last one of the day before, which
+    comes from a table of one row for each day and band.
+    """
+    rows = sided(spark, sf_dir)
+    order = Window.partitionBy("day", "band").orderBy("us", "seq")
+    rows = rows.withColumns({"_lag": F.lag("side").over(order), "_i": F.row_number().over(order)})
+    ends = rows.groupBy("day", "band").agg(F.max_by("side", F.struct("us", "seq")).alias("_end"))
+    before = ends.select("day", "band", F.lag("_end").over(Window.partitionBy("band").orderBy("day")).alias("_before"))
+    # only touches are joined with it, and of these few are a day's first row
+    rows = rows.filter(F.col("side").isNotNull() & ((F.col("_i") == 1) | ~F.col("side").eqNullSafe(F.col("_lag")))).join(before, ["day", "band"])
+    rows = rows.withColumn("was", F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("_lag")))
+    return rows.filter(~F.col("side").eqNullSafe(F.col("was"))).drop("_lag", "_i", "_before")
 
 
 @query(f"WITH {BANDED} SELECT seq, round(vwap, 4) AS vwap, round(sigma, 4) AS sigma FROM banded")
@@ -197,11 +213,10 @@ def bar_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {BARS}, b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY day ORDER BY bar) AS i FROM bars), e(day, bar, i, ema) AS (
  SELECT day, bar, i, close FROM b WHERE i = 1 UNION ALL SELECT b.day, b.bar, b.i, e.ema + (2.0 / 13) * (b.close - e.ema) FROM e JOIN b ON b.day = e.day AND b.i = e.i + 1) SELECT bar, round(ema, 4) AS ema FROM e""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential average over 12 bars, seeded with the day's first close: a fold over the day's bars."""
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x.bar.alias("bar"), F.when(F.size(acc) == 0, x.close).otherwise(F.element_at(acc, -1).ema + F.lit(2.0 / 13) * (x.close - F.element_at(acc, -1).ema)).alias("ema"))))
-    ordered = F.sort_array(F.collect_list(F.struct("bar", "close")))
-    folded = bars(spark, sf_dir).groupBy("day").agg(ordered.alias("x")).withColumn("y", F.aggregate("x", F.array().cast("array<struct<bar:bigint,ema:double>>"), step))
-    return folded.select(F.explode("y").alias("e")).select("e.bar", F.round("e.ema", 4).alias("ema"))
+    """Exponential average over 12 bars, seeded with the day's first close."""
+    order = Window.partitionBy("day").orderBy("bar")
+    placed = bars(spark, sf_dir).withColumn("i", F.row_number().over(order) - 1)
+    return placed.select("bar", F.round(smoothed(F.col("close"), F.col("i"), order, 2 / 13), 4).alias("ema"))
 
 
 AGGRESSOR = v.QUOTES + f""", t AS (SELECT * FROM trades ASOF LEFT JOIN (SELECT day AS qday, us AS qus, price AS qpx FROM (SELECT day, us, price, row_number() OVER (PARTITION BY day, us ORDER BY seq DESC) AS r FROM quotes) WHERE r = 1) q ON trades.day = q.qday AND trades.us >= q.qus),
