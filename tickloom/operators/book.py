@@ -32,3 +32,25 @@ def sweep(levels: DataFrame, on: list[str], quantity: int) -> DataFrame:
     taken = levels.withColumn("take", take).filter("take > 0")
     out = taken.groupBy(*on).agg(F.sum("take").alias("used"), F.sum(F.col("take") * F.col("price")).alias("cost"), F.max("price").alias("worst"))
     return out.select(*on, "used", F.round(F.col("cost") / F.col("used"), 4).alias("vwap"), "worst", (F.col("used") >= quantity).alias("covered"))
+
+
+def walk(levels: DataFrame, blocks: DataFrame, on: list[str], quantity: str) -> DataFrame:
+    """blocks with what their ``quantity`` costs on their ladder: paid (null beyond its depth) and covered.
+
+    levels(*on, level_id, cents, qty, side) are cheapest first for offers, dearest first for bids. Every level knows
+    the size and amount before it, so that a block needs only the level on which it ends and the ladder's depth.
+    Blocks of 0 cost nothing; those without a ladder are left out.
+    """
+    order = Window.partitionBy(*on).orderBy(F.when(F.col("side") == "ask", F.col("cents")).otherwise(-F.col("cents")), "level_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = levels.select(
+        *on, F.col("cents").alias("_cents"), F.sum("qty").over(so_far).alias("_upto"), (F.sum("qty").over(so_far) - F.col("qty")).alias("_before"),
+        (F.sum(F.col("qty") * F.col("cents")).over(so_far) - F.col("qty") * F.col("cents")).alias("_amount"), F.lead("level_id").over(order).isNull().alias("_last"),
+    )
+    q = F.col(quantity)
+    # the level on which a block ends; the last one if the ladder is too short, the first one if the block is empty
+    ends = ((F.col("_before") < q) & ((q <= F.col("_upto")) | F.col("_last"))) | ((q <= 0) & (F.col("_before") == 0))
+    found = blocks.join(steps.filter("_upto > _before"), on).filter(ends)
+    covered = q <= F.col("_upto")
+    paid = F.when(covered, F.col("_amount") + (q - F.col("_before")) * F.col("_cents"))
+    return found.select(*blocks.columns, paid.alias("paid"), covered.alias("covered"))

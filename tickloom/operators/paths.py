@@ -37,11 +37,19 @@ def exits(paths: DataFrame, on: list[str], gain: Column, target: float, stop: fl
 
 
 def lockout(trades: DataFrame, on: list[str]) -> DataFrame:
-    """One trade at a time per key: of trades(us, seq, exit_us) those that start after the last accepted one's exit."""
+    """One trade at a time per key: of trades(us, seq, exit_us) those that start after the last accepted one's exit.
+
+    A trade that starts after all earlier exits is accepted whatever came before, so it starts a run, and runs are folded
+    each on its own.
+    """
+    order = Window.partitionBy(*on).orderBy("us", "seq")
+    before = F.max("exit_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("us") > before).cast("int"), F.lit(1))
+    runs = trades.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     empty = F.array().cast("array<struct<us:bigint,seq:bigint,exit_us:bigint>>")
     step = lambda acc, x: F.when((F.size(acc) == 0) | (x.us > F.element_at(acc, -1).exit_us), F.concat(acc, F.array(x))).otherwise(acc)
     ordered = F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("us", "seq", "exit_us")))))
-    kept = trades.groupBy(*on).agg(F.aggregate(ordered, empty, step).alias("kept"))
+    kept = runs.groupBy(*on, "_run").agg(F.aggregate(ordered, empty, step).alias("kept"))
     return kept.select(*on, F.explode("kept").alias("e")).select(*on, "e.us", "e.seq", "e.exit_us")
 
 

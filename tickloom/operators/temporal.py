@@ -49,12 +49,17 @@ def sum_of_inner_changes(change: Column, frame: WindowSpec) -> Column:
 
 
 def greedy_spacing(entries: DataFrame, on: list[str], gap_us: int) -> DataFrame:
-    """Of entries(us, seq) those at least gap_us after the last accepted one, per key, by a fold over entry times.
+    """Of entries(us, seq) those at least gap_us after the last accepted one, per key; ties keep the lower seq.
 
-    Only entries are gathered, which are few per key; ties keep the lower seq.
+    An entry that far from the one before it is accepted whatever came earlier, so it starts a run. Runs are folded each
+    on its own: an array holds the entries of one run, not of a key.
     """
+    order = Window.partitionBy(*on).orderBy("us", "seq")
+    gap = F.col("us") - F.lag("us").over(order)
+    begins = F.coalesce((gap >= gap_us).cast("int"), F.lit(1))
+    runs = entries.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     empty = F.array().cast("array<struct<us:bigint,seq:bigint>>")
     step = lambda acc, x: F.when((F.size(acc) == 0) | (x.us - F.element_at(acc, -1).us >= gap_us), F.concat(acc, F.array(x))).otherwise(acc)
     ordered = F.sort_array(F.collect_list(F.struct(F.col("us").cast("long").alias("us"), F.col("seq").cast("long").alias("seq"))))
-    kept = entries.groupBy(*on).agg(F.aggregate(ordered.alias("x"), empty, step).alias("kept"))
+    kept = runs.groupBy(*on, "_run").agg(F.aggregate(ordered, empty, step).alias("kept"))
     return kept.select(*on, F.explode("kept").alias("e")).select(*on, "e.us", "e.seq")
