@@ -64,3 +64,52 @@ def test_golden_ladder_and_chunks(spark):
     assert (r.used, r.vwap, r.worst, r.covered) == (25_000, 10.008, 10.02, True)
     found = spark.range(1).select(chunks(F.lit(72_000), 25_000).alias("a"), chunks(F.lit(74_000), 10_000).alias("b")).first()
     assert found.a == [25_000, 25_000, 22_000] and found.b == [10_000] * 7 + [4_000]
+
+
+def test_walk_prices_blocks_of_any_size(spark):
+    from tickloom.operators.book import walk
+
+    levels = spark.createDataFrame([("v", "bid", 1, 1000, 10), ("v", "bid", 2, 990, 10), ("v", "bid", 3, 995, 0)], "venue string, side string, level_id long, cents long, qty long")
+    blocks = spark.createDataFrame([(i, "v", "bid", q) for i, q in enumerate((0, 1, 10, 11, 20, 21))] + [(9, "w", "bid", 1)], "id long, venue string, side string, q long")
+    got = {r.id: (r.paid, r.covered) for r in walk(levels, blocks, ["venue", "side"], "q").collect()}
+    assert got == {0: (0, True), 1: (1000, True), 2: (10000, True), 3: (10990, True), 4: (19900, True), 5: (None, False)}
+
+
+def test_spacing_and_lockout_by_runs_equal_plain_loops(spark):
+    import random
+
+    from tickloom.operators.paths import lockout
+    from tickloom.operators.temporal import greedy_spacing
+
+    random.seed(5)
+    rows = [(k, random.randrange(300), i, random.randrange(1, 40)) for i in range(400) for k in [i % 3]]
+    trades = spark.createDataFrame([(k, u, i, u + h) for k, u, i, h in rows], "key long, us long, seq long, exit_us long")
+    spaced, locked = set(), set()
+    for key in range(3):
+        last = until = None
+        for u, i, h in sorted((u, i, h) for k, u, i, h in rows if k == key):
+            if last is None or u - last >= 10:
+                spaced.add((key, i))
+                last = u
+            if until is None or u > until:
+                locked.add((key, i))
+                until = u + h
+    assert {(r.key, r.seq) for r in greedy_spacing(trades, ["key"], 10).collect()} == spaced
+    assert {(r.key, r.seq) for r in lockout(trades, ["key"]).collect()} == locked
+
+
+def test_smoothed_equals_recursion(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.temporal import smoothed
+
+    values = [float((i * 37) % 101) for i in range(1500)]
+    frame = spark.createDataFrame([(1, i, x) for i, x in enumerate(values)], "key long, i long, x double")
+    for seed in (1, 14):
+        want = sum(values[:seed]) / seed
+        got = {r.i: r.y for r in frame.select("i", smoothed(F.col("x"), F.col("i"), Window.partitionBy("key").orderBy("i"), 1 / 14, seed).alias("y")).collect()}
+        for i in range(seed - 1, len(values)):
+            if i >= seed:
+                want += (values[i] - want) / 14
+            assert abs(got[i] - want) < 1e-6
