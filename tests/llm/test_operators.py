@@ -35,7 +35,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.sql(catalog.ORACLES[name])
     got = catalog.QUERIES[name](spark, SF).select(*want.columns).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import html_main, jaccard_join, mixing, ordinal, packing, pii, quality_llr, secret_scan, tiff, toxicity, url_filter
+from tickloom.llm import centroids, html_main, jaccard_join, mixing, ordinal, packing, pii, quality_llr, secret_scan, tiff, toxicity, url_filter
 from tickloom.llm.common import labelled_sample, table
 
 
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -74,7 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tiff,
         op9_html_main,
         op10_packing,
+        op11_centroids,
         op13_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op11_centroids": centroids.oracle()}
