@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import centroids, html_main, jaccard_join, mixing, ordinal, packing, pii, quality_llr, secret_scan, tiff, toxicity, url_filter
+from tickloom.llm import centroids, html_main, jaccard_join, mixing, ordinal, packing, pii, prefix_trie, quality_llr, secret_scan, tiff, toxicity, url_filter
 from tickloom.llm.common import labelled_sample, table
 
 
@@ -61,6 +61,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -79,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_main,
         op10_packing,
         op11_centroids,
+        op12_prefix_trie,
         op13_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op11_centroids": centroids.oracle()}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op11_centroids": centroids.oracle(), "op12_prefix_trie": prefix_trie.ORACLE}
