@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.segments import scan
+
 
 def book_state(updates: DataFrame, on: list[str], depths: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The book after every update: price and size of each slot, null where it was removed or never set.
@@ -13,15 +15,13 @@ def book_state(updates: DataFrame, on: list[str], depths: int = 3, keep: list[st
 
     A removal is a struct of nulls, not a null, so that carrying the last state forward doesn't skip it.
     """
-    order = Window.partitionBy(*on).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
     gone = (F.col("action") == 2) | (F.col("size") <= 0)
     slot = F.struct(F.when(~gone, F.col("price")).alias("px"), F.when(~gone, F.col("size")).alias("sz"))
-    columns = []
-    for side, name in ((0, "bid"), (1, "ask")):
-        for d in range(1, depths + 1):
-            last = F.last(F.when((F.col("side") == side) & (F.col("depth") == d), slot), ignorenulls=True).over(order)
-            columns += [last["px"].alias(f"{name}_px{d}"), last["sz"].alias(f"{name}_sz{d}")]
-    return updates.select(*on, "us", "seq", *(keep or []), *columns)
+    slots = [(side, name, d) for side, name in ((0, "bid"), (1, "ask")) for d in range(1, depths + 1)]
+    scans = {f"{name}{d}": ("last", F.when((F.col("side") == side) & (F.col("depth") == d), slot)) for side, name, d in slots}
+    narrow = updates.select(*dict.fromkeys([*on, "us", "seq", *(keep or []), "side", "depth", "action", "price", "size"]))
+    columns = [F.col(f"{name}{d}.{field}").alias(f"{name}_{field}{d}") for _, name, d in slots for field in ("px", "sz")]
+    return scan(narrow, on, ["us", "seq"], scans).select(*on, "us", "seq", *(keep or []), *columns)
 
 
 def sweep(levels: DataFrame, on: list[str], quantity: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.segments import PART_ROWS, PART_US
+from tickloom.operators.temporal import asof
+
 
 def ahead(events: DataFrame, prints: DataFrame, seconds: int) -> DataFrame:
     """events joined with the prints (at, at_seq, px) of [us, us + seconds] on the same day.
@@ -19,6 +22,48 @@ def ahead(events: DataFrame, prints: DataFrame, seconds: int) -> DataFrame:
     return a.join(b, ["day", "_bucket"]).filter((F.col("at") >= F.col("us")) & (F.col("at") <= F.col("us") + width)).drop("_bucket")
 
 
+#: Longest reach of a group of reaches by the shortest.
+SPAN = 16
+
+
+def outlook(events: DataFrame, prints: DataFrame, key: list[str], reaches: list[int], along: str = "us") -> DataFrame:
+    """events by horizon with n, high, low and at_end of the prints in [x, x + reach) of their day, x in ``along``.
+
+    events are prints themselves: both have day, seq and ``along``; prints have price. Buckets are as long as the least
+    reach. A window is the rest of its first bucket, whole buckets, and the start of the last one up to the last print
+    before its end, which an as-of read finds. Reaches are looked at in groups, so that an event carries SPAN buckets
+    at most.
+    """
+    width = min(reaches)
+    if max(reaches) > SPAN * width:
+        near = [r for r in reaches if r <= SPAN * width]
+        return outlook(events, prints, key, near, along).union(outlook(events, prints, key, [r for r in reaches if r not in near], along))
+    p = prints.select("day", "seq", F.col(along).alias("us"), "price").withColumn("bucket", F.floor(F.col("us") / width))
+    here = Window.partitionBy("day", "bucket")
+    so_far, rest = here.orderBy("us").rangeBetween(Window.unboundedPreceding, 0), here.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({
+        "high": F.max("price").over(so_far), "low": F.min("price").over(so_far), "held": F.count("*").over(so_far),
+        "rest_high": F.max("price").over(rest), "rest_low": F.min("price").over(rest), "earlier": F.rank().over(here.orderBy("us")) - 1,
+    })
+    buckets = prints.groupBy("day", F.floor(F.col(along) / width).alias("bucket")).agg(F.max("price").alias("high"), F.min("price").alias("low"), F.count("*").alias("m"))
+    before = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select("day", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    e = events.select("day", "seq", *key, F.col(along).alias("at")).join(p.select("day", "seq", "bucket", "rest_high", "rest_low", "earlier"), ["day", "seq"])
+    span = F.sequence(F.col("bucket") + 1, F.floor((F.col("at") + max(reaches)) / width))
+    between = e.select("day", "seq", *key, F.explode(span).alias("bucket")).join(buckets, ["day", "bucket"])
+    between = between.groupBy("day", "seq", *key).agg(F.collect_list(F.struct("bucket", "high", "low")).alias("between"))
+    e = e.join(starts, ["day", "bucket"]).join(between, ["day", "seq", *key], "left")
+    probes = e.withColumn("reach", F.explode(F.array(*map(F.lit, reaches)))).withColumn("us", F.col("at") + F.col("reach") - 1)
+    states = p.join(starts, ["day", "bucket"]).select("day", "us", "seq", "bucket", "high", "low", "price", (F.col("start") + F.col("held")).alias("upto"))
+    found = asof(probes, states, ["day"], ["bucket", "high", "low", "price", "upto"], "end", width=max(width, PART_US if along == "us" else PART_ROWS))
+    inner = F.filter("between", lambda b: b.bucket < F.col("end.bucket"))
+    last = F.col("end.bucket") > F.col("bucket")
+    high = F.greatest("rest_high", F.array_max(F.transform(inner, lambda b: b.high)), F.when(last, F.col("end.high")))
+    low = F.least("rest_low", F.array_min(F.transform(inner, lambda b: b.low)), F.when(last, F.col("end.low")))
+    n = F.col("end.upto") - F.col("start") - F.col("earlier")
+    return found.select("day", "seq", *key, "reach", n.alias("n"), high.alias("high"), low.alias("low"), F.col("end.price").alias("at_end"))
+
+
 def exits(paths: DataFrame, on: list[str], gain: Column, target: float, stop: float) -> DataFrame:
     """Per entry the first print that gains ``target`` or loses ``stop``, else the last print: reason, exit_us and pnl."""
     at = F.struct("at", "at_seq")

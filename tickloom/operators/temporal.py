@@ -1,51 +1,63 @@
-"""As-of joins and trailing or leading windows over ordered streams."""
+"""As-of joins, averages and spacing over ordered streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.segments import PART_US, haloed, own, scan
+
 
-def asof(left: DataFrame, right: DataFrame, on: list[str], values: list[str], name: str = "asof", lag_us: int = 0, forward: bool = False) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, on: list[str], values: list[str], name: str = "asof", lag_us: int = 0, forward: bool = False, width: int = PART_US, **more: tuple[str, str]
+) -> DataFrame:
     """left with a struct ``name`` of the last right row at or before us - lag_us (forward: the first at or after).
 
-    One shuffle by ``on``: both sides are stacked and the nearest right row is carried along the order. The struct is
-    null where no right row exists, and may hold nulls where the right row does. Both sides need us and seq.
+    Both sides are stacked and the nearest right row is carried along the order, in parts of ``width`` microseconds, so
+    that a busy key is spread over its parts. Forward is backward on negated times. The struct is null where no right
+    row exists, and may hold nulls where the right row does. Both sides need us and seq; us must not be null. ``more``
+    names further scans (kind, column) of left's own columns along the same order.
     """
-    probe = left.select("*", (F.col("us") - lag_us).alias("_at"), F.lit(1 if not forward else 0).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_value"))
-    build = right.select(*on, F.col("us").alias("_at"), F.col("seq"), F.lit(0 if not forward else 1).alias("_side"), F.struct(*values).alias("_value"))
-    both = probe.unionByName(build, allowMissingColumns=True).withColumn("_probe", F.col("us").isNotNull())
-    order = Window.partitionBy(*on).orderBy("_at", "_side", "seq")
-    frame = order.rowsBetween(0, Window.unboundedFollowing) if forward else order.rowsBetween(Window.unboundedPreceding, 0)
-    carried = (F.first if forward else F.last)("_value", ignorenulls=True).over(frame)
-    return both.withColumn(name, carried).filter("_probe").select(*left.columns, name)
-
+    sign = -1 if forward else 1
+    at = lambda us: (sign * us).cast("long").alias("_at")
+    kind = right.select(F.struct(*values)).schema[0].dataType
+    kept = [c for c in left.columns if c not in on]
+    probe = left.select(*on, at(F.col("us") - lag_us), F.lit(1).alias("_side"), (sign * F.col("seq")).alias("_seq"), F.struct(*kept).alias("_left"), F.lit(None).cast(kind).alias("_value"))
+    none = F.lit(None).cast(probe.schema["_left"].dataType).alias("_left")
+    build = right.select(*on, at(F.col("us")), F.lit(0).alias("_side"), (sign * F.col("seq")).alias("_seq"), none, F.struct(*values).alias("_value"))
+    scans = {n: (how, F.col(f"_left.{c}")) for n, (how, c) in more.items()}
+    carried = scan(probe.union(build), on, ["_at", "_side", "_seq"], {"_last": ("last", F.col("_value"))} | scans, width)
+    found = carried.filter("_left IS NOT NULL").select(*on, "_left.*", F.col("_last").alias(name), *more)
+    return found.select(*left.columns, name, *more)
 
-def trailing(on: list[str], seconds: float, closed: bool = True) -> WindowSpec:
-    """[t - w, t] by microseconds, or [t - w, t) where closed is false."""
-    return Window.partitionBy(*on).orderBy("us").rangeBetween(-int(seconds * 1e6), 0 if closed else -1)
 
+#: Natural logarithm of the largest weight in a part of smoothed(); weights of what a part leaves out are below exp(-45).
+WEIGHTS = 300
 
-def leading(on: list[str], seconds: float) -> WindowSpec:
-    """[t, t + w)."""
-    return Window.partitionBy(*on).orderBy("us").rangeBetween(0, int(seconds * 1e6) - 1)
 
+def smoothed(rows: DataFrame, on: list[str], place: str, averages: dict[str, tuple[Column, float, int]]) -> DataFrame:
+    """rows with exponential averages (value, alpha, seed) along ``place``, which counts a key's rows from 0.
 
-def smoothed(value: Column, place: Column, order: WindowSpec, alpha: float, seed: int = 1) -> Column:
-    """Exponential average along ``order``, where ``place`` counts a key's rows from 0, seeded with the mean of the first
-    ``seed`` values; meaningless before them.
-
-    A running sum of values weighted by powers of 1 / (1 - alpha), so that no list is built. Weights stay within
-    doubles for some thousands of rows a key, a day of one-minute bars and more.
+    An average is seeded with the mean of its first ``seed`` values and meaningless before them. It is a running sum of
+    values weighted by powers of 1 / (1 - alpha). These grow, so rows are cut into parts in which they stay within
+    doubles; a part also holds the rows of the one before it, and what is older counts for nothing in a double.
     """
-    keep, age = 1 - alpha, F.greatest(place - (seed - 1), F.lit(0))
-    term = F.when(place < 0, F.lit(0.0)).when(place < seed, value / seed).otherwise(alpha * value * F.pow(F.lit(keep), -age))
-    return F.pow(F.lit(keep), age) * F.sum(term).over(order.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def sum_of_inner_changes(change: Column, frame: WindowSpec) -> Column:
-    """Sum of a change against the row before, without the first one of the frame, which crosses its edge."""
-    return F.sum(change).over(frame) - F.coalesce(F.first(change).over(frame), F.lit(0.0))
+    keeps = [1 - alpha for _, alpha, _ in averages.values()]
+    width = math.floor(WEIGHTS / -math.log(min(keeps)))
+    if width * -math.log(max(keeps)) < 45:
+        raise ValueError("averages of so different lengths need calls of their own")
+    cut = haloed(rows, place, width, width)
+    order = Window.partitionBy(*on, "_part").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    found = {}
+    for name, (value, alpha, seed) in averages.items():
+        keep, at = F.lit(1 - alpha), F.col(place)
+        base = F.greatest((F.col("_part") - 1) * width - (seed - 1), F.lit(0))
+        age = F.greatest(at - (seed - 1), F.lit(0)) - base
+        term = F.when(at < 0, F.lit(0.0)).when(at < seed, value / seed).otherwise(alpha * value * F.pow(keep, -age))
+        found[name] = F.pow(keep, age) * F.sum(term).over(order)
+    return own(cut.withColumns(found))
 
 
 def greedy_spacing(entries: DataFrame, on: list[str], gap_us: int) -> DataFrame:

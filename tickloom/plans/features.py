@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import safe_div
 from tickloom.operators.book import book_state
-from tickloom.operators.temporal import smoothed, sum_of_inner_changes, trailing
+from tickloom.operators.segments import PART_ROWS, deviation, haloed, numbered, own, scan, trailing_changes, trailing_first, trailing_sum, upto, whole
+from tickloom.operators.temporal import smoothed
 from tickloom.plans import views as v
-from tickloom.plans.market import AGGRESSOR, BANDED, BARS, aggressor, bars, by_day, entries, query, sided, so_far
+from tickloom.plans.market import AGGRESSOR, BANDED, BARS, aggressor, bars, by_day, entries, query, sided, so_far, with_vwap
 
 DEPTHS = range(1, 11)
 SIDES = ("bid", "ask")
@@ -34,9 +35,9 @@ e(day, bar, i, fast, slow, signal) AS (
 SELECT bar, round(fast - slow, 4) AS macd, round(signal, 4) AS signal, round(fast - slow - signal, 4) AS hist FROM e""")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of the averages over 12 and 26 bars, its own average over 9, and what is between the two."""
-    order = Window.partitionBy("day").orderBy("i")
-    lines = placed(spark, sf_dir).withColumn("macd", smoothed(F.col("close"), F.col("i"), order, 2 / 13) - smoothed(F.col("close"), F.col("i"), order, 2 / 27))
-    lines = lines.withColumn("signal", smoothed(F.col("macd"), F.col("i"), order, 2 / 10))
+    lines = smoothed(placed(spark, sf_dir), ["day"], "i", {"fast": (F.col("close"), 2 / 13, 1), "slow": (F.col("close"), 2 / 27, 1)})
+    lines = lines.withColumn("macd", F.col("fast") - F.col("slow"))
+    lines = smoothed(lines, ["day"], "i", {"signal": (F.col("macd"), 2 / 10, 1)})
     return lines.select("bar", F.round("macd", 4).alias("macd"), F.round("signal", 4).alias("signal"), F.round(F.col("macd") - F.col("signal"), 4).alias("hist"))
 
 
@@ -53,8 +54,8 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative strength over 14 bars of a day, whose averages start from the plain mean of the first 14 changes."""
     order = Window.partitionBy("day").orderBy("i")
     b = placed(spark, sf_dir).withColumn("d", F.coalesce(F.col("close") - F.lag("close").over(order), F.lit(0.0))).withColumn("at", F.col("i") - 1)
-    up, down = (smoothed(F.greatest(sign * F.col("d"), F.lit(0.0)), F.col("at"), order, 1 / 14, 14) for sign in (1, -1))
-    averages = b.select("bar", "i", up.alias("up"), down.alias("down")).filter("i >= 14")
+    averages = {name: (F.greatest(sign * F.col("d"), F.lit(0.0)), 1 / 14, 14) for name, sign in (("up", 1), ("down", -1))}
+    averages = smoothed(b, ["day"], "at", averages).filter("i >= 14")
     strength = F.when(F.col("down") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("up") / F.col("down")))
     return averages.select("bar", F.round(strength, 4).alias("rsi"))
 
@@ -149,11 +150,19 @@ FLOW = BOOK10 + f""", near AS (SELECT *, bid - lag(bid) OVER w AS dbid, ask - la
   FROM (SELECT day, us, seq, {_total('bid', NEAR)} AS bid, {_total('ask', NEAR)} AS ask FROM slots) WINDOW w AS ({_W}))"""
 
 
-def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes near the touch after every update, their changes, the order-flow imbalance and the queue imbalance."""
+def flow(spark: SparkSession, sf_dir: str, window: int | None = None) -> DataFrame:
+    """Sizes near the touch after every update, their changes, the order-flow imbalance and the queue imbalance.
+
+    With a ``window`` in seconds rows are haloed for it and numbered, and the changes of a part's first row are null.
+    """
     s = book10(spark, sf_dir).select("day", "us", "seq", total("bid", NEAR).alias("bid"), total("ask", NEAR).alias("ask"))
-    s = s.withColumns({f"d{side}": F.col(side) - F.lag(side).over(by_day()) for side in SIDES})
-    return s.withColumns({"ofi": F.coalesce(F.col("dbid") - F.col("dask"), F.lit(0)), "imbalance": safe_div(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask"))})
+    s = scan(s, ["day"], ["us", "seq"], {"was": ("lag", F.struct("bid", "ask"))})
+    s = s.withColumns({f"d{side}": F.col(side) - F.col(f"was.{side}") for side in SIDES}).drop("was")
+    s = s.withColumns({"ofi": F.coalesce(F.col("dbid") - F.col("dask"), F.lit(0)), "imbalance": safe_div(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask"))})
+    if window is None:
+        return s
+    s = numbered(haloed(s, "us", window * 1_000_000), ["day"])
+    return s.withColumns({f"d{side}": F.when(F.col("_i") > 1, F.col(f"d{side}")) for side in SIDES})
 
 
 def _range(seconds: int) -> str:
@@ -163,7 +172,8 @@ def _range(seconds: int) -> str:
 @query(f"WITH {FLOW} SELECT seq, ofi, " + ", ".join(f"CAST(sum(ofi) OVER ({_range(s)}) AS BIGINT) AS ofi_{s}" for s in (300, 600, 3600)) + " FROM near")
 def ofi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-flow imbalance of each update near the touch, and its sums over three trailing windows."""
-    return flow(spark, sf_dir).select("seq", "ofi", *(F.sum("ofi").over(trailing(["day"], s)).alias(f"ofi_{s}") for s in (300, 600, 3600)))
+    rows = flow(spark, sf_dir, 3600)
+    return own(rows.withColumns({f"ofi_{s}": trailing_sum(F.col("ofi"), ["day"], s) for s in (300, 600, 3600)})).select("seq", "ofi", "ofi_300", "ofi_600", "ofi_3600")
 
 
 @query(f"""
@@ -176,12 +186,21 @@ SELECT seq, round(avg(imbalance) OVER w, 6) AS mean, round(stddev_samp(imbalance
 FROM x WINDOW w AS ({_range(3600)})""")
 def snapshot_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, deviation, slope a second from first to last, and positive share of the queue imbalance over an hour."""
-    w, x = trailing(["day"], 3600), F.col("imbalance")
+    x, unit, hour = F.col("imbalance"), 1e-12, 3_600_000_000
     point = F.when(x.isNotNull(), F.struct(F.col("us").alias("t"), x.alias("x")))
-    s = flow(spark, sf_dir).withColumns({"one": F.first(point, ignorenulls=True).over(w), "two": F.last(point, ignorenulls=True).over(w)})
-    slope = F.when(F.col("two.t") > F.col("one.t"), (F.col("two.x") - F.col("one.x")) / ((F.col("two.t") - F.col("one.t")) / 1_000_000.0))
-    positive = F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).over(w)
-    return s.select("seq", F.round(F.avg(x).over(w), 6).alias("mean"), F.round(F.stddev_samp(x).over(w), 6).alias("deviation"), F.round(slope, 9).alias("slope"), F.round(positive, 6).alias("positive"))
+    after = Window.partitionBy("day", "_part").orderBy(F.desc("us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    s = flow(spark, sf_dir, 3600).withColumns({"point": point, "next": F.struct(F.last(point, ignorenulls=True).over(after).alias("p"))})
+    # the first point of the window follows the last row before it; where there is no such row it is the part's first
+    before = F.last("next").over(upto(["day"], hour + 1))
+    one = F.when(before.isNotNull(), before["p"]).otherwise(F.first("point", ignorenulls=True).over(upto(["day"])))
+    two = F.last("point", ignorenulls=True).over(upto(["day"]))
+    big = whole(x, unit)
+    sums = {"n": F.when(x.isNotNull(), 1), "total": big, "squares": big * big, "above": (x > 0).cast("int")}
+    s = own(s.withColumns({"one": one, "two": two} | {n: trailing_sum(c, ["day"], 3600) for n, c in sums.items()}))
+    slope = F.when((F.col("two.t") > F.col("one.t")) & (F.col("two.t") >= F.col("us") - hour), (F.col("two.x") - F.col("one.x")) / ((F.col("two.t") - F.col("one.t")) / 1_000_000.0))
+    n = F.col("n")
+    mean, spread = F.when(n > 0, F.col("total").cast("double") * unit / n), deviation(n, F.col("total"), F.col("squares"), unit)
+    return s.select("seq", F.round(mean, 6).alias("mean"), F.round(spread, 6).alias("deviation"), F.round(slope, 9).alias("slope"), F.round(safe_div(F.col("above"), n), 6).alias("positive"))
 
 
 @query(f"""
@@ -191,13 +210,14 @@ SELECT seq, {", ".join(f"CASE WHEN count(*) OVER w > 1 THEN CAST(sum(greatest({s
 FROM near WINDOW w AS ({_range(3600)})""")
 def replenishment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was added to and taken from each side near the touch over an hour, from changes inside the window only; null with one update."""
-    w, s = trailing(["day"], 3600), flow(spark, sf_dir)
+    s, changes = flow(spark, sf_dir, 3600), {}
     for side in SIDES:
         for sign, name in ((1, "added"), (-1, "taken")):
-            s = s.withColumn(f"{side}_{name}", F.greatest(sign * F.col(f"d{side}"), F.lit(0)))
-    names = [f"{side}_{name}" for side in SIDES for name in ("added", "taken")]
-    inside = {n: sum_of_inner_changes(F.when(F.col(f"d{n[:3]}").isNotNull(), F.col(n)), w) for n in names}
-    return s.select("seq", *(F.when(F.count("*").over(w) > 1, c.cast("long")).alias(n) for n, c in inside.items()))
+            d = F.col(f"d{side}")
+            changes[f"{side}_{name}"] = F.when(d.isNotNull(), F.greatest(sign * d, F.lit(0)))
+    s = s.withColumns(changes)
+    s = s.withColumn("n", trailing_sum(F.lit(1), ["day"], 3600)).withColumns({n: trailing_changes(F.col(n), ["day"], 3600) for n in changes})
+    return own(s).select("seq", *(F.when(F.col("n") > 1, F.col(n).cast("long")).alias(n) for n in changes))
 
 
 @query(f"""
@@ -207,10 +227,14 @@ z AS (SELECT seq, CASE WHEN sb > 1e-6 THEN (bid - mb) / sb ELSE bid - mb END AS
 SELECT seq, round(zb, 4) AS bid_shock, round(za, 4) AS ask_shock, round(zb - za, 4) AS net_shock FROM z""")
 def liquidity_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviations of each side's size near the touch from its mean over an hour; plain distance where it doesn't vary."""
-    w, s = trailing(["day"], 3600), flow(spark, sf_dir)
-    z = {}
+    s, sums = flow(spark, sf_dir, 3600), {}
     for side in SIDES:
-        away, spread = F.col(side) - F.avg(side).over(w), F.stddev_samp(side).over(w)
+        c = F.col(side).cast("decimal(18,0)")
+        sums |= {f"n_{side}": F.when(c.isNotNull(), 1), f"sum_{side}": c, f"squares_{side}": c * c}
+    s, z = own(s.withColumns({n: trailing_sum(c, ["day"], 3600) for n, c in sums.items()})), {}
+    for side in SIDES:
+        n, total_size = F.col(f"n_{side}"), F.col(f"sum_{side}")
+        away, spread = F.col(side) - total_size.cast("double") / n, deviation(n, total_size, F.col(f"squares_{side}"))
         z[side] = F.when(spread > 1e-6, away / spread).otherwise(away)
     s = s.select("seq", *(c.alias(side) for side, c in z.items()))
     return s.select("seq", F.round("bid", 4).alias("bid_shock"), F.round("ask", 4).alias("ask_shock"), F.round(F.col("bid") - F.col("ask"), 4).alias("net_shock"))
@@ -229,15 +253,12 @@ def sign_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Signs are 1 or -1, so sums over the window say it: m pairs have squares that add up to m.
     """
-    w = trailing(["day"], 7200)
-    s = aggressor(spark, sf_dir).filter("sign <> 0").withColumn("pair", F.col("sign") * F.lag("sign").over(by_day()))
-    s = s.select(
-        "seq",
-        (F.count("*").over(w) - 1).alias("m"),
-        (F.sum("sign").over(w) - F.last("sign").over(w)).alias("sx"),
-        (F.sum("sign").over(w) - F.first("sign").over(w)).alias("sy"),
-        (F.sum("pair").over(w) - F.coalesce(F.first("pair").over(w), F.lit(0))).alias("sxy"),
-    )
+    on, hours = ["day"], 7200
+    s = numbered(haloed(aggressor(spark, sf_dir).filter("sign <> 0"), "us", hours * 1_000_000), on)
+    s = s.withColumn("pair", F.col("sign") * F.lag("sign").over(Window.partitionBy("day", "_part").orderBy("us", "seq")))
+    s = s.withColumns({"m": trailing_sum(F.lit(1), on, hours) - 1, "all": trailing_sum(F.col("sign"), on, hours), "sxy": trailing_changes(F.col("pair"), on, hours),
+                       "latest": F.last("sign").over(upto(on)), "first": trailing_first(F.col("sign"), on, hours)})
+    s = own(s).select("seq", "m", (F.col("all") - F.col("latest")).alias("sx"), (F.col("all") - F.col("first")).alias("sy"), "sxy")
     m, sx, sy = F.col("m"), F.col("sx"), F.col("sy")
     known = (m >= 2) & (m * m != sx * sx) & (m * m != sy * sy)
     return s.select("seq", F.when(known, F.round((m * F.col("sxy") - sx * sy) / F.sqrt((m * m - sx * sx).cast("double") * (m * m - sy * sy)), 6)).alias("autocorr"))
@@ -251,11 +272,9 @@ SELECT seq, round((n600 / 600.0) / (n3600 / 3600.0), 6) AS trades, round((v600 /
   round(CASE WHEN c600 <> 0 THEN i600 / c600 END, 6) AS imbalance_600, round(CASE WHEN c3600 <> 0 THEN i3600 / c3600 END, 6) AS imbalance_3600 FROM w""")
 def burst_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of trades and volume over ten minutes by those over an hour, signed volume and its acceleration, imbalance of counts."""
-    s = aggressor(spark, sf_dir)
-    for seconds in (600, 3600):
-        w = trailing(["day"], seconds)
-        sums = {"n": F.lit(1), "v": F.col("volume"), "s": F.col("sign") * F.col("volume"), "i": F.col("sign"), "c": F.abs("sign")}
-        s = s.withColumns({f"{name}{seconds}": F.sum(c).over(w) for name, c in sums.items()})
+    s = haloed(aggressor(spark, sf_dir), "us", 3_600_000_000)
+    sums = {"n": F.lit(1), "v": F.col("volume"), "s": F.col("sign") * F.col("volume"), "i": F.col("sign"), "c": F.abs("sign")}
+    s = own(s.withColumns({f"{name}{seconds}": trailing_sum(c, ["day"], seconds) for seconds in (600, 3600) for name, c in sums.items()}))
     rate = lambda name: F.round((F.col(f"{name}600") / 600.0) / (F.col(f"{name}3600") / 3600.0), 6)
     return s.select(
         "seq", rate("n").alias("trades"), rate("v").alias("volume"), F.col("s600").alias("signed"),
@@ -353,11 +372,19 @@ s AS (SELECT seq, CASE WHEN count(resid) OVER w >= 100 THEN stddev_samp(resid) O
 SELECT seq, round(CASE WHEN sr > 0 THEN sr ELSE sp END, 4) AS sigma FROM s""")
 def rolling_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviation of the last 5000 distances from the running VWAP, from 100 on; of the prices where that is 0 or unknown."""
-    w = by_day().rowsBetween(-4999, 0)
-    vwap = F.sum(F.col("price") * F.col("volume")).over(so_far()) / F.sum("volume").over(so_far())
-    r = v.trades(spark, sf_dir).withColumn("resid", F.col("price") - vwap)
-    known = lambda c: F.when(F.count(c).over(w) >= 100, F.stddev_samp(c).over(w))
-    return r.select("seq", known("resid").alias("sr"), known("price").alias("sp")).select("seq", F.round(F.when(F.col("sr") > 0, F.col("sr")).otherwise(F.col("sp")), 4).alias("sigma"))
+    last, unit = 5000, 1e-9
+    r = haloed(with_vwap(spark, sf_dir), "i", last - 1, PART_ROWS)
+    order = Window.partitionBy("day", "_part").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {}
+    for name, c in (("r", F.col("price") - F.col("vwap")), ("p", F.col("price"))):
+        big = whole(c, unit)
+        sums |= {f"n{name}": F.count(big).over(so_far), f"s{name}": F.sum(big).over(so_far), f"q{name}": F.sum(big * big).over(so_far)}
+    # a window of rows is a running sum less the one so many rows before
+    r = r.withColumns(sums)
+    r = own(r.withColumns({n: F.col(n) - F.coalesce(F.lag(n, last).over(order), F.lit(0)) for n in sums}))
+    known = lambda x: F.when(F.col(f"n{x}") >= 100, deviation(F.col(f"n{x}"), F.col(f"s{x}"), F.col(f"q{x}"), unit))
+    return r.select("seq", known("r").alias("sr"), known("p").alias("sp")).select("seq", F.round(F.when(F.col("sr") > 0, F.col("sr")).otherwise(F.col("sp")), 4).alias("sigma"))
 
 
 @query(f"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.catalog import ORACLES, QUERIES
 from tickloom.functions.exprs import at_least, edge_bucket, rank_bin, safe_div, session_bucket
 from tickloom.operators.book import book_state, sweep
-from tickloom.operators.temporal import asof, greedy_spacing, leading, smoothed, sum_of_inner_changes, trailing
+from tickloom.operators.segments import PART_ROWS, haloed, next_extremes, own, scan, trailing_changes, trailing_sum, upto
+from tickloom.operators.temporal import asof, greedy_spacing, smoothed
 from tickloom.plans import views as v
 
 
@@ -37,26 +38,36 @@ BANDED = v.TRADES + f""", banded AS (SELECT *, sum(price * volume) OVER ({_W}) /
  entries AS (SELECT * FROM (SELECT *, lag(side) OVER (PARTITION BY band ORDER BY us, seq) AS was FROM sides) WHERE side IS NOT NULL AND side IS DISTINCT FROM was)"""
 
 
-def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_vwap(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Trades with the session's running VWAP and i, their place in the day from 1; no task holds a whole day."""
+    paid = F.col("price") * F.col("volume")
+    sums = {"i": ("count", F.col("us")), "paid": ("sum", paid), "traded": ("sum", F.col("volume"))}
+    rows = scan(v.trades(spark, sf_dir).select("day", "us", "seq", "price", "volume", *more), ["day"], ["us", "seq"], sums)
+    return rows.withColumn("vwap", F.col("paid") / F.col("traded")).drop("paid", "traded")
+
+
+def banded(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Trades with the session's running VWAP and the deviation of the last 50 prices, from 10 on."""
-    r = by_day().rowsBetween(-49, 0)
-    return v.trades(spark, sf_dir).withColumns({"vwap": F.sum(F.col("price") * F.col("volume")).over(so_far()) / F.sum("volume").over(so_far()), "sigma": F.when(F.count("price").over(r) >= 10, F.stddev_samp("price").over(r))})
+    near = Window.partitionBy("day", "_part").orderBy("i").rowsBetween(-49, 0)
+    rows = haloed(with_vwap(spark, sf_dir, *more), "i", 49, PART_ROWS)
+    sigma = F.when(F.count("price").over(near) >= 10, F.stddev_samp("price").over(near))
+    return own(rows.withColumn("sigma", sigma)).drop("i")
 
 
-def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sided(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Trades with the side on which they touch or pass the bands at 1 and 2 deviations; null inside."""
-    rows = banded(spark, sf_dir).filter("sigma > 0").withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = banded(spark, sf_dir, *more).filter("sigma > 0").withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
     high, low = F.col("vwap") + F.col("band") * F.col("sigma"), F.col("vwap") - F.col("band") * F.col("sigma")
     return rows.withColumn("side", F.when(F.col("price") >= high, "upper").when(F.col("price") <= low, "lower"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """First touches of the bands: the side differs from the row before, over all days.
 
     Rows are compared within their day. Only a day's first row of a band needs the last one of the day before, which
     comes from a table of one row for each day and band.
     """
-    rows = sided(spark, sf_dir)
+    rows = sided(spark, sf_dir, *more)
     order = Window.partitionBy("day", "band").orderBy("us", "seq")
     rows = rows.withColumns({"_lag": F.lag("side").over(order), "_i": F.row_number().over(order)})
     ends = rows.groupBy("day", "band").agg(F.max_by("side", F.struct("us", "seq")).alias("_end"))
@@ -91,9 +102,9 @@ OUTCOME = BANDED + f", ahead AS (SELECT seq, count(*) OVER h AS n, max(price) OV
 
 def outcomes(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
     """Entries with the favourable and adverse excursions of the prints in [t, t + seconds); null with one print."""
-    h = leading(["day"], seconds)
-    ahead = v.trades(spark, sf_dir).select("seq", F.count("*").over(h).alias("n"), F.max("price").over(h).alias("high"), F.min("price").over(h).alias("low"))
-    joined = entries(spark, sf_dir).join(ahead, "seq")
+    t = v.trades(spark, sf_dir).select("day", "us", "seq", "price")
+    ahead = next_extremes(t, ["day"], "price", seconds * 1_000_000).select("day", "seq", "n", "high", "low")
+    joined = entries(spark, sf_dir).join(ahead, ["day", "seq"])
     down, up = F.col("price") - F.col("low"), F.col("high") - F.col("price")
     return joined.withColumns({"mfe": F.when(F.col("n") > 1, F.when(F.col("side") == "upper", down).otherwise(up)), "mae": F.when(F.col("n") > 1, F.when(F.col("side") == "upper", up).otherwise(down))})
 
@@ -163,17 +174,25 @@ _R = "PARTITION BY day ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT
 
 @query(f"WITH {v.TRADES} SELECT seq, count(*) OVER w AS n, CAST(sum(volume) OVER w AS BIGINT) AS volume, round(count(*) OVER w / 600.0, 6) AS rate FROM trades WINDOW w AS ({_R})")
 def range_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = trailing(["day"], 600)
-    return v.trades(spark, sf_dir).select("seq", F.count("*").over(w).alias("n"), F.sum("volume").over(w).alias("volume"), F.round(F.count("*").over(w) / 600.0, 6).alias("rate"))
+    rows = haloed(v.trades(spark, sf_dir).select("day", "us", "seq", "volume"), "us", 600_000_000)
+    rows = rows.withColumns({"n": trailing_sum(F.lit(1), ["day"], 600), "traded": trailing_sum(F.col("volume"), ["day"], 600)})
+    return own(rows).select("seq", F.col("n").cast("long").alias("n"), F.col("traded").alias("volume"), F.round(F.col("n") / 600.0, 6).alias("rate"))
 
 
 @query(f"""WITH {v.TRADES}, d AS (SELECT *, power(price - lag(price) OVER ({_W}), 2) AS d2, power(ln(price / lag(price) OVER ({_W})), 2) AS l2 FROM trades WHERE price > 0)
  SELECT seq, round(sum(d2) OVER w - coalesce(first_value(d2) OVER w, 0), 4) AS rv_points, round(sqrt(greatest(0, sum(l2) OVER w - coalesce(first_value(l2) OVER w, 0))), 4) AS rv_log FROM d WINDOW w AS ({_W.replace('us, seq', 'us')} RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)""")
 def realised_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes inside [t - 600 s, t] only: the one that crosses the left edge doesn't count."""
-    p, w = F.col("price"), trailing(["day"], 600)
-    d = v.trades(spark, sf_dir).filter("price > 0").withColumns({"d2": F.pow(p - F.lag(p).over(by_day()), 2), "l2": F.pow(F.ln(p / F.lag(p).over(by_day())), 2)})
-    return d.select("seq", F.round(sum_of_inner_changes(F.col("d2"), w), 4).alias("rv_points"), F.round(F.sqrt(F.greatest(F.lit(0.0), sum_of_inner_changes(F.col("l2"), w))), 4).alias("rv_log"))
+    rows = v.trades(spark, sf_dir).filter("price > 0").select("day", "us", "seq", "price")
+    starts = rows.groupBy("day").agg(F.min("us").alias("first_us"))
+    rows = haloed(rows, "us", 600_000_000)
+    before = F.lag("price").over(Window.partitionBy("day", "_part").orderBy("us", "seq"))
+    rows = rows.withColumns({"d2": F.pow(F.col("price") - before, 2), "l2": F.pow(F.ln(F.col("price") / before), 2)})
+    d2, l2 = (F.greatest(F.lit(0.0), trailing_changes(F.col(c), ["day"], 600)) for c in ("d2", "l2"))
+    changes = F.count("d2").over(upto(["day"]))
+    rows = own(rows.select("_own", "_part", "day", "us", "seq", d2.alias("d2"), l2.alias("l2"), changes.alias("changes"))).join(starts, "day")
+    rows = rows.withColumn("d2", F.when((F.col("us") > F.col("first_us")) | (F.col("changes") > 0), F.col("d2")))  # null with no change in the day
+    return rows.select("seq", F.round("d2", 4).alias("rv_points"), F.round(F.sqrt("l2"), 4).alias("rv_log"))
 
 
 BARS = v.TRADES + """, bars AS (SELECT day, us // 3600000000 AS bar, arg_min(price, (us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM trades GROUP BY ALL)"""
@@ -216,33 +235,42 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential average over 12 bars, seeded with the day's first close."""
     order = Window.partitionBy("day").orderBy("bar")
     placed = bars(spark, sf_dir).withColumn("i", F.row_number().over(order) - 1)
-    return placed.select("bar", F.round(smoothed(F.col("close"), F.col("i"), order, 2 / 13), 4).alias("ema"))
+    return smoothed(placed, ["day"], "i", {"ema": (F.col("close"), 2 / 13, 1)}).select("bar", F.round("ema", 4).alias("ema"))
 
 
 AGGRESSOR = v.QUOTES + f""", t AS (SELECT * FROM trades ASOF LEFT JOIN (SELECT day AS qday, us AS qus, price AS qpx FROM (SELECT day, us, price, row_number() OVER (PARTITION BY day, us ORDER BY seq DESC) AS r FROM quotes) WHERE r = 1) q ON trades.day = q.qday AND trades.us >= q.qus),
  s AS (SELECT *, coalesce(nullif(sign(price - qpx), 0), nullif(sign(price - lag(price) OVER (PARTITION BY day ORDER BY us, seq)), 0)) AS raw FROM t), a AS (SELECT *, CAST(coalesce(last_value(raw IGNORE NULLS) OVER (PARTITION BY day ORDER BY us, seq), 0) AS INTEGER) AS sign FROM s)"""
 
 
-def aggressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade signs: against the quote, else against the last price, else the last sign that wasn't 0."""
+def aggressor(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """Trade signs: against the quote, else against the last known price, else the last sign that wasn't 0.
+
+    ``more`` names running sums over the day of columns that may use sign and volume. Signs of rows before a part's first
+    sign are the one carried into it.
+    """
     q = v.quotes(spark, sf_dir).select("day", "us", "seq", F.col("price").alias("px"))
-    t = asof(v.trades(spark, sf_dir), q, ["day"], ["px"], "q")
+    t = asof(v.trades(spark, sf_dir).select("day", "us", "seq", "price", "volume"), q, ["day"], ["px"], "q", was=("previous", "price"))
     nonzero = lambda c: F.when(F.signum(c) != 0, F.signum(c))
-    raw = F.coalesce(nonzero(F.col("price") - F.col("q.px")), nonzero(F.col("price") - F.lag("price").over(by_day())))
-    return t.withColumn("raw", raw).withColumn("sign", F.coalesce(F.last("raw", ignorenulls=True).over(so_far()), F.lit(0)).cast("int"))
+    raw = F.coalesce(nonzero(F.col("price") - F.col("q.px")), nonzero(F.col("price") - F.col("was")))
+    t = scan(t.select("day", "us", "seq", "volume", raw.alias("raw")), ["day"], ["us", "seq"], {"last": ("last", F.col("raw"))})
+    t = t.select("day", "us", "seq", "volume", F.coalesce("last", F.lit(0)).cast("int").alias("sign"))
+    return scan(t, ["day"], ["us", "seq"], {n: ("sum", c) for n, c in more.items()}) if more else t
 
 
 @query(f"WITH {AGGRESSOR} SELECT seq, sign, CAST(sum(sign * volume) OVER (PARTITION BY day ORDER BY us, seq) AS BIGINT) AS cvd FROM a")
 def aggressor_cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggressor(spark, sf_dir).select("seq", "sign", F.sum(F.col("sign") * F.col("volume")).over(so_far()).alias("cvd"))
+    return aggressor(spark, sf_dir, cvd=F.col("sign") * F.col("volume")).select("seq", "sign", "cvd")
 
 
 @query(f"""WITH {AGGRESSOR}, w AS (SELECT seq, sum(CASE WHEN sign > 0 THEN volume ELSE 0 END) OVER r AS buy, sum(CASE WHEN sign < 0 THEN volume ELSE 0 END) OVER r AS sell FROM a WINDOW r AS ({_R}))
  SELECT seq, CAST(buy AS BIGINT) AS buy, CAST(sell AS BIGINT) AS sell, round(CASE WHEN buy + sell <> 0 THEN (buy - sell) / (buy + sell) END, 6) AS imbalance FROM w""")
 def order_flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = trailing(["day"], 600)
-    s = aggressor(spark, sf_dir).select("seq", F.sum(F.when(F.col("sign") > 0, F.col("volume")).otherwise(0)).over(w).alias("buy"), F.sum(F.when(F.col("sign") < 0, F.col("volume")).otherwise(0)).over(w).alias("sell"))
-    return s.select("seq", "buy", "sell", F.round(safe_div(F.col("buy") - F.col("sell"), F.col("buy") + F.col("sell")), 6).alias("imbalance"))
+    """Bought and sold volume of ten minutes, and their imbalance."""
+    rows = haloed(aggressor(spark, sf_dir), "us", 600_000_000)
+    side = lambda sign: F.when(F.col("sign") == sign, F.col("volume")).otherwise(0)
+    rows = rows.withColumns({"buy": trailing_sum(side(1), ["day"], 600), "sell": trailing_sum(side(-1), ["day"], 600)})
+    imbalance = safe_div(F.col("buy") - F.col("sell"), F.col("buy") + F.col("sell"))
+    return own(rows).select("seq", "buy", "sell", F.round(imbalance, 6).alias("imbalance"))
 
 
 _SLOTS = ", ".join(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import edge_bucket, safe_div
 from tickloom.operators.paths import ahead, draw, exits, lockout, nearest_quantile, positions
-from tickloom.operators.temporal import asof, sum_of_inner_changes, trailing
+from tickloom.operators.segments import haloed, own, trailing_changes, trailing_sum, upto
+from tickloom.operators.temporal import asof
 from tickloom.plans import views as v
 from tickloom.plans.market import BANDED, BARS, bars, by_day, entries, query
 
@@ -86,11 +87,14 @@ def vwap_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
  WINDOW n AS ({_U} RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), o AS ({_U} RANGE BETWEEN 7200000000 PRECEDING AND 3600000000 PRECEDING)""")
 def dsigma_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of realised volatility between the two last hours."""
-    d = v.trades(spark, sf_dir).withColumn("d2", F.pow(F.col("price") - F.lag("price").over(by_day()), 2))
-    hour = 3_600_000_000
-    vol = lambda frame: F.sqrt(F.greatest(F.lit(0.0), sum_of_inner_changes(F.col("d2"), frame)))
-    o = Window.partitionBy("day").orderBy("us")
-    return d.select("seq", F.round(vol(o.rangeBetween(-hour, 0)) - vol(o.rangeBetween(-2 * hour, -hour)), 3).alias("dsigma"))
+    on, hour = ["day"], 3_600_000_000
+    d = haloed(v.trades(spark, sf_dir).select("day", "us", "seq", "price"), "us", 2 * hour)
+    order = Window.partitionBy("day", "_part").orderBy("us", "seq")
+    d = d.withColumn("d2", F.pow(F.col("price") - F.lag("price").over(order), 2))
+    earlier = F.coalesce(F.sum("d2").over(upto(on, hour)), F.lit(0.0)) - F.coalesce(F.sum(F.lead("d2").over(order)).over(upto(on, 2 * hour + 1)), F.lit(0.0))
+    d = own(d.withColumns({"now": trailing_changes(F.col("d2"), on, 3600), "then": earlier}))
+    vol = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(c)))
+    return d.select("seq", F.round(vol("now") - vol("then"), 3).alias("dsigma"))
 
 
 @query(f"WITH {BARS} SELECT seq, bars.bar, bars.close FROM trades ASOF LEFT JOIN bars ON trades.day = bars.day AND us // 3600000000 > bars.bar")
@@ -147,9 +151,10 @@ _BW = "PARTITION BY day ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRE
  count(*) FILTER (side = 1 AND action = 2) OVER w AS ask_removes FROM book WINDOW w AS ({_BW})""")
 def action_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additions and removals of each side over the last hour."""
-    w = trailing(["day"], 3600)
     kinds = {f"{name}_{what}": (side, action) for side, name in ((0, "bid"), (1, "ask")) for action, what in ((0, "adds"), (2, "removes"))}
-    return v.book_updates(spark, sf_dir).select("seq", *(F.count_if((F.col("side") == s) & (F.col("action") == a)).over(w).alias(n) for n, (s, a) in kinds.items()))
+    rows = haloed(v.book_updates(spark, sf_dir).select("day", "us", "seq", "side", "action"), "us", 3_600_000_000)
+    rows = rows.withColumns({n: trailing_sum(((F.col("side") == s) & (F.col("action") == a)).cast("long"), ["day"], 3600) for n, (s, a) in kinds.items()})
+    return own(rows).select("seq", *kinds)
 
 
 @query(f"""WITH {v.TICKS}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user ORDER BY us, seq) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM ticks), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user ORDER BY us, seq) AS island FROM g)

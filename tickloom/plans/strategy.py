@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import at_least, safe_div
-from tickloom.operators.paths import ahead, nearest_quantile, positions
-from tickloom.operators.temporal import greedy_spacing, leading
+from tickloom.operators.paths import ahead, nearest_quantile, outlook, positions
+from tickloom.operators.temporal import greedy_spacing
 from tickloom.plans import views as v
-from tickloom.plans.market import BANDED, BARS, OUTCOME, bars, by_day, entries, outcomes, query
+from tickloom.plans.market import BANDED, BARS, OUTCOME, bars, entries, outcomes, query, with_vwap
 
 HORIZONS = (300, 600, 900, 1200, 1800, 2700, 3600, 5400, 7200, 10800, 14400, 21600)
 PRINTS = (2, 5, 10, 20, 50, 100, 200, 500)
@@ -33,15 +33,14 @@ SELECT seq, band, CAST(horizon AS INTEGER) AS horizon, '{kind}' AS kind, round(C
   round(d * (at_end - price), 4) AS end_ret, round(greatest(0, CASE d WHEN 1 THEN high - price ELSE price - low END), 4) AS mr FROM o"""
 
 
-def _outcomes(spark: SparkSession, sf_dir: str, kind: str, frames: dict) -> DataFrame:
-    """Long outcomes of every touch. All frames of the prints ahead share one sort by day."""
+def _outcomes(spark: SparkSession, sf_dir: str, kind: str, reaches: tuple[int, ...], unit: int, along: str) -> DataFrame:
+    """Long outcomes of every touch."""
     p = F.col("price")
-    seen = [
-        F.struct(F.lit(n).alias("horizon"), F.count("*").over(w).alias("n"), F.max("price").over(w).alias("high"), F.min("price").over(w).alias("low"), F.last("price").over(w).alias("at_end")) for n, w in frames.items()
-    ]
-    a = v.trades(spark, sf_dir).select("day", "seq", *(s.alias(f"_h{i}") for i, s in enumerate(seen)))
-    o = entries(spark, sf_dir).join(a, ["day", "seq"]).withColumn("d", direction())
-    o = o.select("seq", "band", "d", "price", F.explode(F.array(*(f"_h{i}" for i in range(len(seen))))).alias("x")).select("seq", "band", "d", "price", "x.*").filter("n > 1")
+    prints = with_vwap(spark, sf_dir).select("day", "us", "seq", "price", "i") if along == "i" else v.trades(spark, sf_dir)
+    e = entries(spark, sf_dir)
+    e = e.join(prints.select("day", "seq", "i"), ["day", "seq"]) if along == "i" else e
+    seen = outlook(e, prints, ["band", "side", "price"], [r * unit for r in reaches], along).filter("n > 1")
+    o = seen.withColumns({"d": direction(), "horizon": (F.col("reach") / unit).cast("int")})
     up, down = F.col("high") - p, p - F.col("low")
     mfe = F.when(F.col("d") == 1, up).otherwise(down)
     return o.select(
@@ -53,13 +52,13 @@ def _outcomes(spark: SparkSession, sf_dir: str, kind: str, frames: dict) -> Data
 @query(_outcome_sql("time", HORIZONS, "PARTITION BY day ORDER BY us RANGE BETWEEN CURRENT ROW AND {last} FOLLOWING"))
 def outcome_horizons_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Favourable and adverse excursion, end return and reversion of every touch within twelve times."""
-    return _outcomes(spark, sf_dir, "time", {n: leading(["day"], n) for n in HORIZONS})
+    return _outcomes(spark, sf_dir, "time", HORIZONS, 1_000_000, "us")
 
 
 @query(_outcome_sql("prints", PRINTS, "PARTITION BY day ORDER BY us, seq ROWS BETWEEN CURRENT ROW AND {rows} FOLLOWING"))
 def outcome_horizons_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within eight numbers of prints, the touch itself included."""
-    return _outcomes(spark, sf_dir, "prints", {n: by_day().rowsBetween(0, n - 1) for n in PRINTS})
+    return _outcomes(spark, sf_dir, "prints", PRINTS, 1, "i")
 
 
 ADVERSE, SEARCH = 1, 3600
@@ -72,7 +71,7 @@ REFINED = BANDED + f""", r AS (SELECT e.seq, e.band, e.side, e.day, e.k AS ek, e
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touches with the first print within the hour that is a point worse, where they enter; others don't."""
     t = v.trades(spark, sf_dir)
-    e = entries(spark, sf_dir).select("seq", "band", "side", "day", F.col("k").alias("ek"), F.col("user").alias("euser"), "us", "price", direction().alias("d"))
+    e = entries(spark, sf_dir, "k", "user").select("seq", "band", "side", "day", F.col("k").alias("ek"), F.col("user").alias("euser"), "us", "price", direction().alias("d"))
     p = ahead(e, t, SEARCH).filter((F.col("at") > F.col("us")) & (F.col("d") * (F.col("price") - F.col("px")) >= ADVERSE))
     first = F.min(F.struct("at", "at_seq", "px")).alias("f")
     found = p.groupBy("seq", "band", "side", "day", "ek", "euser", "d", F.col("us").alias("touched")).agg(first)

@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else each Column call looks up its call site
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
