@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.segments import PART_ROWS, PART_US
+from tickloom.operators.ranks import picked
+from tickloom.operators.segments import PART_ROWS, PART_US, scan
 from tickloom.operators.temporal import asof
 
 
@@ -47,14 +48,13 @@ def outlook(events: DataFrame, prints: DataFrame, key: list[str], reaches: list[
     })
     buckets = prints.groupBy("day", F.floor(F.col(along) / width).alias("bucket")).agg(F.max("price").alias("high"), F.min("price").alias("low"), F.count("*").alias("m"))
     before = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("day", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    following = Window.partitionBy("day").orderBy("bucket").rowsBetween(1, SPAN + 1)
+    between = F.collect_list(F.struct("bucket", "high", "low")).over(following)
+    starts = buckets.select("day", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), between.alias("between"))
     e = events.select("day", "seq", *key, F.col(along).alias("at")).join(p.select("day", "seq", "bucket", "rest_high", "rest_low", "earlier"), ["day", "seq"])
-    span = F.sequence(F.col("bucket") + 1, F.floor((F.col("at") + max(reaches)) / width))
-    between = e.select("day", "seq", *key, F.explode(span).alias("bucket")).join(buckets, ["day", "bucket"])
-    between = between.groupBy("day", "seq", *key).agg(F.collect_list(F.struct("bucket", "high", "low")).alias("between"))
-    e = e.join(starts, ["day", "bucket"]).join(between, ["day", "seq", *key], "left")
+    e = e.join(starts, ["day", "bucket"])
     probes = e.withColumn("reach", F.explode(F.array(*map(F.lit, reaches)))).withColumn("us", F.col("at") + F.col("reach") - 1)
-    states = p.join(starts, ["day", "bucket"]).select("day", "us", "seq", "bucket", "high", "low", "price", (F.col("start") + F.col("held")).alias("upto"))
+    states = p.join(starts.drop("between"), ["day", "bucket"]).select("day", "us", "seq", "bucket", "high", "low", "price", (F.col("start") + F.col("held")).alias("upto"))
     found = asof(probes, states, ["day"], ["bucket", "high", "low", "price", "upto"], "end", width=max(width, PART_US if along == "us" else PART_ROWS))
     inner = F.filter("between", lambda b: b.bucket < F.col("end.bucket"))
     last = F.col("end.bucket") > F.col("bucket")
@@ -121,9 +121,32 @@ def draw(*parts: Column) -> Column:
 
 
 def nearest_quantile(values: DataFrame, on: list[str], value: str, percents: list[int]) -> DataFrame:
-    """The element at round((n - 1) q) of each group's sorted values, from counts of distinct values."""
-    c = values.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("_m"))
-    w = Window.partitionBy(*on)
-    c = c.withColumn("_upto", F.sum("_m").over(w.orderBy(value))).withColumn("_n", F.sum("_m").over(w))
-    places = {p: F.floor(((F.col("_n") - 1) * p + 50) / 100) + 1 for p in percents}
-    return c.groupBy(*on).agg(*(F.min(F.when(F.col("_upto") >= at, F.col(value))).alias(f"q{p}") for p, at in places.items()))
+    """The element at round((n - 1) q) of each group's sorted values."""
+    return picked(values, on, value, {f"q{p}": F.floor(((F.col("n") - 1) * p + 50) / 100) for p in percents})
+
+
+def drawdowns(trades: DataFrame, on: list[str], order: list[str], pnl: str, width: int) -> DataFrame:
+    """total, peak and max_drawdown of each key's running sum of ``pnl``; the peak starts at the first value of it.
+
+    A part, ``width`` long in the first column of order, comes down to its sum, its highest and lowest running sum and
+    its worst drop. Parts are merged in order: a drop from an earlier peak needs only where a part starts and its low.
+    """
+    parts = [*on, "_part"]
+    cut = trades.withColumn("_part", F.floor(F.col(order[0]) / width))
+    so_far = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumn("_at", F.sum(pnl).over(so_far)).withColumn("_drop", F.max("_at").over(so_far) - F.col("_at"))
+    few = run.groupBy(*parts).agg(F.sum(pnl).alias("_sum"), F.max("_at").alias("_high"), F.min("_at").alias("_low"), F.max("_drop").alias("_worst"))
+    before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    few = few.withColumn("_peak", F.max(F.col("_start") + F.col("_high")).over(before))
+    drop = F.greatest("_worst", F.col("_peak") - F.col("_start") - F.col("_low"))
+    return few.groupBy(*on).agg(F.sum("_sum").alias("total"), F.max(F.col("_start") + F.col("_high")).alias("peak"), F.max(drop).alias("max_drawdown"))
+
+
+def longest_runs(rows: DataFrame, on: list[str], order: list[str], flag: str, width: int) -> DataFrame:
+    """longest_true and longest_false: the longest runs of equal flags of each key along ``order``."""
+    r = scan(rows.select(*on, *order, flag), on, order, {"was": ("lag", F.col(flag))}, width)
+    r = scan(r.withColumn("_new", (~F.col(flag).eqNullSafe(F.col("was"))).cast("int")), on, order, {"run": ("sum", F.col("_new"))}, width)
+    lengths = r.groupBy(*on, flag, "run").agg(F.count("*").alias("_m"))
+    longest = lambda want: F.coalesce(F.max(F.when(F.col(flag) == want, F.col("_m"))), F.lit(0))
+    return lengths.groupBy(*on).agg(longest(True).alias("longest_true"), longest(False).alias("longest_false"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.catalog import ORACLES, QUERIES
 from tickloom.functions.exprs import at_least, edge_bucket, rank_bin, safe_div, session_bucket
 from tickloom.operators.book import book_state, sweep
+from tickloom.operators.paths import drawdowns, longest_runs
+from tickloom.operators.ranks import interpolated, ranked
 from tickloom.operators.segments import PART_ROWS, haloed, next_extremes, own, scan, trailing_changes, trailing_sum, upto
 from tickloom.operators.temporal import asof, greedy_spacing, smoothed
 from tickloom.plans import views as v
@@ -347,9 +349,12 @@ def prior_day_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {v.FEAT}, r AS (SELECT *, least(floor((row_number() OVER (PARTITION BY grp ORDER BY f3, o, l) - 1)::DOUBLE / count(*) OVER (PARTITION BY grp) * 5), 4)::INTEGER AS bin FROM feat) SELECT grp, bin, count(*) AS n, min(f3) AS low, max(f3) AS high, round(avg(target), 2) AS mean, round(stddev_samp(target), 2) AS sd, round(avg(CAST(target >= 30000 AS DOUBLE)), 4) AS hit FROM r GROUP BY ALL")
 def bins_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-count bins of a feature within each group, ties in input order, and the target by bin."""
-    w = Window.partitionBy("grp")
-    r = v.feat(spark, sf_dir).withColumn("bin", rank_bin(F.row_number().over(w.orderBy("f3", "o", "l")), F.count("*").over(w), 5))
-    return r.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.min("f3").alias("low"), F.max("f3").alias("high"), F.round(F.avg("target"), 2).alias("mean"), F.round(F.stddev_samp("target"), 2).alias("sd"), F.round(F.avg((F.col("target") >= 30000).cast("double")), 4).alias("hit"))
+    r = ranked(v.feat(spark, sf_dir).select("grp", "f3", "o", "l", "target"), ["grp"], "f3", ["o", "l"]).withColumn("bin", rank_bin(F.col("rank"), F.col("n"), 5))
+    hit = F.avg((F.col("target") >= 30000).cast("double"))
+    return r.groupBy("grp", "bin").agg(
+        F.count("*").alias("n"), F.min("f3").alias("low"), F.max("f3").alias("high"), F.round(F.avg("target"), 2).alias("mean"),
+        F.round(F.stddev_samp("target"), 2).alias("sd"), F.round(hit, 4).alias("hit"),
+    )
 
 
 RULES = {"r1": "f1 BETWEEN 0.03 AND 0.06", "r2": "f2 BETWEEN 0 AND 0.04", "r3": "f3 BETWEEN 10 AND 30"}
@@ -379,19 +384,18 @@ def rule_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT gate, count(*) AS n, CAST(sum(pnl) AS BIGINT) AS total, CAST(max(down) AS BIGINT) AS max_drawdown, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END), 0), 6) AS profit_factor, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate FROM p GROUP BY gate""")
 def equity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity curve and drawdown per gate; the peak starts at the first equity value."""
-    w = Window.partitionBy("gate").orderBy("day", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    p = v.ledger(spark, sf_dir).withColumn("equity", F.sum("pnl").over(w)).withColumn("down", F.max("equity").over(w) - F.col("equity"))
+    l = v.ledger(spark, sf_dir).withColumn("date", F.unix_date("day"))
     won, lost = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0)), -F.sum(F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0))
-    return p.groupBy("gate").agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), F.max("down").alias("max_drawdown"), F.round(F.when(lost != 0, won / lost), 6).alias("profit_factor"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 6).alias("win_rate"))
+    win_rate = F.round(F.avg((F.col("pnl") > 0).cast("double")), 6).alias("win_rate")
+    sums = l.groupBy("gate").agg(F.count("*").alias("n"), F.round(F.when(lost != 0, won / lost), 6).alias("profit_factor"), win_rate)
+    return drawdowns(l, ["gate"], ["date", "trade_id"], "pnl", 30).drop("peak").join(sums, "gate")
 
 
 @query(f"""WITH {v.LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY day, trade_id) - row_number() OVER (PARTITION BY gate, pnl > 0 ORDER BY day, trade_id) AS island FROM ledger), s AS (SELECT gate, pnl > 0 AS won, island, count(*) AS n FROM r GROUP BY ALL)
  SELECT gate, max(CASE WHEN won THEN n ELSE 0 END) AS win_streak, max(CASE WHEN NOT won THEN n ELSE 0 END) AS loss_streak FROM s GROUP BY gate""")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = v.ledger(spark, sf_dir).withColumn("won", F.col("pnl") > 0)
-    island = F.row_number().over(Window.partitionBy("gate").orderBy("day", "trade_id")) - F.row_number().over(Window.partitionBy("gate", "won").orderBy("day", "trade_id"))
-    s = r.withColumn("island", island).groupBy("gate", "won", "island").agg(F.count("*").alias("n"))
-    return s.groupBy("gate").agg(F.max(F.when(F.col("won"), F.col("n")).otherwise(0)).alias("win_streak"), F.max(F.when(~F.col("won"), F.col("n")).otherwise(0)).alias("loss_streak"))
+    l = v.ledger(spark, sf_dir).select("gate", F.unix_date("day").alias("date"), "trade_id", (F.col("pnl") > 0).alias("won"))
+    return longest_runs(l, ["gate"], ["date", "trade_id"], "won", 30).select("gate", F.col("longest_true").alias("win_streak"), F.col("longest_false").alias("loss_streak"))
 
 
 @query(f"WITH {v.LEDGER} SELECT CAST(isoyear(day) AS INTEGER) AS iso_year, CAST(weekofyear(day) AS INTEGER) AS iso_week, count(*) AS n, count(DISTINCT day) AS days, CAST(sum(pnl) AS BIGINT) AS pnl FROM ledger GROUP BY ALL")
@@ -409,11 +413,11 @@ def topk_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
  f AS (SELECT gate, CAST(least(3, floor((i * 4 + 3) / n)) AS INTEGER) AS fold, pnl FROM r) SELECT gate, fold, count(*) AS n, round(avg(pnl), 2) AS mean, round((sum(sum(pnl)) OVER (PARTITION BY gate) - sum(pnl)) / (sum(count(*)) OVER (PARTITION BY gate) - count(*)), 2) AS train_mean FROM f GROUP BY gate, fold""")
 def leave_block_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four blocks by row order; a block's training mean is that of all others, as total less the block."""
-    g = Window.partitionBy("gate")
-    i, n = F.row_number().over(g.orderBy("day", "trade_id")) - 1, F.count("*").over(g)
-    f = v.ledger(spark, sf_dir).withColumn("fold", F.least(F.lit(3), F.floor((i * 4 + 3) / n)).cast("int"))
-    s = f.groupBy("gate", "fold").agg(F.count("*").alias("n"), F.sum("pnl").alias("sum"))
-    return s.select("gate", "fold", "n", F.round(F.col("sum") / F.col("n"), 2).alias("mean"), F.round((F.sum("sum").over(g) - F.col("sum")) / (F.sum("n").over(g) - F.col("n")), 2).alias("train_mean"))
+    f = ranked(v.ledger(spark, sf_dir).withColumn("date", F.unix_date("day")), ["gate"], "date", ["trade_id"])
+    f = f.withColumn("fold", F.least(F.lit(3), F.floor(((F.col("rank") - 1) * 4 + 3) / F.col("n"))).cast("int"))
+    s, g = f.groupBy("gate", "fold").agg(F.count("*").alias("n"), F.sum("pnl").alias("sum")), Window.partitionBy("gate")  # four rows a gate
+    rest = F.round((F.sum("sum").over(g) - F.col("sum")) / (F.sum("n").over(g) - F.col("n")), 2)
+    return s.select("gate", "fold", "n", F.round(F.col("sum") / F.col("n"), 2).alias("mean"), rest.alias("train_mean"))
 
 
 @query("SELECT o.o_orderkey, count(l.l_orderkey) AS n FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_returnflag = 'R' GROUP BY 1")
@@ -450,4 +454,6 @@ def edge_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.TRADES} SELECT coalesce(key, 'all') AS cohort, count(*) AS n, round(avg(price), 4) AS mean, median(price) AS median FROM trades GROUP BY GROUPING SETS ((key), ())")
 def tail_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.trades(spark, sf_dir).rollup("key").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.median("price").alias("median")).select(F.coalesce("key", F.lit("all")).alias("cohort"), "n", "mean", "median")
+    t = v.trades(spark, sf_dir).select("price", F.explode(F.array(F.col("key"), F.lit("all"))).alias("cohort"))
+    means = t.groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"))
+    return means.join(interpolated(t, ["cohort"], "price", {"median": 0.5}), "cohort")

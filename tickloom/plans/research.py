@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import edge_bucket, safe_div
-from tickloom.operators.paths import ahead, draw, exits, lockout, nearest_quantile, positions
+from tickloom.operators.paths import ahead, draw, drawdowns, exits, lockout, nearest_quantile, positions
+from tickloom.operators.ranks import cumulative, interpolated, picked, ranked
 from tickloom.operators.segments import haloed, own, trailing_changes, trailing_sum, upto
 from tickloom.operators.temporal import asof
 from tickloom.plans import views as v
 from tickloom.plans.market import BANDED, BARS, bars, by_day, entries, query
 
+#: Paths of the bootstrap.
+PATHS = 1000
 _W = "PARTITION BY day ORDER BY us, seq"
 _U = "PARTITION BY day ORDER BY us"
 
@@ -24,8 +27,11 @@ def quantile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.TRADES} SELECT key, round(quantile_cont(price, 0.1), 4) AS q10, round(quantile_cont(price, 0.9), 4) AS q90, round(stddev_samp(price), 4) AS sd, round(stddev_pop(price), 4) AS sd0 FROM trades GROUP BY key")
 def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated quantiles; percentile() keeps counts of distinct values."""
-    return v.trades(spark, sf_dir).groupBy("key").agg(F.round(F.percentile("price", 0.1), 4).alias("q10"), F.round(F.percentile("price", 0.9), 4).alias("q90"), F.round(F.stddev_samp("price"), 4).alias("sd"), F.round(F.stddev_pop("price"), 4).alias("sd0"))
+    """Interpolated quantiles and both deviations."""
+    t = v.trades(spark, sf_dir)
+    spread = t.groupBy("key").agg(F.round(F.stddev_samp("price"), 4).alias("sd"), F.round(F.stddev_pop("price"), 4).alias("sd0"))
+    q = interpolated(t, ["key"], "price", {"q10": 0.1, "q90": 0.9})
+    return q.select("key", F.round("q10", 4).alias("q10"), F.round("q90", 4).alias("q90")).join(spread, "key")
 
 
 @query("SELECT count(*) FILTER (event_id IS NULL) AS event_id, count(*) FILTER (ts IS NULL) AS ts, count(*) FILTER (user_id IS NULL) AS user_id, count(*) FILTER (event_type IS NULL) AS event_type, count(*) FILTER (value IS NULL) AS value, count(*) FILTER (props IS NULL) AS props FROM events")
@@ -202,7 +208,8 @@ def auc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_discount") * 100).cast("long").alias("d")
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(cents, (F.col("l_returnflag") == "R").cast("long").alias("y"))
     c = x.groupBy("d").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("d")) - F.col("neg")
+    c = cumulative(c, [], "d", ["neg"])
+    below = F.col("upto_neg") - F.col("neg")
     q = F.greatest(F.least(F.col("d") / 10, F.lit(0.999)), F.lit(0.001))
     s = c.withColumns({
         "area": F.col("pos") * (below + F.col("neg") / 2),
@@ -234,18 +241,17 @@ def day_shuffle_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("seed").agg(F.count_if(test).alias("test_days"), F.sum(F.when(~test, F.col("pnl"))).alias("train_pnl"), F.sum(F.when(test, F.col("pnl"))).alias("test_pnl"))
 
 
-@query(f"""WITH {v.LEDGER}, d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, sum(pnl) AS pnl FROM ledger GROUP BY day), n AS (SELECT count(*) AS n FROM d), k AS (SELECT path, step, {_draw_sql('path', 'step')} % n AS i FROM n, range(1, 21) p(path), LATERAL (SELECT unnest(range(0, n)) AS step)),
+@query(f"""WITH {v.LEDGER}, d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, sum(pnl) AS pnl FROM ledger GROUP BY day), n AS (SELECT count(*) AS n FROM d), k AS (SELECT path, step, {_draw_sql('path', 'step')} % n AS i FROM n, range(1, {PATHS + 1}) p(path), LATERAL (SELECT unnest(range(0, n)) AS step)),
  e AS (SELECT path, step, sum(pnl) OVER (PARTITION BY path ORDER BY step) AS equity FROM k JOIN d USING (i)), m AS (SELECT *, max(equity) OVER (PARTITION BY path ORDER BY step) - equity AS down FROM e)
  SELECT CAST(path AS INTEGER) AS path, CAST(arg_max(equity, step) AS BIGINT) AS final, CAST(max(down) AS BIGINT) AS max_drawdown FROM m GROUP BY path""")
 def bootstrap_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty equity paths of days drawn with replacement, their ends and drawdowns. Works on a row a day."""
+    """A thousand equity paths of days drawn with replacement, their ends and drawdowns, in parts of 200 steps."""
     d = v.ledger(spark, sf_dir).groupBy("day").agg(F.sum("pnl").alias("pnl"))
     whole = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumns({"i": (F.row_number().over(Window.orderBy("day")) - 1).cast("long"), "n": F.count("*").over(whole)})
-    k = d.select(F.col("i").alias("step"), "n", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("path")).select("path", "step", (draw(F.col("path"), F.col("step")) % F.col("n")).alias("i"))
-    w = Window.partitionBy("path").orderBy("step")
-    e = k.join(d.select("i", "pnl"), "i").withColumn("equity", F.sum("pnl").over(w)).withColumn("down", F.max("equity").over(w) - F.col("equity"))
-    return e.groupBy("path").agg(F.max_by("equity", "step").alias("final"), F.max("down").alias("max_drawdown"))
+    k = d.select(F.col("i").alias("step"), "n", F.explode(F.sequence(F.lit(1), F.lit(PATHS))).alias("path")).select("path", "step", (draw(F.col("path"), F.col("step")) % F.col("n")).alias("i"))
+    paths = drawdowns(k.join(d.select("i", "pnl"), "i"), ["path"], ["step"], "pnl", 200)
+    return paths.select("path", F.col("total").alias("final"), "max_drawdown")
 
 
 @query(f"""WITH {v.TRADES}, f AS (SELECT user, day, min({{'us': us, 'seq': seq, 'price': price}}) AS hit FROM trades WHERE price >= 20 GROUP BY user, day),
@@ -315,3 +321,61 @@ def phi_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("f1").between(0.03, 0.06), F.col("f3").between(10, 30)
     s = v.feat(spark, sf_dir).agg(*(F.count_if(x).cast("double").alias(n) for x, n in ((a & b, "n11"), (a & ~b, "n10"), (~a & b, "n01"), (~a & ~b, "n00"))))
     return s.select(F.round(safe_div(F.expr("n11 * n00 - n10 * n01"), F.sqrt(F.expr("(n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00)"))), 6).alias("phi"))
+
+
+@query("""WITH x AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS d, CAST(l_returnflag = 'R' AS BIGINT) AS y FROM lineitem),
+c AS (SELECT d, sum(y) AS pos, count(*) AS m FROM x GROUP BY d), u AS (SELECT *, sum(pos) OVER w AS tp, sum(m) OVER w AS taken FROM c WINDOW w AS (ORDER BY d DESC))
+SELECT round(sum(pos * (tp / taken)) / sum(pos), 6) AS average_precision, CAST(sum(pos) AS BIGINT) AS positives FROM u""")
+def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of a score with about as many values as rows: what each score adds to recall times precision there."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("d")
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(cents, (F.col("l_returnflag") == "R").cast("long").alias("y"))
+    u = cumulative(x.groupBy("d").agg(F.sum("y").alias("pos"), F.count("*").alias("m")), [], "d", ["pos", "m"], descending=True)
+    gained = F.sum(F.col("pos") * (F.col("upto_pos") / F.col("upto_m"))) / F.sum("pos")
+    return u.agg(F.round(gained, 6).alias("average_precision"), F.sum("pos").alias("positives"))
+
+
+@query(f"""WITH {v.FEAT}, r AS (SELECT target, dense_rank() OVER (ORDER BY target) AS k FROM feat), n AS (SELECT max(k) AS n FROM r)
+SELECT CAST(floor((k - 1) * 100.0 / n) AS INTEGER) AS percentile, count(*) AS rows, count(DISTINCT target) AS distinct_values, min(target) AS low, max(target) AS high FROM r, n GROUP BY ALL""")
+def dense_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, values and range of each percentile of the dense rank of all values."""
+    distinct = v.feat(spark, sf_dir).groupBy("target").agg(F.count("*").alias("m"))
+    r = ranked(distinct, [], "target", [])
+    percentile = F.floor((F.col("rank") - 1) * 100.0 / F.col("n")).cast("int").alias("percentile")
+    return r.groupBy(percentile).agg(F.sum("m").alias("rows"), F.count("*").alias("distinct_values"), F.min("target").alias("low"), F.max("target").alias("high"))
+
+
+#: Mechanisms of an entry by line item: their name, and which rows they take.
+MECHANISMS = {"all": "true", "cheap": "f1 <= 0.04", "dear": "f1 >= 0.06"}
+INDEX_BINS, LEAST_ROWS = 4, 5
+_EDGES = """
+edges AS (SELECT mechanism, list(f ORDER BY k) AS e FROM (SELECT mechanism, k, max(CASE WHEN i = CAST(floor(k * m / {bins}.0) AS BIGINT) THEN f END) AS f FROM
+  (SELECT mechanism, {f} AS f, row_number() OVER (PARTITION BY mechanism ORDER BY {f}) - 1 AS i, count(*) OVER (PARTITION BY mechanism) AS m FROM taken) r, range(1, {bins}) x(k) GROUP BY mechanism, k) GROUP BY mechanism)"""
+
+
+def _edges_sql(name: str, feature: str) -> str:
+    return _EDGES.format(f=feature, bins=INDEX_BINS).replace("edges AS", f"{name} AS", 1).strip()
+
+
+@query(f"""WITH {v.FEAT}, taken AS (SELECT m.mechanism, f2, f3, target FROM feat JOIN (VALUES {", ".join(f"('{n}')" for n in MECHANISMS)}) m(mechanism)
+  ON CASE m.mechanism {" ".join(f"WHEN '{n}' THEN {c}" for n, c in MECHANISMS.items())} END),
+{_edges_sql("ex", "f3")}, {_edges_sql("ey", "f2")},
+cells AS (SELECT t.mechanism, len(list_filter(ex.e, lambda c: t.f3 >= c)) AS x, len(list_filter(ey.e, lambda c: t.f2 >= c)) AS y, count(*) AS n, round(avg(CAST(target >= 30000 AS DOUBLE)), 9) AS hit
+  FROM taken t JOIN ex USING (mechanism) JOIN ey USING (mechanism) GROUP BY ALL)
+SELECT mechanism, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, n, hit, row_number() OVER (PARTITION BY mechanism, n >= {LEAST_ROWS} ORDER BY hit DESC, n DESC, x, y) = 1 AND n >= {LEAST_ROWS} AS best FROM cells""")
+def index_edge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features cut at the values that stand at equal shares of each mechanism's sorted rows, hits by cell, and the best cell.
+
+    A value on an edge goes to the higher bin; equal edges leave a bin empty. Windows at the end run over cells only.
+    """
+    named = F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in MECHANISMS.items()))
+    taken = v.feat(spark, sf_dir).select("f1", "f2", "f3", "target", F.explode(F.array_compact(named)).alias("mechanism"))
+    cells = taken
+    for name, feature in (("x", "f3"), ("y", "f2")):
+        places = {f"{name}{k}": F.floor(F.lit(k) * F.col("n") / float(INDEX_BINS)) for k in range(1, INDEX_BINS)}
+        edges = picked(taken, ["mechanism"], feature, places).select("mechanism", F.array(*places).alias("e"))
+        cells = cells.join(edges, "mechanism").withColumn(name, F.size(F.filter("e", lambda c: F.col(feature) >= c))).drop("e")  # noqa: B023
+    cells = cells.groupBy("mechanism", "x", "y").agg(F.count("*").alias("n"), F.round(F.avg((F.col("target") >= 30000).cast("double")), 9).alias("hit"))
+    enough = F.col("n") >= LEAST_ROWS
+    order = Window.partitionBy("mechanism", enough).orderBy(F.desc("hit"), F.desc("n"), "x", "y")
+    return cells.withColumn("best", (F.row_number().over(order) == 1) & enough)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import at_least, safe_div
 from tickloom.operators.paths import ahead, nearest_quantile, outlook, positions
+from tickloom.operators.segments import scan
 from tickloom.operators.temporal import greedy_spacing
 from tickloom.plans import views as v
 from tickloom.plans.market import BANDED, BARS, OUTCOME, bars, entries, outcomes, query, with_vwap
@@ -282,3 +283,32 @@ def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = lambda a, b: (F.col("every") >= a * F.col("any_of")) | (F.col("every") >= b * F.col("fewest"))
     flag = F.when(over(0.8, 0.9), "very_high_overlap").when(over(0.6, 0.75), "high_overlap").when(over(0.35, 0.5), "moderate_overlap").otherwise("low_overlap")
     return c.select("rules", "every", "any_of", F.round(safe_div(F.col("every"), F.col("any_of")), 6).alias("jaccard"), flag.alias("redundancy"))
+
+
+_HITS = [("t", n, f"e.us + {n}000000 > {{hit}}.us", f"n.us < e.us + {n}000000") for n in HORIZONS] + [("n", n, f"{{hit}}.i - e.i < {n}", "n.us IS NOT NULL") for n in PRINTS]
+
+
+@query(f"""
+WITH {BANDED}, v AS MATERIALIZED (SELECT day, us, seq, price, vwap, row_number() OVER (PARTITION BY day ORDER BY us, seq) AS i FROM banded),
+h AS (SELECT day, us, seq, i,
+  last_value(CASE WHEN price <= vwap THEN struct_pack(us := us, i := i) END IGNORE NULLS) OVER w AS below,
+  last_value(CASE WHEN price >= vwap THEN struct_pack(us := us, i := i) END IGNORE NULLS) OVER w AS above,
+  lag(struct_pack(us := us)) OVER w AS n FROM v WINDOW w AS (PARTITION BY day ORDER BY us DESC, seq DESC)),
+e AS (SELECT x.seq, x.band, h.us, h.i, h.n, CASE x.side WHEN 'upper' THEN h.below ELSE h.above END AS hit FROM entries x JOIN h USING (day, seq))
+SELECT seq, CAST(band AS INTEGER) AS band, hit.us - us AS hit_us, hit.i - i AS hit_prints, {", ".join(
+    f"CASE WHEN {seen.replace("e.", "")} THEN coalesce({inside.replace("{hit}", "hit").replace("e.", "")}, false) END AS hit_{kind}{n}" for kind, n, inside, seen in _HITS)} FROM e""")
+def vwap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each touch's price first comes back to the session's VWAP, without a limit in the day, and within which horizons.
+
+    The next print at or across the moving VWAP is carried backwards over the day, once for each side, so that no touch
+    is joined with its path. A horizon that holds no later print is null.
+    """
+    at = F.struct("us", "i")
+    rows = with_vwap(spark, sf_dir).select("day", "us", "seq", "i", "price", "vwap").withColumns({"back": -F.col("us"), "back_seq": -F.col("seq")})
+    crossings = {"below": ("last", F.when(F.col("price") <= F.col("vwap"), at)), "above": ("last", F.when(F.col("price") >= F.col("vwap"), at)), "next": ("previous", F.col("us"))}
+    h = scan(rows, ["day"], ["back", "back_seq"], crossings).select("day", "seq", "i", "below", "above", "next")
+    e = entries(spark, sf_dir).select("day", "us", "seq", "band", "side").join(h, ["day", "seq"])
+    e = e.withColumn("hit", F.when(F.col("side") == "upper", F.col("below")).otherwise(F.col("above")))
+    within = {f"hit_t{n}": F.when(F.col("next") < F.col("us") + n * 1_000_000, F.coalesce(F.col("hit.us") < F.col("us") + n * 1_000_000, F.lit(False))) for n in HORIZONS}
+    within |= {f"hit_n{n}": F.when(F.col("next").isNotNull(), F.coalesce(F.col("hit.i") - F.col("i") < n, F.lit(False))) for n in PRINTS}
+    return e.select("seq", "band", (F.col("hit.us") - F.col("us")).alias("hit_us"), (F.col("hit.i") - F.col("i")).alias("hit_prints"), *(c.alias(n) for n, c in within.items()))
