@@ -11,6 +11,7 @@ import tickloom.plans.features  # noqa: F401
 import tickloom.plans.market  # noqa: F401
 import tickloom.plans.research  # noqa: F401
 import tickloom.plans.strategy  # noqa: F401
+import tickloom.plans.streams  # noqa: F401
 import tickloom.plans.tenders  # noqa: F401
 from tickloom.catalog import ORACLES, QUERIES
 

@@ -285,7 +285,9 @@ def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("rules", "every", "any_of", F.round(safe_div(F.col("every"), F.col("any_of")), 6).alias("jaccard"), flag.alias("redundancy"))
 
 
-_HITS = [("t", n, f"e.us + {n}000000 > {{hit}}.us", f"n.us < e.us + {n}000000") for n in HORIZONS] + [("n", n, f"{{hit}}.i - e.i < {n}", "n.us IS NOT NULL") for n in PRINTS]
+#: Horizon, what is a hit within it, and whether it holds a later print, in SQL.
+_HITS = {f"hit_t{n}": (f"hit.us < us + {n}000000", f"n.us < us + {n}000000") for n in HORIZONS}
+_HITS |= {f"hit_n{n}": (f"hit.i - i < {n}", "n.us IS NOT NULL") for n in PRINTS}
 
 
 @query(f"""
@@ -295,8 +297,8 @@ h AS (SELECT day, us, seq, i,
   last_value(CASE WHEN price >= vwap THEN struct_pack(us := us, i := i) END IGNORE NULLS) OVER w AS above,
   lag(struct_pack(us := us)) OVER w AS n FROM v WINDOW w AS (PARTITION BY day ORDER BY us DESC, seq DESC)),
 e AS (SELECT x.seq, x.band, h.us, h.i, h.n, CASE x.side WHEN 'upper' THEN h.below ELSE h.above END AS hit FROM entries x JOIN h USING (day, seq))
-SELECT seq, CAST(band AS INTEGER) AS band, hit.us - us AS hit_us, hit.i - i AS hit_prints, {", ".join(
-    f"CASE WHEN {seen.replace("e.", "")} THEN coalesce({inside.replace("{hit}", "hit").replace("e.", "")}, false) END AS hit_{kind}{n}" for kind, n, inside, seen in _HITS)} FROM e""")
+SELECT seq, CAST(band AS INTEGER) AS band, hit.us - us AS hit_us, hit.i - i AS hit_prints,
+  {", ".join(f"CASE WHEN {seen} THEN coalesce({inside}, false) END AS {name}" for name, (inside, seen) in _HITS.items())} FROM e""")
 def vwap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each touch's price first comes back to the session's VWAP, without a limit in the day, and within which horizons.
 

@@ -10,13 +10,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, us, day, price, volume, key and user of all events; k is the number in props."""
+def as_ticks(events: DataFrame) -> DataFrame:
+    """seq, us, day, price, volume, key and user of events, a table or a stream; k is the number in props."""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     k = F.get_json_object("props", "$.k").cast("long")
-    return _read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), us.alias("us"), F.to_date("ts").cast("string").alias("day"), F.col("value").alias("price"), (1 + k).alias("volume"), k.alias("k"), F.col("event_type").alias("key"), F.col("user_id").alias("user")
-    )
+    return events.select(
+        F.col("event_id").alias("seq"), us.alias("us"), F.to_date("ts").cast("string").alias("day"), F.col("value").alias("price"), (1 + k).alias("volume"), k.alias("k"),
+        F.col("event_type").alias("key"), F.col("user_id").alias("user"),
+    )
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_ticks(_read(spark, sf_dir, "events"))
 
 
 TICKS = """ticks AS (SELECT event_id AS seq, epoch_us(ts) AS us, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value AS price, 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume,
