@@ -244,7 +244,7 @@ def test_main_text(spark):
 
 
 def test_differencing_decides_article_lines_and_cards_do_not_hide_the_body(spark):
-    page = "<article><h1>Head {0}</h1><p>All our readers get this offer.</p><p>The long story number {0} of the day.</p></article><div>Else {0}</div>"
+    page = "<article><h1>Head {0}</h1><p>All our readers get this offer.</p><p>The long story number {0} of the day.</p><p>Follow us everywhere.</p></article><div>Else {0}</div>"
     card = "<article><p>Read on</p></article><p>The body of this page lies outside, and is longer than its card.</p>"
     rows = [(i, f"http://a.org/x/{i}", page.format(i)) for i in range(3)] + [(7, "http://d.org/", card)]
     got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -342,15 +342,39 @@ def test_tiff_directories_that_claim_too_much_give_an_error_row(how, tiled):
     assert tiff.decode(bytes(huge))[0][8]
 
 
-def test_long_alignments_by_halves_are_as_long(monkeypatch):
+def test_long_alignments_are_subsequences_of_both():
     rng = random.Random(8)
     cases = [tuple([rng.randrange(4) for _ in range(rng.randrange(40))] for _ in range(2)) for _ in range(100)]
-    whole = [html_main.shared_lines(a, b) for a, b in cases]
-    monkeypatch.setattr(html_main, "LCS_CELLS", 0)
-    for (a, b), want in zip(cases, whole, strict=True):
-        got = html_main.shared_lines(a, b)
-        places = iter(b)
-        assert len(got) == len(want) and all(a[i] in places for i in sorted(got))
+    for a, b in cases:
+        got, places = html_main.shared_lines(a, b), iter(b)
+        assert len(got) == len(html_main.shared_lines(b, a)) and all(a[i] in places for i in sorted(got))
     many = [rng.randrange(2) for _ in range(20_000)]
     assert len(html_main.shared_lines([7] * 20_000, [7] * 60_000)) == 20_000
     assert len(html_main.shared_lines([2, *many, 3], [4, *many[1:], 5])) >= 19_999
+
+
+def test_pages_with_one_headline_are_versions_and_lose_nothing():
+    def page(title, *paragraphs):
+        return f"<article><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article>"
+
+    def kept(html, *others):
+        return html_main.main_lines(html, *([html_main._hash(line) for _, line in html_main.lines(o)] for o in others))
+
+    end = ("Follow us on all channels.", "Rate this page.")
+    mine = page("Storm over town", "It began at noon.", "Trees fell.", *end)
+    versions = [page("Storm over town", "It began at noon.", "Roads are closed.", *end), page("Storm over town", "It began at noon.", "Calm again.")]
+    assert kept(mine, *versions) == ["Storm over town", "It began at noon.", "Trees fell.", *end]
+    strangers = [page("New mayor", "Votes are in.", "Trees fell.", "More soon.", *end), page("Old bridge", "It stands.", *end)]
+    assert kept(mine, *strangers) == ["Storm over town", "It began at noon.", "Trees fell."]  # the end two others share goes, one shared line within stays
+    assert kept(mine, strangers[0]) == kept(mine, versions[0], strangers[1]) == ["Storm over town", "It began at noon.", "Trees fell.", *end]
+    once = [o.replace("<p>Rate this page.</p>", "") for o in strangers]
+    assert kept(mine, *once) == ["Storm over town", "It began at noon.", "Trees fell.", *end]  # a single line may be chance
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_articles_of_the_table_keep_all_their_lines(spark):
+    """These pages' articles hold no template: differencing must take nothing from them."""
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in catalog.QUERIES["op9_html_main"](spark, SF).collect():
+        article = [line for zone, line in html_main.lines(pages[r["page_id"]]) if zone == "main"]
+        assert not article or r["text"] == "\n".join(article)

@@ -24,8 +24,10 @@ from tickloom.llm.url_filter import url_parts
 
 #: A pair that shares at least this share of the characters of both is of copies, whose lines are not boilerplate.
 COPIES = 0.8
-#: Above so many cells the rows of an alignment aren't kept, and it is found by halves.
-LCS_CELLS = 50_000_000
+#: Lines at an article's ends that two neighbours share, from which on they are a template's and not chance.
+TEMPLATE_LINES = 2
+#: Pages of a range that one task holds, as line hashes.
+RANGE_PAGES = 20_000
 
 # Elements by how they are read, and the words of class, id and role that mark boilerplate.
 RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video".split())
@@ -44,6 +46,8 @@ MARKS = frozenset(
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*+>?|/(?P<end>[A-Za-z][A-Za-z0-9:-]*+)[^>]*+>?|(?P<start>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<open>[A-Za-z][A-Za-z0-9:-]*+)(?P<loose>[^>]*+)>?)", re.DOTALL)
 _MARKED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _RAW_ENDS = {name: re.compile(f"</{name}", re.IGNORECASE) for name in RAW}
+_H1 = re.compile(r"<h1\b[^>]*+>(.*?)</h1", re.IGNORECASE | re.DOTALL)
+_MARKUP = re.compile(r"<[^>]*+>?")
 #: Elements that no mark and no form may take along.
 HELD = frozenset(("article", "main", "h1"))
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
@@ -169,8 +173,7 @@ def _by_halves(a: list[int], b: list[int]) -> set[int]:
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
-    """Positions of a in a longest common subsequence of both, by bit-parallel rows over the lines they have in common."""
-    # Equal starts and ends belong to a longest common subsequence and need no rows.
+    """Positions of a in a longest common subsequence of both: equal starts and ends, and what halving finds between."""
     most = min(len(a), len(b))
     head = next((i for i in range(most) if a[i] != b[i]), most)
     tail = next((i for i in range(most - head) if a[-1 - i] != b[-1 - i]), most - head)
@@ -178,27 +181,7 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     common = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
     at = [i for i in range(head, len(a) - tail) if a[i] in common]
     right = [x for x in b[head : len(b) - tail] if x in common]
-    if at and len(at) * len(right) > LCS_CELLS:
-        return same | {at[i] for i in _by_halves([a[i] for i in at], right)}
-    where: dict[int, int] = {}
-    for j, i in enumerate(at):
-        where[a[i]] = where.get(a[i], 0) | 1 << j
-    full = (1 << len(at)) - 1
-    row, rows = full, []
-    for x in right:
-        hit = row & where[x]
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    found, r, c = set(), len(right), len(at)
-    while r and c:
-        if rows[r - 1] >> (c - 1) & 1:
-            c -= 1
-        elif r > 1 and not rows[r - 2] >> (c - 1) & 1:
-            r -= 1
-        else:
-            r, c = r - 1, c - 1
-            found.add(at[c])
-    return found | same
+    return same | {at[i] for i in _by_halves([a[i] for i in at], right)}
 
 
 def _hash(line: str) -> int:
@@ -210,25 +193,52 @@ def _content(hashes: list[int], sizes: list[int]) -> dict[int, int]:
     return {h: n for h, n in zip(hashes, sizes, strict=True) if n}
 
 
+def _undropped(page: dict) -> list[int]:
+    """Hashes of a page's lines in their order, without those that tags drop anyhow."""
+    return [h for h, n in zip(page["hashes"], page["sizes"], strict=True) if n]
+
+
 def are_copies(a: dict[int, int], b: dict[int, int]) -> bool:
     """Whether the shared lines hold at least COPIES of the characters of both pages' lines together."""
     same = sum(n for h, n in a.items() if h in b)
     return same >= COPIES * (sum(a.values()) + sum(b.values()) - same)
 
 
+def headline(html: str, found: list[tuple[str, str]]) -> str | None:
+    """The line of the first h1 that no tag drops; without one, the article's first line."""
+    kept = {line for zone, line in found if zone != "dropped"}
+    for m in _H1.finditer(html):
+        text = " ".join(unescape(_MARKUP.sub("", m.group(1))).split())
+        if text in kept:
+            return text
+    return next((line for zone, line in found if zone == "main"), None)
+
+
 def main_lines(html: str, other: list[int] | None, third: list[int] | None = None) -> list[str]:
     """Main text of a page, given the line hashes of two neighbours that are not its copies.
 
-    Where the nearer one shares half of the page's text, the pair alone cannot tell a partial copy from boilerplate:
-    then the other one decides, and lines that only the pair shares stay.
+    A neighbour that has the page's headline is a version of it, and is not compared. Outside articles the lines shared
+    with the nearer neighbour go; where these are half of the page's text, the pair alone cannot tell a partial copy
+    from boilerplate, and only lines that both neighbours share go. An article's own lines go only if both neighbours
+    share them, they stand before its first or after its last line that isn't shared, as a template's lines do, and there
+    are TEMPLATE_LINES of them at least; its headline never goes.
     """
     found = lines(html)
     own = [_hash(line) for _, line in found]
-    gone = shared_lines(own, other) if other else set()
+    title = headline(html, found)
+    near = [x for x in (other, third) if x and (title is None or _hash(title) not in x)]
+    shared = [shared_lines(own, x) for x in near]
+    both = shared[0] & shared[1] if len(shared) == 2 else set()
+    gone = shared[0] if shared else set()
     text = sum(len(line) for zone, line in found if zone != "dropped")
     same = sum(len(line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i in gone)
-    if third and 2 * same >= text:
-        gone &= shared_lines(own, third)
+    if len(shared) == 2 and 2 * same >= text:
+        gone = both
+    article = [i for i, (zone, line) in enumerate(found) if zone == "main"]
+    unshared = [i for i in article if i not in both and found[i][1] != title]
+    ends = {i for i in article if i in both and unshared and not unshared[0] <= i <= unshared[-1] and found[i][1] != title}
+    ends = ends if len(ends) >= TEMPLATE_LINES else set()  # articles share single lines by chance
+    gone = {i for i in (gone - {*article}) | ends if found[i][1] != title}
     kept = [(zone, line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i not in gone]
     inside = [line for zone, line in kept if zone == "main"]
     # What lies outside the article is not its text, unless it is more: then the article is but a card on the page.
@@ -305,13 +315,18 @@ def neighbours(pages: DataFrame) -> DataFrame:
     """page_id, other and third of pages(page_id, host, path, hashes, sizes): lines of the nearest pages of its host that are no copies of it.
 
     They are looked for on both sides of the order by path; other is the one that shares more of the path, and third is
-    no copy of other. Pages are dealt by ranges of (host, path), so that a large host lies in many tasks; at most six
-    pages of each end of a range connect the ranges. Pages without text neither need nor help others.
+    no copy of other. Pages are dealt by ranges of (host, path) of about RANGE_PAGES, so that a large host lies in many
+    tasks. Six pages of each end of a range at most go on to the next ranges of their host, as rows: they are passed
+    along in the order of ranges, and each range is joined with those that reach it. Pages without text neither need nor
+    help others.
     """
     kinds = dict(pages.dtypes)
     columns = ["host", "path", "page_id", "hashes", "sizes"]
-    rows = cut(pages.filter("host <> '' AND page_id IS NOT NULL AND path IS NOT NULL").select(*columns).repartitionByRange("host", "path", "page_id").withColumn("part", F.spark_partition_id()))
+    wanted = pages.filter("host <> '' AND page_id IS NOT NULL AND path IS NOT NULL").select(*columns)
+    ranges = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted.count() // RANGE_PAGES)
+    rows = cut(wanted.repartitionByRange(ranges, "host", "path", "page_id").withColumn("part", F.spark_partition_id()))
     schema = pa.schema([("part", pa.int32()), ("side", pa.int32()), ("at", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+    said = "part int, side int, at int, host string, path string, hashes array<long>, sizes array<int>"
 
     def ends(key: tuple, batch: pa.Table) -> pa.Table:
         found = _pages(batch)
@@ -323,18 +338,31 @@ def neighbours(pages: DataFrame) -> DataFrame:
             out += [{"part": key[0].as_py(), "side": side, "at": at} | {c: page[c] for c in ("host", "path", "hashes", "sizes")} for at, page in enumerate(walk.kept())]
         return pa.Table.from_pylist(out, schema)
 
-    told = rows.groupBy("part").applyInArrow(ends, "part int, side int, at int, host string, path string, hashes array<long>, sizes array<int>").collect()
-    edge = sorted((r.asDict() for r in told), key=lambda r: (r["part"], r["at"]))
-    for r in edge:
-        r["content"] = _content(r["hashes"], r["sizes"])
-    before = [r for r in edge if r["side"] == 0]
-    after = sorted((r for r in edge if r["side"] == 1), key=lambda r: (-r["part"], r["at"]))
-
-    def run(key: tuple, batch: pa.Table) -> pa.Table:
-        found, part = _pages(batch), key[0].as_py()
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, now = _Walk(), None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if now != (r["host"], r["side"]):
+                    walk, now = _Walk(), (r["host"], r["side"])
+                if r["hashes"] is None:  # a range that this host reaches
+                    out += [{"part": r["part"], "side": r["side"], "at": at} | {c: p[c] for c in ("host", "path", "hashes", "sizes")} for at, p in enumerate(walk.kept())]
+                else:
+                    walk.add(r | {"content": _content(r["hashes"], r["sizes"])})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    edge = cut(rows.groupBy("part").applyInArrow(ends, said))
+    # The first host of a range is the last one of its backward side, and the other way round.
+    reached = edge.filter("at = 0").select("part", (1 - F.col("side")).alias("side"), F.lit(-1).alias("at"), "host", *(F.lit(None).cast(k).alias(c) for c, k in (("path", "string"), ("hashes", "array<long>"), ("sizes", "array<int>"))))
+    along = F.when(F.col("side") == 0, F.col("part")).otherwise(-F.col("part"))
+    passed = edge.union(reached).repartition("host", "side").sortWithinPartitions("host", "side", along, "at").mapInArrow(carry, said)
+
+    def run(key: tuple, batch: pa.Table, known: pa.Table) -> pa.Table:
+        found = _pages(batch)
+        before = [r | {"content": _content(r["hashes"], r["sizes"])} for r in sorted(known.to_pylist(), key=lambda r: r["at"])]
         sides = []
-        for order, known in ((found, [r for r in before if r["part"] < part]), (found[::-1], [r for r in after if r["part"] > part])):
-            walk, near = _Walk(known), []
+        for side, order in enumerate((found, found[::-1])):
+            walk, near = _Walk([r for r in before if r["side"] == side]), []
             for page in order:
                 near.append(walk.nearest(page))
                 walk.add(page)
@@ -344,13 +372,13 @@ def neighbours(pages: DataFrame) -> DataFrame:
             if not b or (a and _alike(page["path"], a[0]["path"]) > _alike(page["path"], b[0]["path"])):
                 b, a = a, b
             if b:
-                third = next((x["hashes"] for x in a + b[1:] if not are_copies(x["content"], b[0]["content"])), None)
-                out.append((page["page_id"], b[0]["hashes"], third))
+                third = next((x for x in a + b[1:] if not are_copies(x["content"], b[0]["content"])), None)
+                out.append((page["page_id"], _undropped(b[0]), _undropped(third) if third else None))
         ids, others, thirds = zip(*out, strict=True) if out else ((), (), ())
         lists = pa.list_(pa.int64())
         return pa.Table.from_arrays([pa.array(ids, batch.schema.field("page_id").type), pa.array(others, lists), pa.array(thirds, lists)], ["page_id", "other", "third"])
 
-    return rows.groupBy("part").applyInArrow(run, f"page_id {kinds['page_id']}, other array<long>, third array<long>")
+    return rows.groupBy("part").cogroup(passed.groupBy("part")).applyInArrow(run, f"page_id {kinds['page_id']}, other array<long>, third array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
