@@ -244,7 +244,7 @@ def test_main_text(spark):
 
 
 def test_differencing_decides_article_lines_and_cards_do_not_hide_the_body(spark):
-    page = "<article><h1>Head {0}</h1><p>All our readers get this offer.</p><p>The long story number {0} of the day.</p><p>Follow us everywhere.</p></article><div>Else {0}</div>"
+    page = "<article><h1>Head {0}</h1><p>All our readers get this offer.</p><p>The long story number {0} of the day.</p><p>Follow us everywhere.</p><p>All rights are ours.</p></article><div>Else {0}</div>"
     card = "<article><p>Read on</p></article><p>The body of this page lies outside, and is longer than its card.</p>"
     rows = [(i, f"http://a.org/x/{i}", page.format(i)) for i in range(3)] + [(7, "http://d.org/", card)]
     got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -360,7 +360,7 @@ def test_pages_with_one_headline_are_versions_and_lose_nothing():
     def kept(html, *others):
         return html_main.main_lines(html, *([html_main._hash(line) for _, line in html_main.lines(o)] for o in others))
 
-    end = ("Follow us on all channels.", "Rate this page.")
+    end = ("Follow us on all channels.", "Rate this page.", "All rights are ours.")
     mine = page("Storm over town", "It began at noon.", "Trees fell.", *end)
     versions = [page("Storm over town", "It began at noon.", "Roads are closed.", *end), page("Storm over town", "It began at noon.", "Calm again.")]
     assert kept(mine, *versions) == ["Storm over town", "It began at noon.", "Trees fell.", *end]

@@ -24,8 +24,8 @@ from tickloom.llm.url_filter import url_parts
 
 #: A pair that shares at least this share of the characters of both is of copies, whose lines are not boilerplate.
 COPIES = 0.8
-#: Lines at an article's ends that two neighbours share, from which on they are a template's and not chance.
-TEMPLATE_LINES = 2
+#: Lines at an article's ends that two neighbours share, from which on they are a template's; licences of two lines are texts.
+TEMPLATE_LINES = 3
 #: Pages of a range that one task holds, as line hashes.
 RANGE_PAGES = 20_000
 
@@ -237,7 +237,7 @@ def main_lines(html: str, other: list[int] | None, third: list[int] | None = Non
     article = [i for i, (zone, line) in enumerate(found) if zone == "main"]
     unshared = [i for i in article if i not in both and found[i][1] != title]
     ends = {i for i in article if i in both and unshared and not unshared[0] <= i <= unshared[-1] and found[i][1] != title}
-    ends = ends if len(ends) >= TEMPLATE_LINES else set()  # articles share single lines by chance
+    ends = ends if len(ends) >= TEMPLATE_LINES else set()  # articles share a line or two by chance
     gone = {i for i in (gone - {*article}) | ends if found[i][1] != title}
     kept = [(zone, line) for i, (zone, line) in enumerate(found) if zone != "dropped" and i not in gone]
     inside = [line for zone, line in kept if zone == "main"]
