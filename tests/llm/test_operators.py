@@ -378,3 +378,23 @@ def test_articles_of_the_table_keep_all_their_lines(spark):
     for r in catalog.QUERIES["op9_html_main"](spark, SF).collect():
         article = [line for zone, line in html_main.lines(pages[r["page_id"]]) if zone == "main"]
         assert not article or r["text"] == "\n".join(article)
+
+
+@pytest.mark.parametrize("n", [40, 320, 10_000])
+def test_pii_secrets_and_masked_addresses_of_any_length(n):
+    rng = random.Random(n)
+    key = "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+    digits = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    name = "name." * (n // 5)
+    for text, held in [(f"token = {key} end", key), (f"sum {digits} end", digits), (f"eyJ{key}.{key}.{key} end", f"eyJ{key}.{key}.{key}"), (f"to {name}x [at] mail.example.org end", f"{name}x [at] mail.example.org")]:
+        spans = pii.candidates(text, pii.base_spans(text))
+        assert [text[s:e] for _, s, e in spans] == [held]
+        assert pii.redact(text, ",".join(f"{k}:{s}:{e}" for k, s, e in spans)) == text.replace(held, f"<{spans[0][0]}>")
+
+
+@pytest.mark.parametrize("piece", ["eyJ-", "a.b", "token ", "0123456789abcdef" * 4 + "g", "x [at] y ", "AAAA1111 ", "Mr. "])
+def test_pii_candidates_take_linear_time(piece):
+    text = piece * (400_000 // len(piece))
+    began = __import__("time").process_time()
+    pii.candidates(text, [])
+    assert __import__("time").process_time() - began < 20

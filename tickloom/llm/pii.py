@@ -42,14 +42,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CANDIDATES = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII),
     "local_phone": re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "masked_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT|chez|arroba)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(](?:dot|DOT|punkt|punto|point)[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
+    "masked_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT|chez|arroba)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT|punkt|punto|point)[\])]|\.) ?[A-Za-z0-9-]++)+"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "person": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b", re.ASCII),
 }
 _SECRET_WORDS = "api_key api-key apikey access_key access-key secret token passwd password pwd bearer credential".split()
 #: What follows such a word, and secrets that show their form.
-ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]key|secret|token|passwd|password|pwd|bearer|credential)s?[\"']?(?: ?(?::=|=>|==|[:=]) ?| )[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,512}={0,2})", re.IGNORECASE | re.ASCII)
-SHOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,512}\.[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,512}|[0-9a-f]{32,128}|[0-9A-F]{32,128})\b|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", re.ASCII)
+ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]key|secret|token|passwd|password|pwd|bearer|credential)s?[\"']?(?: ?(?::=|=>|==|[:=]) ?| )[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,}+={0,2})", re.IGNORECASE | re.ASCII)
+SHOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)\b|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", re.ASCII)
 #: Whatever another candidate pattern matches holds one of these.
 GATE = re.compile(r"[0-9]{3}|[A-Z]{2}[0-9]{2}|[\[(](?:at|AT|chez|arroba)[\])]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Monsieur|Madame)\b", re.ASCII)
 #: Characters of an IBAN by country.
@@ -207,7 +207,7 @@ def _signature(text: str, kind: str, start: int, end: int) -> str:
 
 def _shape(value: str) -> str:
     """Characters by class, runs of a class cut at four."""
-    classes = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:64])
+    classes = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value)
     return re.sub(r"(.)\1{3,}", r"\1\1\1\1", classes)
 
 
