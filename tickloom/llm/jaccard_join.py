@@ -32,7 +32,7 @@ WORDS = 5
 #: Segments for each difference that a band allows.
 SEGMENTS = 1.5
 #: Rows of an Arrow batch that are worked on at once.
-SLICE = 1000
+SLICE = 250
 #: A shingle counts as frequent from so many documents of a task; the most frequent ones, so many at most, are told to
 #: all tasks. A task that has met over COUNTED shingles forgets those met once. Costs decide the order of signatures only.
 FREQUENT, MOST_FREQUENT, COUNTED = 3, 50_000, 4_000_000

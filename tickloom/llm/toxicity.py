@@ -27,7 +27,7 @@ from tickloom.llm.common import labelled_sample
 #: The trees and the calibration are fitted on at most so many labelled documents.
 FIT_DOCS = 20_000
 #: Rows of an Arrow batch that are worked on at once.
-SLICE = 1000
+SLICE = 250
 TREES, DEPTH, SEED = 20, 3, 7
 THRESHOLD = 0.7
 #: Share of the trees' own probability in a score: it orders texts within one step of the calibration.
