@@ -13,6 +13,7 @@ import tickloom.plans.research  # noqa: F401
 import tickloom.plans.strategy  # noqa: F401
 import tickloom.plans.streams  # noqa: F401
 import tickloom.plans.tenders  # noqa: F401
+import tickloom.plans.training  # noqa: F401
 from tickloom.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
