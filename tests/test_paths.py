@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import chunks
 from tickloom.operators import paths
-from tickloom.operators.book import sweep
+from tickloom.operators.book import look_up, sweep
 from tickloom.operators.temporal import asof
 
 SECOND = 1_000_000
@@ -66,13 +66,55 @@ def test_golden_ladder_and_chunks(spark):
     assert found.a == [25_000, 25_000, 22_000] and found.b == [10_000] * 7 + [4_000]
 
 
-def test_walk_prices_blocks_of_any_size(spark):
-    from tickloom.operators.book import walk
+LEVELS = "venue string, side string, level_id long, cents long, qty long"
 
-    levels = spark.createDataFrame([("v", "bid", 1, 1000, 10), ("v", "bid", 2, 990, 10), ("v", "bid", 3, 995, 0)], "venue string, side string, level_id long, cents long, qty long")
-    blocks = spark.createDataFrame([(i, "v", "bid", q) for i, q in enumerate((0, 1, 10, 11, 20, 21))] + [(9, "w", "bid", 1)], "id long, venue string, side string, q long")
-    got = {r.id: (r.paid, r.covered) for r in walk(levels, blocks, ["venue", "side"], "q").collect()}
-    assert got == {0: (0, True), 1: (1000, True), 2: (10000, True), 3: (10990, True), 4: (19900, True), 5: (None, False)}
+
+def test_blocks_of_any_size_find_their_price(spark):
+    levels = spark.createDataFrame([("v", "bid", 1, 1000, 10), ("v", "bid", 2, 990, 10), ("v", "bid", 3, 995, 0)], LEVELS)
+    sizes = (0, 1, 10, 11, 20, 21, None, 11)
+    rows = [(i, "v", "bid", q) for i, q in enumerate(sizes)] + [(9, "w", "bid", 1), (10, None, "bid", 1), (3, "v", "bid", 11)]
+    blocks = spark.createDataFrame(rows, "id long, venue string, side string, q long")
+    found = look_up(levels, blocks, ["venue", "side"], {"x": F.col("q")}).collect()
+    got = sorted((r.id, r.x.filled, r.x.paid, r.x.covered) for r in found)
+    eleven = (11, 10990, True)
+    assert got == [(0, 0, 0, True), (1, 1, 1000, True), (2, 10, 10000, True), (3, *eleven), (3, *eleven), (4, 20, 19900, True), (5, 20, 19900, False), (7, *eleven)]
+    assert look_up(levels.limit(0), blocks, ["venue", "side"], {"x": F.col("q")}).count() == 0
+    assert look_up(levels, blocks.limit(0), ["venue", "side"], {"x": F.col("q")}).count() == 0
+
+
+def test_look_up_equals_walking_every_ladder(spark):
+    import random
+
+    random.seed(7)
+    levels = [(v, s, i, random.randrange(90, 110), random.randrange(0, 6)) for i, (v, s) in enumerate((v, s) for v in "ab" for s in ("ask", "bid") for _ in range(40))]
+    blocks = [(i, random.choice("aab"), random.choice(("ask", "bid")), random.randrange(1, 160), random.randrange(85, 115)) for i in range(400)]
+
+    def walked(venue, side, quantity, limit):
+        filled = paid = within = worst = 0
+        named = 0.0
+        sign = 1 if side == "ask" else -1
+        for _, _, i, cents, qty in sorted((x for x in levels if x[:2] == (venue, side)), key=lambda x: (sign * x[3], x[2])):
+            within += qty if sign * cents <= sign * limit else 0
+            take = min(qty, quantity - filled)
+            if take > 0:
+                filled, paid, worst, named = filled + take, paid + take * cents, cents, named + take * (i % 3) / qty
+        return filled, paid, worst, filled >= quantity, round(named, 9), within
+
+    made = spark.createDataFrame(blocks, "id long, venue string, side string, q long, cents long")
+    got = look_up(spark.createDataFrame(levels, LEVELS), made, ["venue", "side"], {"x": F.col("q"), "half": F.floor(F.col("q") / 2)}, {"within": F.col("cents")}, {"named": F.col("level_id") % 3})
+    found = {r.id: r for r in got.collect()}
+    assert len(found) == len(blocks)
+    for i, venue, side, q, limit in blocks:
+        r = found[i]
+        assert (r.x.filled, r.x.paid, r.x.worst, r.x.covered, round(r.x.named, 9), r.within) == walked(venue, side, q, limit)
+        assert r.q < 2 or (r.half.filled, r.half.paid) == walked(venue, side, q // 2, limit)[:2]
+
+
+def test_look_up_shuffles_blocks_once_and_pairs_none_with_levels(spark):
+    levels = spark.createDataFrame([("v", "bid", 1, 1000, 10)], LEVELS)
+    blocks = spark.createDataFrame([(1, "v", "bid", 5, 900)], "id long, venue string, side string, q long, cents long")
+    plan = look_up(levels, blocks, ["venue", "side"], {"x": F.col("q")}, {"y": F.col("cents")})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
 
 
 def test_spacing_and_lockout_by_runs_equal_plain_loops(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import safe_div
-from tickloom.operators.book import walk
+from tickloom.operators.book import look_up
 from tickloom.operators.temporal import asof
 from tickloom.plans import views as v
 from tickloom.plans.market import query
@@ -59,8 +59,8 @@ economics AS (SELECT *, CASE action WHEN 'BUY' THEN vwap - cents ELSE cents - vw
 @query(f"WITH {ROUTED} SELECT tender_id, covered, round(vwap / 100, 6) AS vwap, round(edge, 6) AS edge, round(edge * quantity, 4) AS profit FROM economics")
 def tender_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average unwind price, edge a share and profit of every tender whose venue has levels; null unless fully covered."""
-    r = walk(levels(spark, sf_dir), tenders(spark, sf_dir), ["venue", "side"], "quantity")
-    r = r.withColumn("vwap", F.col("paid") / F.col("quantity")).withColumn("edge", gain(F.col("vwap")))
+    r = look_up(levels(spark, sf_dir), tenders(spark, sf_dir), ["venue", "side"], {"all": F.col("quantity")})
+    r = r.withColumn("covered", F.col("all.covered")).withColumn("vwap", F.when(F.col("covered"), F.col("all.paid") / F.col("quantity"))).withColumn("edge", gain(F.col("vwap")))
     return r.select("tender_id", "covered", F.round(F.col("vwap") / 100, 6).alias("vwap"), F.round("edge", 6).alias("edge"), F.round(F.col("edge") * F.col("quantity"), 4).alias("profit"))
 
 
@@ -84,8 +84,7 @@ _FAVOUR = ("favourable_5", "favourable_10", "favourable_full")
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tender with its venue's book seen from the side on which it unwinds.
 
-    Levels are summed up a venue once and looked up by tenders; the sums up to a price come from levels joined by
-    venue, whose number a book bounds.
+    Levels are summed up a venue once; prices of parts of the block and sizes up to a price are looked up by size and price.
     """
     book = levels(spark, sf_dir)
     order = Window.partitionBy("venue", "side").orderBy(F.when(F.col("side") == "ask", F.col("cents")).otherwise(-F.col("cents")), "level_id")
@@ -101,14 +100,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumn("depth", F.when(F.col("side") == "bid", F.col("bid2")).otherwise(F.col("ask2")))
     for p in SHARES:
         t = t.withColumn(f"q{p}", F.ceil(F.col("quantity") * p / 100.0).cast("long"))
-        t = walk(book, t, ["venue", "side"], f"q{p}").drop("covered").withColumnRenamed("paid", f"paid_{p}")
-    near = book.groupBy("venue", "side").agg(F.collect_list(F.struct("cents", "qty")).alias("steps"))
-    t = t.join(near, ["venue", "side"])
-
-    def profitable(least: int) -> Column:
-        return F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + F.when(sign * (x.cents - F.col("cents")) >= least, x.qty).otherwise(F.lit(0).cast("long")))
-
-    t = t.withColumns({f"{name}_qty": profitable(c) for name, c in _NEED.items()})
+    limits = {f"{name}_qty": F.col("cents") + sign * c for name, c in _NEED.items()}
+    t = look_up(book, t, ["venue", "side"], {f"part_{p}": F.col(f"q{p}") for p in SHARES}, limits)
+    t = t.withColumns({f"paid_{p}": F.when(F.col(f"part_{p}.covered"), F.col(f"part_{p}.paid")) for p in SHARES})
     return t.withColumn("fee_edge", gain(F.col("paid_100") / F.col("q100")) - FEES)
 
 
@@ -146,10 +140,8 @@ def tail_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and edge of the last 10, 25 and 40% of every covered block."""
     t = tenders(spark, sf_dir).withColumn("percent", F.explode(F.array(*map(F.lit, (10, 25, 40)))))
     t = t.withColumn("tail", F.greatest(F.lit(1).cast("long"), F.rint(F.col("quantity") * F.col("percent") / 100.0).cast("long"))).withColumn("core", F.col("quantity") - F.col("tail"))
-    book = levels(spark, sf_dir)
-    whole = walk(book, t, ["venue", "side"], "quantity").filter("covered").drop("covered").withColumnRenamed("paid", "whole")
-    both = walk(book, whole, ["venue", "side"], "core")
-    price = (F.col("whole") - F.coalesce("paid", F.lit(0))) / F.col("tail")
+    both = look_up(levels(spark, sf_dir), t, ["venue", "side"], {"whole": F.col("quantity"), "first": F.col("core")}).filter("whole.covered")
+    price = (F.col("whole.paid") - F.col("first.paid")) / F.col("tail")
     return both.select("tender_id", "percent", "tail", F.round(price / 100, 6).alias("price"), F.round(gain(price), 6).alias("edge"))
 
 
@@ -160,15 +152,11 @@ FROM x WHERE take > 0 GROUP BY tender_id, slice""")
 def sliced_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks cut into slices of at most 50, which consume one snapshot one after the other."""
     t = tenders(spark, sf_dir).withColumn("slice", F.explode(F.sequence(F.lit(0), F.ceil(F.col("quantity") / 50).cast("int") - 1)))
-    t = t.withColumns({"lo": F.col("slice") * 50, "hi": F.least(F.col("quantity"), (F.col("slice") + 1) * 50)}).drop("cents")
-    order = Window.partitionBy("venue", "side").orderBy(F.when(F.col("side") == "ask", F.col("cents")).otherwise(-F.col("cents")), "level_id")
-    l = levels(spark, sf_dir).withColumns({"before": F.sum("qty").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("qty"), "rank": F.row_number().over(order)})
-    take = F.least(F.col("hi"), F.col("before") + F.col("qty")) - F.greatest(F.col("lo"), F.col("before"))
-    x = t.join(l, ["venue", "side"]).withColumn("take", take).filter("take > 0")
-    filled = F.sum("take")
-    return x.groupBy("tender_id", "slice").agg(
-        filled.alias("filled"), F.round(F.sum(F.col("take") * F.col("cents")) / filled / 100, 6).alias("vwap"), (F.max_by("cents", "rank") / 100.0).alias("worst"), (filled == F.first(F.col("hi") - F.col("lo"))).alias("covered")
-    )
+    sizes = {"lo": F.col("slice") * 50, "hi": F.least(F.col("quantity"), (F.col("slice") + 1) * 50)}
+    x = look_up(levels(spark, sf_dir), t, ["venue", "side"], sizes)
+    filled = F.col("hi.filled") - F.col("lo.filled")
+    vwap = F.round((F.col("hi.paid") - F.col("lo.paid")) / filled / 100, 6)
+    return x.filter(filled > 0).select("tender_id", "slice", filled.alias("filled"), vwap.alias("vwap"), (F.col("hi.worst") / 100.0).alias("worst"), F.col("hi.covered").alias("covered"))
 
 
 _ROUTE = v.LADDER + """, plan AS (SELECT *, row_number() OVER o AS i FROM (
@@ -202,11 +190,9 @@ def route_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT tender_id, round(sum(take * (qty * (level_id % 4) // 4) / qty) / sum(take), 6) AS share FROM x WHERE take > 0 GROUP BY tender_id""")
 def participant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of what a block consumes that belongs to named participants: level by level in proportion."""
-    order = Window.partitionBy("venue", "side").orderBy(F.when(F.col("side") == "ask", F.col("cents")).otherwise(-F.col("cents")), "level_id")
-    l = levels(spark, sf_dir).withColumn("before", F.sum("qty").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("qty")).drop("cents")
-    x = tenders(spark, sf_dir).join(l, ["venue", "side"]).withColumn("take", F.least(F.col("qty"), F.col("quantity") - F.col("before"))).filter("take > 0")
     named = F.floor(F.col("qty") * (F.col("level_id") % 4) / 4)
-    return x.groupBy("tender_id").agg(F.round(F.sum(F.col("take") * named / F.col("qty")) / F.sum("take"), 6).alias("share"))
+    x = look_up(levels(spark, sf_dir), tenders(spark, sf_dir), ["venue", "side"], {"all": F.col("quantity")}, parts={"named": named})
+    return x.select("tender_id", F.round(F.col("all.named") / F.col("all.filled"), 6).alias("share"))
 
 
 RAW = """raw AS (SELECT o_orderdate, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_quantity AS BIGINT) AS qty, 5 * l_linenumber AS filled,
