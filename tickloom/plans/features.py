@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import safe_div
 from tickloom.operators.book import book_state
+from tickloom.operators.profile import value_areas
 from tickloom.operators.segments import PART_ROWS, deviation, haloed, numbered, own, scan, trailing_changes, trailing_first, trailing_sum, upto, whole
 from tickloom.operators.temporal import smoothed
 from tickloom.plans import views as v
@@ -336,6 +337,30 @@ def _wall(side: str) -> str:
     return " + ".join(f"CASE WHEN {away.format(d=d)} BETWEEN 0 AND 20 THEN s.{name}{d}.sz ELSE 0 END" for d in DEPTHS)
 
 
+# Regular hours, in microseconds since midnight; both ends belong to them.
+OPENS, CLOSES = 34_200_000_000, 57_600_000_000
+
+
+@query(f"""
+WITH RECURSIVE {BANDED}, p AS (SELECT e.seq, e.band, CAST(floor(t.price) AS BIGINT) AS level, CAST(sum(t.volume) AS BIGINT) AS volume
+  FROM entries e JOIN trades t ON t.day = e.day AND t.us <= e.us AND t.us % 86400000000 BETWEEN {OPENS} AND {CLOSES} GROUP BY ALL),
+d AS MATERIALIZED (SELECT seq, band, list(level ORDER BY level) AS l, list(volume ORDER BY level) AS v, CAST(sum(volume) AS BIGINT) AS total FROM p GROUP BY ALL),
+e(seq, band, lo, hi, covered) AS (
+  SELECT seq, band, list_position(v, list_max(v)), list_position(v, list_max(v)), list_max(v) FROM d
+  UNION ALL
+  SELECT seq, band, CASE WHEN above > below THEN lo ELSE lo - 1 END, CASE WHEN above > below THEN hi + 1 ELSE hi END, covered + greatest(above, below)
+  FROM (SELECT e.*, coalesce(d.v[e.hi + 1], -1) AS above, CASE WHEN e.lo > 1 THEN d.v[e.lo - 1] ELSE -1 END AS below FROM e JOIN d USING (seq, band) WHERE 10 * e.covered < 7 * d.total)),
+f AS (SELECT seq, band, l[list_position(v, list_max(v))] AS poc, l[lo] AS val, l[hi] AS vah FROM e JOIN d USING (seq, band) WHERE 10 * covered >= 7 * total)
+SELECT seq, CAST(band AS INTEGER) AS band, poc, val, vah, round(price - poc, 6) AS from_poc, CAST(price BETWEEN val AND vah AS INTEGER) AS inside FROM entries LEFT JOIN f USING (seq, band)""")
+def touch_value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Busiest level and value area of regular hours as known at each touch, distance from the one, whether in the other."""
+    t = v.trades(spark, sf_dir).filter((F.col("us") % 86_400_000_000).between(OPENS, CLOSES))
+    prints = t.select("day", "us", F.floor("price").alias("level"), "volume")
+    known = value_areas(prints, entries(spark, sf_dir).select("day", "us", "seq", "band", "price"), ["day"])
+    inside = F.col("price").between(F.col("val"), F.col("vah")).cast("int")
+    return known.select("seq", "band", "poc", "val", "vah", F.round(F.col("price") - F.col("poc"), 6).alias("from_poc"), inside.alias("inside"))
+
+
 @query(f"""
 WITH {BANDED}, {BOOK10.replace(v.TICKS + ", ", "", 1)},
 j AS (SELECT e.seq, CAST(e.band AS INTEGER) AS band, s.us, s.seq AS at_seq, CASE WHEN e.side = 'upper' THEN {_wall('upper')} ELSE {_wall('lower')} END AS wall
