@@ -117,51 +117,71 @@ def grid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gate and every target, stop and time on train and test rows of anchored folds, one trade at a time.
 
     The path after an entry is read once: the first print of each target and stop and the last one of each time are
-    aggregates; the grid is made from them, not from paths. Paths end with the day, so lockouts are folded by day, and
-    the fold keeps sums, no list.
+    aggregates. Entries are shuffled once, with these, to their day and fold; gates and settings are tried there. Paths
+    end with the day, so lockouts are folded by day, and the fold keeps sums, no list. A lockout looks back only, so what
+    a day adds to training is known fold by fold: the sums of a fold's rows, or for the few days that a fold's bound
+    cuts, the sums up to each fold less those up to the one before. Training sums are running sums over folds.
     """
     r = positions(refined(spark, sf_dir), "day", ["us", "entry_seq", "seq", "band"]).withColumn("fold", F.least(F.lit(FOLDS - 1), F.floor(F.col("i") * FOLDS / F.col("n"))).cast("int"))
-    rows = r.select("seq", "band", "ek", "euser", "day", "fold", "d", "us", "entry_seq", "entry")
+    whole_day = Window.partitionBy("day")
+    r = r.withColumns({"first": F.min("fold").over(whole_day), "last": F.max("fold").over(whole_day)})
+    rows = r.select("seq", "band", "ek", "euser", "day", "fold", "first", "last", "d", "us", "entry_seq", "entry")
     p = ahead(rows, v.trades(spark, sf_dir), max(TIMES)).filter((F.col("at") > F.col("us")) | (F.col("at_seq") >= F.col("entry_seq"))).withColumn("gain", F.col("d") * (F.col("px") - F.col("entry")))
     point = F.struct("at", "at_seq", "gain")
-    found = p.groupBy("seq", "band", "ek", "euser", "day", "fold", "us", "entry_seq").agg(
-        F.array(*(F.struct(F.lit(x).alias("target"), F.min(F.when(F.col("gain") >= x, point)).alias("won")) for x in TARGETS)).alias("t"),
-        F.array(*(F.struct(F.lit(x).alias("stop"), F.min(F.when(F.col("gain") <= -x, point)).alias("lost")) for x in STOPS)).alias("s"),
-        F.array(*(F.struct(F.lit(x).alias("time"), F.max(F.when(F.col("at") - F.col("us") <= x * 1_000_000, point)).alias("end")) for x in TIMES)).alias("z"),
+    found = p.groupBy("seq", "band", "ek", "euser", "day", "fold", "first", "last", "us", "entry_seq").agg(
+        F.array(*(F.min(F.when(F.col("gain") >= x, point)) for x in TARGETS)).alias("won"),
+        F.array(*(F.min(F.when(F.col("gain") <= -x, point)) for x in STOPS)).alias("lost"),
+        F.array(*(F.max(F.when(F.col("at") - F.col("us") <= x * 1_000_000, point)) for x in TIMES)).alias("end"),
     )
     conditions = [F.col("ek") >= 30, F.col("euser") % 2 == 0, F.col("band") == 1]
     gates = {"single": conditions[0], "all": at_least(conditions[:2], 2), "two_of_three": at_least(conditions, 2)}
-    passed = F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in gates.items())), lambda g: g.isNotNull())
-    memberships = F.transform(F.sequence(F.greatest(F.col("fold"), F.lit(1)), F.lit(FOLDS - 1)), lambda f: F.struct(f.alias("f"), F.when(f == F.col("fold"), "test").otherwise("train").alias("part")))
-    keys = ["gate", "target", "stop", "time", "f", "part"]
-    x = found.withColumn("gate", F.explode(passed)).withColumn("m", F.explode(memberships)).select("*", "m.*")
-    for name in ("t", "s", "z"):
-        x = x.withColumn(name, F.explode(name)).select("*", f"{name}.*").drop(name)
-    in_time = lambda c: c["at"] <= F.col("end.at")
-    won, lost = F.col("won"), F.col("lost")
-    by_target = in_time(won) & (lost.isNull() | (won["at"] < lost["at"]))
-    by_target, by_stop = F.coalesce(by_target, F.lit(False)), F.coalesce(in_time(lost), F.lit(False))
-    last = F.when(by_target, won).when(by_stop, lost).otherwise(F.col("end"))
-    pnl = F.round(10000 * last["gain"]).cast("long")
-    count = lambda c, name: c.cast("long").alias(name)
-    trade = F.struct(
-        "us", "entry_seq", "seq", "band", last["at"].alias("out"), pnl.alias("pnl"), count(pnl > 0, "won"), count(by_target, "hit"), count(~by_target & by_stop, "lost")
-    )
-    days = x.groupBy(*keys, "day").agg(F.sort_array(F.collect_list(trade)).alias("x"))
-    names = ("out", "n", "pnl", "won", "hit", "lost")
-    start = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
+    names = ("n", "pnl", "won", "hit", "lost")
+    settings = ["target", "stop", "time"]
+    own, upto = F.struct(F.lit(True).alias("own"), F.col("fold").alias("f")), F.transform(F.sequence("fold", "last"), lambda f: F.struct(F.lit(False).alias("own"), f.alias("f")))
+    cut = F.col("first") < F.col("last")
+    x = found.withColumn("g", F.explode(F.when(cut, F.concat(F.array(own), upto)).otherwise(F.array(own))))
+    entry = F.struct("us", "entry_seq", "seq", "band", "won", "lost", "end", *(c.alias(f"in_{name}") for name, c in gates.items()))
+    days = x.groupBy("day", "g.own", "g.f", "first", "last").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+
+    def through(gate: str) -> Column:
+        return F.struct(F.lit(gate).alias("gate"), F.filter("x", lambda b: b[f"in_{gate}"]).alias("e"))
+
+    days = days.select("*", F.inline(F.array(*map(through, gates)))).filter("size(e) > 0")
+
+    def outcome(b: Column, target: Column, stop: Column, time: Column) -> Column:
+        """Where a trade ends: the first of target and stop, if in time."""
+        won, lost, end = b.won[target], b.lost[stop], b.end[time]
+        in_time = lambda c: F.coalesce(c["at"] <= end["at"], F.lit(False))
+        by_target = in_time(won) & F.coalesce(won["at"] < lost["at"], F.lit(True))
+        ended = lambda p, by: F.struct(p.alias("p"), F.lit(by).alias("by"))
+        return F.struct(b.us.alias("us"), F.when(by_target, ended(won, "hit")).when(in_time(lost), ended(lost, "lost")).otherwise(ended(end, "end")).alias("o"))
 
     def take(acc: Column, b: Column) -> Column:
-        more = F.struct(b.out.alias("out"), (acc.n + 1).alias("n"), *((acc[n] + b[n]).alias(n) for n in names[2:]))
+        pnl = F.round(10000 * b.o.p["gain"]).cast("long")
+        adds = {"n": F.lit(1), "pnl": pnl, "won": (pnl > 0).cast("long"), "hit": (b.o.by == "hit").cast("long"), "lost": (b.o.by == "lost").cast("long")}
+        more = F.struct(b.o.p["at"].alias("out"), *((acc[n] + adds[n]).cast("long").alias(n) for n in names))
         return F.when((acc.n > 0) & (b.us <= acc.out), acc).otherwise(more)
 
-    kept = days.select(*keys, F.aggregate("x", start, take).alias("s"))
-    sums = kept.groupBy(*keys).agg(*(F.sum(f"s.{n}").alias(n) for n in names[1:]))
-    both = lambda n: [F.max(F.when(F.col("part") == part, F.col(n))).alias(f"{part}_{n}") for part in ("train", "test")]
-    wide = sums.groupBy(*keys[:4], F.col("f").alias("fold")).agg(*(c for n in names[1:] for c in both(n))).filter("train_n IS NOT NULL AND test_n IS NOT NULL")
+    def tried(k: Column) -> Column:
+        target, stop, time = (k / (len(STOPS) * len(TIMES))).cast("int"), (k / len(TIMES)).cast("int") % len(STOPS), k % len(TIMES)
+        trades = F.transform("e", lambda b: outcome(b, target, stop, time))
+        start = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("out", *names)))
+        at = lambda values, i: F.array(*map(F.lit, values))[i]
+        return F.struct(at(TARGETS, target).alias("target"), at(STOPS, stop).alias("stop"), at(TIMES, time).alias("time"), F.aggregate(trades, start, take).alias("s"))
+
+    grid = F.sequence(F.lit(0), F.lit(len(TARGETS) * len(STOPS) * len(TIMES) - 1))
+    kept = days.select("gate", "own", "f", "first", "last", F.inline(F.transform(grid, tried))).select("gate", *settings, "own", "f", "first", "last", "s.*")
+    # a fold's rows are its test, and its part of training unless their day is cut; sums up to a fold give way to the next ones
+    line = lambda f, test, train: F.struct(f.alias("fold"), F.lit(test).alias("test"), F.lit(train).alias("train"))
+    by_fold = F.when(F.col("own"), F.array(F.when(cut, line(F.col("f"), 1, 0)).otherwise(line(F.col("f"), 1, 1))))
+    by_fold = by_fold.when(F.col("f") < F.col("last"), F.array(line(F.col("f"), 0, 1), line(F.col("f") + 1, 0, -1))).otherwise(F.array(line(F.col("f"), 0, 1)))
+    keys = ["gate", *settings]
+    sums = kept.select(*keys, *names, F.inline(by_fold)).groupBy(*keys, "fold").agg(*(F.sum(F.col(n) * F.col(part)).alias(f"{part}_{n}") for n in names for part in ("train", "test")))
+    earlier = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    wide = sums.withColumns({f"train_{n}": F.sum(f"train_{n}").over(earlier) for n in names}).filter("train_n > 0 AND test_n > 0")
     share = lambda part, n: F.col(f"{part}_{n}") / F.col(f"{part}_n")
     return wide.select(
-        *keys[:4], "fold", "train_n", "test_n", (share("train", "pnl") / 10000).alias("train_pnl"), (share("test", "pnl") / 10000).alias("test_pnl"),
+        *keys, "fold", "train_n", "test_n", (share("train", "pnl") / 10000).alias("train_pnl"), (share("test", "pnl") / 10000).alias("test_pnl"),
         share("train", "won").alias("train_win"), share("test", "won").alias("test_win"), share("test", "hit").alias("test_hit"), share("test", "lost").alias("test_stop"),
     )
 
