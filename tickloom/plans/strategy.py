@@ -191,27 +191,58 @@ def gate_grid_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_folds(spark, sf_dir).select("gate", "target", "stop", "time", "fold", "train_n", "test_n", *(F.round(c, 6).alias(c) for c in _RATES))
 
 
+# Trades that a fold's test needs to count, and the weights of the two scores.
+MIN_TEST_TRADES = 15
+PNL, WIN, STOPPED, WORSE_PNL, WORSE_WIN, FOLD = 0.95, 0.55, 0.35, 0.25, 0.2, 0.03
+STEADY_WIN, UNEVEN_WIN, UNEVEN_PNL = 0.4, 0.45, 0.08
+
+
+def scored(folds: DataFrame, counted: str) -> DataFrame:
+    """Settings with means over their folds and two scores; each fold of ``counted`` (folds or valid) adds to the first."""
+    g = folds.groupBy("gate", "target", "stop", "time").agg(
+        F.count("*").alias("folds"), F.count_if(F.col("test_n") >= MIN_TEST_TRADES).cast("int").alias("valid"), F.sum("test_n").alias("trades"),
+        F.avg(1 - F.col("test_hit") - F.col("test_stop")).alias("timed"), F.avg("test_pnl").alias("pnl"), F.avg("test_win").alias("win"), F.avg("test_stop").alias("stopped"),
+        F.avg(F.col("test_pnl") - F.col("train_pnl")).alias("dp"), F.avg(F.col("test_win") - F.col("train_win")).alias("dw"),
+        F.coalesce(F.stddev_samp("test_win"), F.lit(0.0)).alias("sw"), F.coalesce(F.stddev_samp("test_pnl"), F.lit(0.0)).alias("sp"),
+    )
+    worse = lambda c: F.greatest(F.lit(0.0), -F.col(c))
+    robust = PNL * F.col("pnl") + WIN * F.col("win") - STOPPED * F.col("stopped") - WORSE_PNL * worse("dp") - WORSE_WIN * worse("dw") + FOLD * F.col(counted)
+    stability = F.col("pnl") + STEADY_WIN * F.col("win") - UNEVEN_WIN * F.col("sw") - UNEVEN_PNL * F.col("sp")
+    return g.withColumns({"robust": F.round(robust, 4), "stability": F.round(stability, 4)})
+
+
 @query(f"""WITH {GRID}, g AS (SELECT gate, target, stop, time, count(*) AS folds, CAST(sum(test_n) AS BIGINT) AS trades, avg(test_pnl) AS pnl, avg(test_win) AS win, avg(test_stop) AS stopped,
   avg(test_pnl - train_pnl) AS dp, avg(test_win - train_win) AS dw, coalesce(stddev_samp(test_win), 0) AS sw, coalesce(stddev_samp(test_pnl), 0) AS sp FROM folds GROUP BY ALL),
 s AS (SELECT gate, target, stop, time, folds, trades, round(0.95 * pnl + 0.55 * win - 0.35 * stopped - 0.25 * greatest(0, -dp) - 0.2 * greatest(0, -dw) + 0.03 * folds, 4) AS robust, round(pnl + 0.4 * win - 0.45 * sw - 0.08 * sp, 4) AS stability FROM g)
 SELECT *, rank() OVER (PARTITION BY gate ORDER BY trades DESC) AS coverage_rank FROM s QUALIFY row_number() OVER (PARTITION BY gate ORDER BY robust DESC, stability DESC, target, stop, time) <= 10""")
 def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best settings of each gate by a score that takes off what gets worse from train to test, with their rank by trades."""
-    avg = lambda c: F.avg(c)
-    g = grid_folds(spark, sf_dir).groupBy("gate", "target", "stop", "time").agg(
-        F.count("*").alias("folds"), F.sum("test_n").alias("trades"), avg("test_pnl").alias("pnl"), avg("test_win").alias("win"), avg("test_stop").alias("stopped"),
-        avg(F.col("test_pnl") - F.col("train_pnl")).alias("dp"), avg(F.col("test_win") - F.col("train_win")).alias("dw"),
-        F.coalesce(F.stddev_samp("test_win"), F.lit(0.0)).alias("sw"), F.coalesce(F.stddev_samp("test_pnl"), F.lit(0.0)).alias("sp"),
-    )
-    worse = lambda c: F.greatest(F.lit(0.0), -F.col(c))
-    robust = 0.95 * F.col("pnl") + 0.55 * F.col("win") - 0.35 * F.col("stopped") - 0.25 * worse("dp") - 0.2 * worse("dw") + 0.03 * F.col("folds")
-    stability = F.col("pnl") + 0.4 * F.col("win") - 0.45 * F.col("sw") - 0.08 * F.col("sp")
-    s = g.select("gate", "target", "stop", "time", "folds", "trades", F.round(robust, 4).alias("robust"), F.round(stability, 4).alias("stability"))
+    s = scored(grid_folds(spark, sf_dir), "folds").select("gate", "target", "stop", "time", "folds", "trades", "robust", "stability")
     best = Window.partitionBy("gate").orderBy(F.desc("robust"), F.desc("stability"), "target", "stop", "time")
     s = s.withColumns({"coverage_rank": F.rank().over(Window.partitionBy("gate").orderBy(F.desc("trades"))), "_r": F.row_number().over(best)})
     return s.filter("_r <= 10").drop("_r")
 
 
+@query(f"""WITH {GRID}, g AS (SELECT gate, target, stop, time, count(*) AS folds, CAST(sum(CAST(test_n >= {MIN_TEST_TRADES} AS INTEGER)) AS INTEGER) AS valid,
+  avg(test_pnl) AS pnl, avg(test_win) AS win, avg(test_hit) AS hit, avg(test_stop) AS stopped, avg(1 - test_hit - test_stop) AS timed, avg(test_n) AS trades,
+  avg(test_pnl - train_pnl) AS dp, avg(test_win - train_win) AS dw, coalesce(stddev_samp(test_win), 0) AS sw, coalesce(stddev_samp(test_pnl), 0) AS sp FROM folds GROUP BY ALL)
+SELECT gate, target, stop, time, folds, valid, round(trades, 6) AS trades, round(timed, 6) AS timed, CAST(least(3, {FOLDS} - 1 - valid) AS INTEGER) AS coverage_rank,
+  CASE WHEN valid >= {max(2, FOLDS - 1)} THEN 'ok' WHEN valid >= 1 THEN 'thin' ELSE 'too_sparse' END AS coverage,
+  round(0.95 * pnl + 0.55 * win - 0.35 * stopped - 0.25 * greatest(0, -dp) - 0.2 * greatest(0, -dw) + 0.03 * valid, 4) AS robust, round(pnl + 0.4 * win - 0.45 * sw - 0.08 * sp, 4) AS stability FROM g""")
+def gate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting with the folds whose test has trades enough, its rank and status by them, exits by time, and scores.
+
+    Missing folds count down the rank from 0 (every fold but the first is tested) to 3; a setting is ok if all of them
+    count. The score adds something for folds that count, not for all.
+    """
+    g = scored(grid_folds(spark, sf_dir), "valid")
+    status = F.when(F.col("valid") >= max(2, FOLDS - 1), "ok").when(F.col("valid") >= 1, "thin").otherwise("too_sparse")
+    return g.select(
+        "gate", "target", "stop", "time", "folds", "valid", F.round(F.col("trades") / F.col("folds"), 6).alias("trades"), F.round("timed", 6).alias("timed"),
+        F.least(F.lit(3), FOLDS - 1 - F.col("valid")).cast("int").alias("coverage_rank"), status.alias("coverage"), "robust", "stability",
+    )
+
+
 @query(f"""WITH RECURSIVE {OUTCOME}, o AS MATERIALIZED (SELECT seq, us, day, side, band, CASE WHEN n > 1 THEN CASE WHEN side = 'upper' THEN price - low ELSE high - price END END AS mfe,
   CASE WHEN n > 1 THEN CASE WHEN side = 'upper' THEN high - price ELSE price - low END END AS mae FROM entries JOIN ahead USING (seq)),
 kept(day, band, side, us, seq) AS (SELECT * FROM (SELECT day, band, side, us, seq FROM o QUALIFY row_number() OVER (PARTITION BY day, band, side ORDER BY us, seq) = 1)
