@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import edge_bucket, safe_div
-from tickloom.operators.paths import ahead, draw, drawdowns, exits, lockout, nearest_quantile, positions
+from tickloom.operators.follow import follow
+from tickloom.operators.paths import draw, drawdowns, ended, lockout, nearest_quantile, positions
 from tickloom.operators.ranks import cumulative, interpolated, picked, ranked
 from tickloom.operators.segments import haloed, own, trailing_changes, trailing_sum, upto
 from tickloom.operators.temporal import asof
@@ -132,9 +133,11 @@ _EXITS = BANDED + """, path AS (SELECT e.band, e.side, e.us, e.seq, t.us AS tus,
 
 
 def _exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir).select("band", "side", "us", "seq", "day", "price")
-    gain = F.when(F.col("side") == "upper", F.col("price") - F.col("px")).otherwise(F.col("px") - F.col("price"))
-    return exits(ahead(e, v.trades(spark, sf_dir), 3600), ["band", "side", "us", "seq"], gain, 10, 15)
+    """Entries are shuffled once to a bucket of time, where their first hits are searched for; no entry is paired with its path."""
+    e = entries(spark, sf_dir).select("band", "side", "us", "seq", "day", "price", F.when(F.col("side") == "upper", -1).otherwise(1).alias("d"))
+    target, stop = 10, 15
+    f = follow(e, v.trades(spark, sf_dir), 3600, {"won": (1, ">=", target), "lost": (1, "<=", -stop)}, {"final": 3600})
+    return ended(f, ["band", "side", "us", "seq"], F.col("d") * (F.col("final.px") - F.col("price")), target, stop)
 
 
 @query(f"WITH {_EXITS} SELECT band, side, seq, reason, exit_us, round(pnl, 4) AS pnl FROM trades_done")
