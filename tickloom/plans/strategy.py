@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import at_least, safe_div
-from tickloom.operators.paths import ahead, nearest_quantile, outlook, positions
+from tickloom.operators.follow import LATER, follow
+from tickloom.operators.paths import nearest_quantile, outlook, positions
 from tickloom.operators.segments import scan
 from tickloom.operators.temporal import greedy_spacing
 from tickloom.plans import views as v
@@ -73,10 +74,8 @@ def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touches with the first print within the hour that is a point worse, where they enter; others don't."""
     t = v.trades(spark, sf_dir)
     e = entries(spark, sf_dir, "k", "user").select("seq", "band", "side", "day", F.col("k").alias("ek"), F.col("user").alias("euser"), "us", "price", direction().alias("d"))
-    p = ahead(e, t, SEARCH).filter((F.col("at") > F.col("us")) & (F.col("d") * (F.col("price") - F.col("px")) >= ADVERSE))
-    first = F.min(F.struct("at", "at_seq", "px")).alias("f")
-    found = p.groupBy("seq", "band", "side", "day", "ek", "euser", "d", F.col("us").alias("touched")).agg(first)
-    return found.select("seq", "band", "side", "day", "ek", "euser", "d", "touched", F.col("f.at").alias("us"), F.col("f.at_seq").alias("entry_seq"), F.col("f.px").alias("entry"))
+    found = follow(e, t, SEARCH, {"f": (-1, ">=", ADVERSE)}, {}, LATER).filter("f IS NOT NULL")
+    return found.select("seq", "band", "side", "day", "ek", "euser", "d", F.col("us").alias("touched"), F.col("f.at").alias("us"), F.col("f.at_seq").alias("entry_seq"), F.col("f.px").alias("entry"))
 
 
 @query(f"WITH {REFINED} SELECT seq, CAST(band AS INTEGER) AS band, entry_seq, us AS entry_us, entry, us - touched AS waited_us FROM refined")
@@ -116,8 +115,7 @@ _RATES = ("train_pnl", "test_pnl", "train_win", "test_win", "test_hit", "test_st
 def grid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gate and every target, stop and time on train and test rows of anchored folds, one trade at a time.
 
-    The path after an entry is read once: the first print of each target and stop and the last one of each time are
-    aggregates. Entries are shuffled once, with these, to their day and fold; gates and settings are tried there. Paths
+    The path after an entry is searched for the first print of each target and stop and the last one of each time. Entries are shuffled once, with these, to their day and fold; gates and settings are tried there. Paths
     end with the day, so lockouts are folded by day, and the fold keeps sums, no list. A lockout looks back only, so what
     a day adds to training is known fold by fold: the sums of a fold's rows, or for the few days that a fold's bound
     cuts, the sums up to each fold less those up to the one before. Training sums are running sums over folds.
@@ -126,13 +124,14 @@ def grid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole_day = Window.partitionBy("day")
     r = r.withColumns({"first": F.min("fold").over(whole_day), "last": F.max("fold").over(whole_day)})
     rows = r.select("seq", "band", "ek", "euser", "day", "fold", "first", "last", "d", "us", "entry_seq", "entry")
-    p = ahead(rows, v.trades(spark, sf_dir), max(TIMES)).filter((F.col("at") > F.col("us")) | (F.col("at_seq") >= F.col("entry_seq"))).withColumn("gain", F.col("d") * (F.col("px") - F.col("entry")))
-    point = F.struct("at", "at_seq", "gain")
-    found = p.groupBy("seq", "band", "ek", "euser", "day", "fold", "first", "last", "us", "entry_seq").agg(
-        F.array(*(F.min(F.when(F.col("gain") >= x, point)) for x in TARGETS)).alias("won"),
-        F.array(*(F.min(F.when(F.col("gain") <= -x, point)) for x in STOPS)).alias("lost"),
-        F.array(*(F.max(F.when(F.col("at") - F.col("us") <= x * 1_000_000, point)) for x in TIMES)).alias("end"),
-    )
+    hits = {f"won{x}": (1, ">=", x) for x in TARGETS} | {f"lost{x}": (1, "<=", -x) for x in STOPS}
+    found = follow(rows.withColumn("price", F.col("entry")), v.trades(spark, sf_dir), max(TIMES), hits, {f"end{x}": x for x in TIMES}, F.col("entry_seq"))
+
+    def points(name: str, values: tuple[int, ...]) -> Column:
+        point = lambda n: F.when(F.col(n).isNotNull(), F.struct(f"{n}.at", f"{n}.at_seq", (F.col("d") * (F.col(f"{n}.px") - F.col("entry"))).alias("gain")))
+        return F.array(*(point(f"{name}{x}") for x in values)).alias(name)
+
+    found = found.select("seq", "band", "ek", "euser", "day", "fold", "first", "last", "us", "entry_seq", points("won", TARGETS), points("lost", STOPS), points("end", TIMES))
     conditions = [F.col("ek") >= 30, F.col("euser") % 2 == 0, F.col("band") == 1]
     gates = {"single": conditions[0], "all": at_least(conditions[:2], 2), "two_of_three": at_least(conditions, 2)}
     names = ("n", "pnl", "won", "hit", "lost")
