@@ -10,6 +10,7 @@ from tickloom.operators.book import book_state
 from tickloom.operators.profile import value_areas
 from tickloom.operators.segments import PART_ROWS, deviation, haloed, numbered, own, scan, trailing_changes, trailing_first, trailing_sum, upto, whole
 from tickloom.operators.temporal import smoothed
+from tickloom.operators.walls import walls
 from tickloom.plans import views as v
 from tickloom.plans.market import AGGRESSOR, BANDED, BARS, aggressor, bars, by_day, entries, query, sided, so_far, with_vwap
 
@@ -370,21 +371,11 @@ SELECT seq, band, CAST(arg_max(wall, (us, at_seq)) AS BIGINT) AS wall, round(any
 FROM m GROUP BY seq, band""")
 def wall_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size within 20 points beyond each touch's price: now, on average over two hours, and how often above 1.25 times that."""
-    width = 7_200_000_000
-    e = entries(spark, sf_dir).select("seq", "band", "side", "day", F.col("us").alias("until"), F.col("price").alias("px"))
-    e = e.withColumn("_bucket", F.explode(F.array(F.floor(F.col("until") / width), F.floor(F.col("until") / width) - 1)))
-    s = book10(spark, sf_dir).drop("price").withColumnRenamed("seq", "at_seq").withColumn("_bucket", F.floor(F.col("us") / width))
-    j = e.join(s, ["day", "_bucket"]).filter((F.col("us") <= F.col("until")) & (F.col("us") >= F.col("until") - width))
-
-    def beyond(name: str, sign: int) -> Column:
-        sizes = [F.when((sign * (F.col(f"{name}_px{d}") - F.col("px"))).between(0, 20), F.col(f"{name}_sz{d}")).otherwise(0) for d in DEPTHS]
-        return sum(sizes[1:], sizes[0])
-
-    j = j.select("seq", "band", "us", "at_seq", F.when(F.col("side") == "upper", beyond("ask", 1)).otherwise(beyond("bid", -1)).alias("wall"))
-    j = j.withColumn("mean", F.avg("wall").over(Window.partitionBy("seq", "band")))
-    return j.groupBy("seq", "band").agg(
-        F.max_by("wall", F.struct("us", "at_seq")).alias("wall"), F.round(F.first("mean"), 4).alias("mean"), F.round(F.avg((4 * F.col("wall") > 5 * F.col("mean")).cast("double")), 6).alias("persistence")
-    )
+    e = entries(spark, sf_dir).select("seq", F.col("band").cast("int").alias("band"), "day", "us", "price", (F.col("side") == "upper").alias("upper"))
+    gone = (F.col("action") == 2) | (F.col("size") <= 0)
+    slots = v.book_updates(spark, sf_dir).select("day", "us", "seq", "side", "depth", F.when(~gone, F.col("price")).alias("px"), F.when(~gone, F.col("size")).alias("sz"))
+    w = walls(e, slots, len(DEPTHS), 20, 7200, (4, 5))
+    return w.select("seq", "band", "wall", F.round(F.col("total") / F.col("n"), 4).alias("mean"), F.round(F.col("often") / F.col("n"), 6).alias("persistence"))
 
 
 _VWAP = f"sum(price * volume) OVER ({_W}) / sum(volume) OVER ({_W})"
