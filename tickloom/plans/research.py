@@ -369,7 +369,8 @@ SELECT mechanism, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, n, hit, row_
 def index_edge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two features cut at the values that stand at equal shares of each mechanism's sorted rows, hits by cell, and the best cell.
 
-    A value on an edge goes to the higher bin; equal edges leave a bin empty. Windows at the end run over cells only.
+    A value on an edge goes to the higher bin; equal edges leave a bin empty. Edges are a row for each mechanism and
+    broadcast, so that no task gets all rows of one. Windows at the end run over cells only.
     """
     named = F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in MECHANISMS.items()))
     taken = v.feat(spark, sf_dir).select("f1", "f2", "f3", "target", F.explode(F.array_compact(named)).alias("mechanism"))
@@ -377,7 +378,7 @@ def index_edge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, feature in (("x", "f3"), ("y", "f2")):
         places = {f"{name}{k}": F.floor(F.lit(k) * F.col("n") / float(INDEX_BINS)) for k in range(1, INDEX_BINS)}
         edges = picked(taken, ["mechanism"], feature, places).select("mechanism", F.array(*places).alias("e"))
-        cells = cells.join(edges, "mechanism").withColumn(name, F.size(F.filter("e", lambda c: F.col(feature) >= c))).drop("e")  # noqa: B023
+        cells = cells.join(F.broadcast(edges), "mechanism").withColumn(name, F.size(F.filter("e", lambda c: F.col(feature) >= c))).drop("e")  # noqa: B023
     cells = cells.groupBy("mechanism", "x", "y").agg(F.count("*").alias("n"), F.round(F.avg((F.col("target") >= 30000).cast("double")), 9).alias("hit"))
     enough = F.col("n") >= LEAST_ROWS
     order = Window.partitionBy("mechanism", enough).orderBy(F.desc("hit"), F.desc("n"), "x", "y")
