@@ -34,8 +34,9 @@ def sweep(levels: DataFrame, on: list[str], quantity: int) -> DataFrame:
     return out.select(*on, "used", F.round(F.col("cost") / F.col("used"), 4).alias("vwap"), "worst", (F.col("used") >= quantity).alias("covered"))
 
 
-#: Copies of every ladder, so that the blocks of a busy venue are dealt over as many groups.
-SALTS = 16
+#: Copies of every ladder, so that the blocks of a busy venue are dealt over as many groups; more of them make tasks larger
+#: where ladders have as many levels as there are blocks.
+SALTS = 4
 
 
 def look_up(
@@ -70,7 +71,7 @@ def look_up(
 
     # a level begins after the sizes that end where it begins, and comes before the limits that are its price
     begins, priced = place(False, F.col("_step.upto") - F.col("_step.qty"), True, -1), place(True, F.col("_key"), False, -1)
-    steps = steps.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"), "_step", F.array(begins, priced).alias("_places"))
+    steps = steps.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"), "_step", F.array(begins, *([priced] if limits else [])).alias("_places"))
     asks = [place(False, F.when(q < 1, 1).otherwise(q), False, i) for i, q in enumerate(sizes.values())]
     asks += [place(True, F.when(F.col("side") == "ask", c).otherwise(-c), True, i) for i, c in enumerate(limits.values(), len(sizes))]
     row = F.struct(*blocks.columns, F.struct(*(q.cast("long").alias(n) for n, q in sizes.items())).alias("_sizes"))
