@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +28,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each span of personal data replaced by its kind; n_chars follows the new text."""
-    kinds = dict(docs.select(*COLUMNS).dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if t is None else pii.redact(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            columns = {c: batch.column(c) for c in COLUMNS} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in COLUMNS], COLUMNS)
-
-    spans = pii.find_pii(docs, COLUMNS).select(*COLUMNS, "spans")
-    redacted = spans.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in COLUMNS))
-    return redacted.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])).select(*COLUMNS)
+    kind = docs.schema["n_chars"].dataType
+    return pii.redact_all(docs, COLUMNS).withColumn("n_chars", F.length("text").cast(kind)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

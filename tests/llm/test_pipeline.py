@@ -32,3 +32,13 @@ def test_stages(spark):
 
     packed = stages["best-fit packing"](spark, docs, SF).collect()
     assert len(packed) == packing.cut_pieces(docs).count()
+
+
+def test_redaction_takes_one_python_worker_a_task(spark):
+    texts = ["write to a.b@x.org or +49 (30) 123-4567", None, "", "nothing here", "card 4111 1111 1111 1111, ip 10.0.0.255"] * 130
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    redacted = dict(corpus_pipeline.STAGES)["PII"](spark, docs, SF)
+    assert redacted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, ["doc_id"]).collect()}
+    want = [(i, None if t is None else pii.redact(t, spans[i]), None if t is None else len(pii.redact(t, spans[i]))) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, redacted.select("doc_id", "text", "n_chars").collect())) == want

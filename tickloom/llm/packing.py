@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, sliced
 
 CAPACITY, END_ID = 1024, 2
 #: Lengths above SMALL are grouped, into GROUPS groups.
@@ -39,27 +39,35 @@ _PLAIN = re.compile("[\t\n\r -~¡-ſ]*")
 
 
 @lru_cache(1)
-def _encoders(vocabulary: str) -> tuple[Tokenizer, tiktoken.Encoding]:
-    """The tokenizer, and a faster one of the same vocabulary and ids for plain texts."""
+def _exact(vocabulary: str) -> Tokenizer:
+    """The tokenizer; loaded only where a text needs it."""
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+@lru_cache(1)
+def _quick(vocabulary: str) -> tiktoken.Encoding:
+    """A faster one of the same vocabulary and ids for plain texts."""
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    quick = tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")), quick
+    return tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _encoders(vocabulary: str) -> tuple[Tokenizer, tiktoken.Encoding]:
+    return _exact(vocabulary), _quick(vocabulary)
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     """Ids without special tokens, as Tokenizer.encode gives them."""
-    exact, quick = _encoders(vocabulary)
     if _PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
-        return quick.encode_ordinary(text)
-    return exact.encode(text, add_special_tokens=False).ids
+        return _quick(vocabulary).encode_ordinary(text)
+    return _exact(vocabulary).encode(text, add_special_tokens=False).ids
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             ids_of = batch.column("doc_id").to_pylist()
             for doc_id, text in zip(ids_of, batch.column("text"), strict=True):

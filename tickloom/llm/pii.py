@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, discard
+from tickloom.llm.common import cut, discard, sliced
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "local_phone", "masked_email", "national_id", "person", "secret")
@@ -226,7 +226,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """kind, signature, places (of features) and hash of every base span and candidate of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 if text:
@@ -305,17 +305,15 @@ def find_pii(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
     texts have none, and the hash of nothing. Repeated rows get equal results. An empty table, or one without any
     span, adds nothing. Base spans are never dropped; added spans overlap neither them nor each other.
     """
-    weights = train(docs)
-    odds = np.log(threshold / (1 - threshold))
+    find = finder(docs, threshold)
     kinds = dict(docs.select(*keep).dtypes)
     names = [*keep, *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             numbers, hashes, spans = [], [], []
             for text in batch.column("text").to_pylist():
-                base = base_spans(text or "")
-                more = [c for c in candidates(text or "", base) if weights[features(text, *c)].sum() >= odds]
+                base, more = find(text or "")
                 numbers.append([sum(k == b for k, _, _ in base) for b in BASE])
                 hashes.append(sha256(_written(base).encode()).hexdigest())
                 spans.append(_written(base + more))
@@ -326,6 +324,35 @@ def find_pii(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(schema))
 
 
+def finder(docs: DataFrame, threshold: float = THRESHOLD) -> Callable[[str], tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """A function that gives a text's base spans and those that the classifier, trained on docs, adds."""
+    weights = train(docs)
+    odds = np.log(threshold / (1 - threshold))
+
+    def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+        base = base_spans(text)
+        return base, [c for c in candidates(text, base) if weights[features(text, *c)].sum() >= odds]
+
+    return find
+
+
+def redact_all(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """keep of every row of docs, its text redacted; null texts stay null.
+
+    Spans are found and redacted in the same pass, so that a task has one Python worker, not one for each.
+    """
+    find = finder(docs, threshold)
+    kinds = dict(docs.select(*keep).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = [t if t is None else redact(t, _written(sum(find(t), []))) for t in batch.column("text").to_pylist()]
+            columns = {c: batch.column(c) for c in keep} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in keep], keep)
+
+    return docs.select(*keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep))
+
+
 def redact(text: str, spans: str) -> str:
     """The text with every span replaced by its kind in angle brackets; overlapping spans become one."""
     out, last = [], 0

@@ -22,12 +22,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import labelled_sample
+from tickloom.llm.common import labelled_sample, sliced
 
 #: The trees and the calibration are fitted on at most so many labelled documents.
 FIT_DOCS = 20_000
-#: Rows of an Arrow batch that are worked on at once.
-SLICE = 250
 TREES, DEPTH, SEED = 20, 3, 7
 THRESHOLD = 0.7
 #: Share of the trees' own probability in a score: it orders texts within one step of the calibration.
@@ -66,7 +64,7 @@ class Lexicon(dict):
         self.stems = stems
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = max([self.stems.get(word[:k], 0.0) for k in STEMS if len(word) >= k], default=0.0)
         return found
@@ -108,7 +106,7 @@ def learnt_stems(rows: DataFrame) -> dict[bytes, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(pc.cast(batch.column("text"), pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set((text or b"").lower().translate(None, _PUNCTUATION).split())
                 seen[toxic].update({w[:k] for w in words for k in STEMS if len(w) >= k} | {b""})
@@ -130,7 +128,7 @@ def dense_features(docs: DataFrame, keep: list[str], stems: dict[bytes, float])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        for batch in sliced(batches):
             rows = [features(t or b"", lexicon) for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
             columns = np.array(rows, float).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"f_{f}" for f in FEATURES)])
