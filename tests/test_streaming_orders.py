@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from tickloom.streaming import orders
 from tickloom.streaming.ticks import journal
 
@@ -63,3 +65,75 @@ def test_followups(spark, tmp_path):
     got = replayed(spark, tmp_path, batches, "ts timestamp, day string, us long, seq long, quote boolean, price double", lambda s: orders.followups(s, horizons, "5 minutes"))
     clean = {(r.day, r.seq, r.horizon, r.quote_seq, None if r.delta is None or r.delta != r.delta else r.delta) for r in got}
     assert clean == want and len(got) == len(want)
+
+
+class Kept(dict):
+    """A map or list state in memory."""
+
+    exists = dict.__len__
+    getValue, updateValue, removeKey, iterator = dict.get, dict.__setitem__, dict.pop, lambda self: list(self.items())  # noqa: N815
+
+    def get(self):
+        return self["list"]
+
+    def put(self, rows):
+        self["list"] = rows
+
+    def clear(self):
+        self.pop("list", None)
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *_):  # noqa: N802
+        return Kept()
+
+    getListState = getMapState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_rows_of_a_key_are_handled_a_slot_at_a_time():
+    """Many waiting rows of one key: a step sees one slot, and nothing is left behind in the state."""
+    rng, steps = random.Random(3), []
+
+    class Watched(orders.OrderAges):
+        def step(self, key, rows):
+            steps.append(rows.num_rows)
+            return super().step(key, rows)
+
+    times = [START_US + i * 21_600_000_000 for i in range(40)]
+    rows = sorted({(us, rng.randrange(2000)) for us in times for _ in range(1000)}, key=lambda r: hash((r[1], r[0])))
+    state, handle = Watched(), Handle()
+    state.init(handle)
+    frame = pd.DataFrame(rows, columns=["us", "order_id"])
+    for part in (frame[:15_000], frame[15_000:]):
+        state.handleInputRows(("a",), iter([part[i : i + 10_000] for i in range(0, len(part), 10_000)]), None)
+    assert handle.timers == [times[0] // 1000 + 1]
+    first, want = {}, set()
+    for us in times[:-1]:
+        live = {o for u, o in rows if u == us}
+        first = {o: first.get(o, us) for o in live}
+        want |= {("a", us, o, us - s) for o, s in first.items()}
+    mark = type("Mark", (), {"getCurrentWatermarkInMs": lambda self: times[-1] // 1000})()
+    got = [tuple(r) for df in state.handleExpiredTimer(("a",), mark, None) for r in df.itertuples(index=False)]
+    assert len(got) == len(want) and set(got) == want
+    assert len(steps) == 39 and max(steps) <= 1000
+    assert [k for k, _ in state.slots.iterator()] == [(times[-1] // orders.SLOT_US,)] == list({(k[0],) for k, _ in state.blocks.iterator()})
+    assert handle.timers == [times[-1] // 1000 + 1]
+
+
+def test_an_order_without_id_is_an_order(spark, tmp_path):
+    rows = [(at(s)[0], "a", at(s)[1], o) for s, live in ((0, (1, None)), (10, (None,)), (20, (1, None)), (30, (5,))) for o in live]
+    got = replayed(spark, tmp_path, [rows], "ts timestamp, ticker string, us long, order_id long", lambda s: orders.order_ages(s, "0 seconds"))
+    ages = {((r.us - START_US) // 1_000_000, r.order_id): r.age_us // 1_000_000 for r in got}
+    assert ages == {(0, 1): 0, (0, None): 0, (10, None): 10, (20, 1): 0, (20, None): 20} and len(got) == 5
