@@ -1,5 +1,7 @@
 """Path, fold and book operators on small rows with known answers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import chunks
@@ -154,3 +156,20 @@ def test_smoothed_equals_recursion(spark):
             if i >= seed:
                 want += (values[i] - want) * alpha
             assert abs(got[i] - want) < 1e-6
+
+
+def test_outlook_sorts_no_lists(spark, monkeypatch):
+    """What the as-of read sorts, a row for each event and reach and one for each print, has no list of buckets; and no print is lost."""
+    rng, seen = random.Random(8), []
+    prints = [("d", rng.randrange(0, 40_000), i, float(rng.randrange(60))) for i in range(300)]
+    asof = paths.asof
+    monkeypatch.setattr(paths, "asof", lambda left, right, *a, **k: seen.extend([*left.dtypes, *right.dtypes]) or asof(left, right, *a, **k))
+    df = spark.createDataFrame(prints, "day string, us long, seq long, price double")
+    got = paths.outlook(df.filter("seq % 5 = 0"), df, ["us"], [700, 1500, 9000]).collect()
+    assert seen and not [c for c, kind in seen if "array" in kind]
+    want = set()
+    for _, us, seq, _ in prints[::5]:
+        for reach in (700, 1500, 9000):
+            held = [p for _, u, _, p in prints if us <= u < us + reach]
+            want.add((seq, reach, len(held), max(held), min(held)))
+    assert {(r.seq, r.reach, r.n, r.high, r.low) for r in got} == want and len(got) == len(want)
