@@ -1,12 +1,16 @@
 """Splits, guards, metrics, permutation importance and leaderboard against plain loops and a planted feature."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import training
+from tickloom.plans import training as plans
+
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +81,14 @@ def test_leaderboard_scores(spark):
         assert math.isclose(got[cell].score_balanced, 0.4 * auc + 0.4 * pr + 0.1 * stable[cell] + 0.1 * size)
         assert math.isclose(got[cell].score_conservative, 0.35 * auc + 0.3 * pr + 0.2 * stable[cell] + 0.15 * support)
         assert math.isclose(got[cell].score_trade_focus, 0.3 * auc + 0.35 * pr + 0.15 * rate + 0.1 * stable[cell] + 0.1 * size)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rows_of_one_cell_equal_those_of_all(spark):
+    """The shown cell's rows are made alone, from trades that are written once, and are the same as among all cells."""
+    one = plans.labelled(spark, SF, plans.SHOWN)
+    assert not [f for f in one.inputFiles() if "events" in f]
+    mine = [F.col(c) == x for c, x in zip(plans.CELL, plans.SHOWN, strict=True)]
+    every = plans.labelled(spark, SF).filter(mine[0] & mine[1] & mine[2])
+    found = sorted(map(str, one.select(*every.columns).collect()))
+    assert found and found == sorted(map(str, every.collect()))
