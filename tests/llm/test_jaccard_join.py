@@ -1,7 +1,10 @@
 """The n-gram Jaccard join against brute force over all pairs."""
 
 import random
+import tracemalloc
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import jaccard_join
@@ -137,3 +140,60 @@ def test_blocks_find_what_all_pairs_do(spark, monkeypatch, one_each):
                         want.setdefault(pair, []).append((apart, a, b))
     assert want and any(len(v) > 1 for v in want.values())
     assert got == ({min(v)[1:] for v in want.values()} if one_each else {x[1:] for v in want.values() for x in v})
+
+
+class Batches:
+    """Stands for a table: its batches go through what is given to mapInArrow, in this process."""
+
+    def __init__(self, texts):
+        self.batches = [pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts})]
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run(iter(self.batches))
+
+
+def test_counting_shingles_takes_no_copies_of_all_that_a_task_met(monkeypatch):
+    """300,000 shingles are 2.4 MB; besides them there is memory for those that repeat and for a slice."""
+    monkeypatch.setattr(jaccard_join, "COUNTED", 310_000)
+    form = " ".join(f"f{i}" for i in range(24))
+    docs = Batches([f"{form} " + " ".join(f"w{i}-{j}" for j in range(80)) for i in range(3000)])
+    for _ in jaccard_join.describe(Batches(["a b c d e f"])):
+        pass
+    tracemalloc.start()
+    often = {}
+    for batch in jaccard_join.describe(docs):
+        often |= {r["hash"]: r["n"] for r in batch.to_pylist() if r["hash"] is not None} if batch.num_rows < 250 else {}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(often.values()) == [3000] * 20
+    assert peak < 2 * 8 * 310_000
+
+
+def test_counts_forget_only_shingles_met_once(monkeypatch):
+    np = jaccard_join.np
+    rng = np.random.default_rng(3)
+    known, counts, want = np.empty(0, np.uint64), np.empty(0, np.int64), Counter()
+    for least in (2, 2, 2, 3):
+        new = rng.zipf(1.3, 500).astype(np.uint64) % np.uint64(200)
+        met = Counter(new.tolist())
+        want = Counter({x: want[x] + met[x] for x in want | met if x in want or met[x] >= least})
+        known, counts = jaccard_join.summed(known, counts, new, least)
+        assert dict(zip(known.tolist(), counts.tolist(), strict=True)) == want and (np.diff(known) > 0).all()
+    few = np.array([5, 5], np.uint64)
+    assert [x.tolist() for x in jaccard_join.summed(known[:0], counts[:0], few[:1].copy(), 3)] == [[], []]
+    assert [x.tolist() for x in jaccard_join.summed(few[:1], counts[:1] * 0 + 2, few[:0], 3)] == [[5], [2]]
+    monkeypatch.setattr(jaccard_join, "COUNTED", 30)
+    short, long_ = "a b c d e f g h", " ".join(f"x{i}" for i in range(60))
+    texts = [f"{short} {i}" for i in range(9)] + [long_, f"{long_} y"]  # sets over COUNTED, too
+    often = [r for batch in jaccard_join.describe(Batches(texts)) for r in batch.to_pylist() if r["hash"] is not None]
+    assert sorted(r["n"] for r in often) == [9] * 4
+
+
+@pytest.mark.parametrize("one_each", [True, False])
+def test_pairs_leave_a_task_in_parts(spark, monkeypatch, one_each):
+    monkeypatch.setattr(jaccard_join, "PAIRS", 5)
+    monkeypatch.setattr(jaccard_join, "COMPARED", 7)
+    test_blocks_find_what_all_pairs_do(spark, monkeypatch, one_each)

@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, discard
+from tickloom.llm.common import cut, discard, sliced
 
 WORDS = 5
 #: Segments for each difference that a band allows.
 SEGMENTS = 1.5
-#: Rows of an Arrow batch that are worked on at once.
-SLICE = 250
 #: A shingle counts as frequent from so many documents of a task; the most frequent ones, so many at most, are told to
 #: all tasks. A task that has met over COUNTED shingles forgets those met once. Costs decide the order of signatures only.
 FREQUENT, MOST_FREQUENT, COUNTED = 3, 50_000, 4_000_000
@@ -42,6 +40,8 @@ BROADCAST_IDS = 200_000
 WORTH = 20
 #: Members of a group that are compared at once: larger groups are split into blocks of about this size.
 BLOCK = 512
+#: Pairs of rows that a task compares, and pairs found that it keeps, at once.
+COMPARED, PAIRS = 20_000, 200_000
 #: Keys told of each member of groups, by which two members know whether they also meet elsewhere.
 LISTED = 8
 #: Bits of the sketch that goes with every candidate; the other sketch has 2 to 4 bits a shingle.
@@ -149,38 +149,51 @@ def apart(a: bytes, b: bytes) -> int:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches, each with its texts."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            part = batch.slice(start, SLICE)
-            yield part, pc.cast(part.column("text"), pa.binary()).to_pylist()
+    for part in sliced(batches):
+        yield part, pc.cast(part.column("text"), pa.binary()).to_pylist()
+
+
+def summed(known: np.ndarray, counts: np.ndarray, new: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their counts: those known, and those that come ``least`` times in new, which is sorted in place.
+
+    Besides new there is memory only for shingles that repeat, not for all of new.
+    """
+    new.sort()
+    distinct = np.union1d(known, new[least - 1 :][new[least - 1 :] == new[: len(new) - least + 1]])
+    times = np.searchsorted(new, distinct, "right") - np.searchsorted(new, distinct)
+    times[np.searchsorted(distinct, known)] += counts
+    return distinct, times
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, print, tag: the print's first 8 bytes), and rows of frequent shingles (n, hash)."""
     names = ["doc_id", "n", "print", "tag", "hash"]
 
-    def summed(known: np.ndarray, counts: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        distinct, which = np.unique(np.concatenate([known, *new]), return_inverse=True)
-        weights = np.concatenate([counts, np.ones(len(which) - len(known), np.int64)])
-        return distinct, np.bincount(which, weights, len(distinct)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        known, counts, new = np.empty(0, np.uint64), np.empty(0, np.int64), []
+        known, counts, new, filled = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(COUNTED, np.uint64), 0
         for part, texts in _texts(batches):
-            sets = [shingle_set(t) for t in texts]
-            prints = [_print(s) for s in sets]
-            for of_set, shingles in zip(prints, sets, strict=True):
-                if of_set is not None and of_set not in seen:
-                    seen.add(of_set)
-                    new.append(shingles)
-            if sum(map(len, new)) > COUNTED:
-                known, counts = summed(known, counts, new)
-                known, counts, new = known[counts > 1], counts[counts > 1], []
+            ns, prints = [], []
+            for text in texts:
+                shingles = shingle_set(text)
+                ns.append(len(shingles))
+                prints.append(_print(shingles))
+                if prints[-1] is None or prints[-1] in seen:
+                    continue
+                seen.add(prints[-1])
+                if filled + len(shingles) > COUNTED:
+                    known, counts = summed(known, counts, new[:filled], 2)
+                    filled = 0
+                if len(shingles) > COUNTED:
+                    known, counts = summed(known, counts, shingles, 2)
+                    continue
+                new[filled : filled + len(shingles)] = shingles
+                filled += len(shingles)
             tags = pa.array([x and _tag(x) for x in prints], pa.int64())
-            columns = [part.column("doc_id").cast(pa.int64()), pa.array([*map(len, sets)], pa.int64()), pa.array(prints, pa.binary()), tags]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int64())], names)
-        known, counts = summed(known, counts, new)
+            columns = [part.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), tags]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ns), pa.int64())], names)
+        known, counts = summed(known, counts, new[:filled], FREQUENT)
+        del new
         often = counts >= FREQUENT
         m = int(often.sum())
         columns = [pa.nulls(m, pa.int64()), pa.array(counts[often]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
@@ -271,7 +284,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and larger sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bound = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
             sketches = zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)
             near = pa.array(np.fromiter((apart(*x) for x in sketches), np.int64, batch.num_rows) <= bound)
@@ -365,14 +378,20 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame, one_each: bool) -> DataFr
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "small", "keys")
     last_key = np.iinfo(np.int64).max
 
-    def near(rows: dict[str, np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+    def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if one_each:
+            pairs = pairs[np.unique(pairs[:, :2], axis=0, return_index=True)[1]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], ["low", "high", "apart", "a", "b"])
+
+    def near(rows: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """ends: where each row's group ends. Each row is compared with the one s places on, for all s."""
         alive, found = np.arange(len(ends)), [np.empty((0, 5), np.int64)]
         s = 0
         while len(alive):
             s += 1
             alive = alive[ends[alive] > alive + s]
-            for x in np.array_split(alive, len(alive) // 100_000 + 1):
+            for x in np.array_split(alive, len(alive) // COMPARED + 1):
                 y = x + s
                 n, m = rows["n"][x], rows["n"][y]
                 # Two rows of one block meet in the pair of this block with itself only.
@@ -388,10 +407,10 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame, one_each: bool) -> DataFr
                 x, y, apart = (v[first >= rows["key"][x]] for v in (x, y, apart))
                 ids, comps = (np.sort(np.stack([rows[c][x], rows[c][y]], 1), 1) for c in ("id", "comp"))
                 found.append(np.column_stack([comps, apart, ids]))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        if one_each:
-            pairs = pairs[np.unique(pairs[:, :2], axis=0, return_index=True)[1]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], ["low", "high", "apart", "a", "b"])
+                if sum(map(len, found)) > PAIRS:
+                    yield pairs_of(found)
+                    found = [np.empty((0, 5), np.int64)]
+        yield pairs_of(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -412,10 +431,11 @@ def _near_in_blocks(mixed: DataFrame, sets: DataFrame, one_each: bool) -> DataFr
             starts = np.concatenate([[0], np.nonzero(new)[0] + 1])
             last = starts[-1]  # the last group may go on in the next batch
             ends = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
-            yield near({c: v[:last] for c, v in rows.items()}, ends[:last])
-            rest = {c: v[last:] for c, v in rows.items()}
+            yield from near({c: v[:last] for c, v in rows.items()}, ends[:last])
+            rest = {c: v[last:].copy() for c, v in rows.items()}  # a view would hold the whole batch
         if rest is not None:
-            yield near(rest, np.full(len(rest["key"]), len(rest["key"])))
+            yield from near(rest, np.full(len(rest["key"]), len(rest["key"])))
+        pa.default_memory_pool().release_unused()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(run, "low long, high long, apart long, a long, b long")
