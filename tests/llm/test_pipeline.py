@@ -2,11 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from tests.llm.test_jaccard_join import brute
 
 import corpus_pipeline
-from tickloom.llm import mixing, packing, pii
+from tickloom.llm import common, mixing, packing, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,25 @@ def test_redaction_takes_one_python_worker_a_task(spark):
     spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, ["doc_id"]).collect()}
     want = [(i, None if t is None else pii.redact(t, spans[i]), None if t is None else len(pii.redact(t, spans[i]))) for i, t in enumerate(texts)]
     assert sorted(map(tuple, redacted.select("doc_id", "text", "n_chars").collect())) == want
+
+
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    """Each stage bounds them, unless the session has a bound of its own."""
+    for module, name in ((corpus_pipeline.jaccard_join, "one_of_each"), (mixing, "mixed_rows"), (packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs: docs)
+    monkeypatch.setattr(pii, "redact_all", lambda docs, columns: docs)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text", "'en' AS lang", "'a' AS source", "20000L AS n_chars").coalesce(1)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.unset(common.BATCH)
+        stage(spark, docs.limit(3), SF)
+        rows = [r["rows"] for r in docs.mapInArrow(run, "rows long").collect()]
+        assert sum(rows) == 600 and max(rows) <= 120
+    spark.conf.set(common.BATCH, "64m")
+    common.bound_batches(spark)
+    assert spark.conf.get(common.BATCH) == "64m"
+    spark.conf.unset(common.BATCH)

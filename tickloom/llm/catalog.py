@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import centroids, html_main, jaccard_join, mixing, ordinal, packing, pii, prefix_trie, quality_llr, secret_scan, tiff, toxicity, url_filter
-from tickloom.llm.common import labelled_sample, table
+from tickloom.llm.common import bound_batches, labelled_sample, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
